@@ -4,19 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
-from .shared import table
+from . import decontaminate, jpeg, minhash, packing, substrings, tokenfiles, tokens
+from .shared import new_place, table, with_text
+
+
+def op1_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_columns(table(spark, sf_dir, "documents"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = new_place(spark, "tokens")
+    tokenfiles.write_token_files(with_text(table(spark, sf_dir, "documents")), at, public_tokenizers.path("word_bpe_49k.json"), 1)
+    return tokenfiles.read_token_files(spark, at).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(with_text(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"), 512)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(with_text(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash": op2_minhash}
+    return {f.__name__: f for f in (op1_jpeg, op2_minhash, op3_tokenfiles, op5_tokencounts, op6_packing, op8_decontaminate, op10_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": decontaminate.ORACLE}

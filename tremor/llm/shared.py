@@ -25,10 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+def new_place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read again: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark, at = df.sparkSession, new_place(df.sparkSession, name)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
