@@ -34,7 +34,7 @@ def _seeds(df: DataFrame, keep: list[str], array: str, at: str) -> DataFrame:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, matched): documents that share WINDOW consecutive words with an item, at most SUBSTITUTIONS of
-    them differing; matched is the largest number of equal words along one alignment.
+    them differing; matched is the largest number of equal words in such a window.
 
     Items of fewer than WINDOW words, null and empty texts overlap nothing. A small seed table is broadcast; its rows are
     counted first, and a larger one takes a shuffle join.
@@ -44,11 +44,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     small = seeds.count() <= BROADCAST_SEEDS
     texts = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("doc"))
     places = _seeds(texts.where(F.size("doc") >= WINDOW), ["doc_id"], "doc", "p")
-    hits = places.join(F.broadcast(seeds) if small else seeds, "key").select("doc_id", "item_id", "doc", "item", (F.col("p") - F.col("q")).alias("diagonal"))
-    same = F.transform("item", lambda w, i: F.when((F.col("diagonal") + i >= 0) & (F.get("doc", F.greatest(F.col("diagonal") + i, F.lit(0))) == w), 1).otherwise(0))
-    compared = hits.select("doc_id", "item_id", same.alias("same"))
-    enough = F.exists(F.expr(f"sequence(1, size(same) - {WINDOW - 1})"), lambda i: F.aggregate(F.slice("same", i, WINDOW), F.lit(0), lambda a, x: a + x) >= WINDOW - SUBSTITUTIONS)
-    return compared.where(enough).groupBy("doc_id", "item_id").agg(F.max(F.aggregate("same", F.lit(0), lambda a, x: a + x)).alias("matched"))
+    joined = places.join(F.broadcast(seeds) if small else seeds, "key")
+    # The words around the hit on either side: every window that holds the seed lies in them. The partition id is only there
+    # to keep the comparison below from being pushed into the join, which would then copy the document for every place.
+    back = F.least(F.lit(WINDOW - 1), "p", "q")
+    many = back + F.least(F.lit(WINDOW), F.size("doc") - F.col("p"), F.size("item") - F.col("q"))
+    near = joined.select("doc_id", "item_id", F.slice("doc", F.col("p") - back + 1, many).alias("doc"), F.slice("item", F.col("q") - back + 1, many).alias("item"), F.spark_partition_id().alias("part"))
+    begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("bits"), F.lit(0).alias("best"))
+
+    def step(state: Column, same: Column) -> Column:
+        """The last WINDOW comparisons as bits, and the most equal words in a full window so far."""
+        n, bits = state["n"] + 1, (state["bits"] * 2 + same.cast("int")).bitwiseAND((1 << WINDOW) - 1)
+        best = F.when(n >= WINDOW, F.greatest(state["best"], F.bit_count(bits))).otherwise(state["best"])
+        return F.struct(n.alias("n"), bits.alias("bits"), best.alias("best"))
+
+    equal = F.zip_with("doc", "item", lambda x, y: x == y)
+    walked = near.select("doc_id", "item_id", "part", F.aggregate(equal, begin, step)["best"].alias("matched"))
+    return walked.where((F.col("matched") >= WINDOW - SUBSTITUTIONS) & (F.col("part") >= 0)).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,16 +80,16 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 # Every window with at most two substitutions holds four equal words in a row, so this joins on those and compares.
 ORACLE = f"""
-with d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), x -> x <> '') as doc from documents),
-b as (select distinct item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), x -> x <> '') as item from benchmark),
+with d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '') as doc from documents),
+b as (select distinct item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '') as item from benchmark),
 bi as (select * from b where len(item) >= {WINDOW}),
 dp as (select doc_id, doc, unnest(range(1, len(doc) - 2)) as p from d where len(doc) >= {WINDOW}),
 bp as (select item_id, item, unnest(range(1, len(item) - 2)) as q from bi),
 dk as (select doc_id, p, doc[p] || ' ' || doc[p + 1] || ' ' || doc[p + 2] || ' ' || doc[p + 3] as k from dp),
 bk as (select item_id, q, item[q] || ' ' || item[q + 1] || ' ' || item[q + 2] || ' ' || item[q + 3] as k from bp),
 g as (select distinct doc_id, item_id, p - q as diagonal from dk join bk using (k)),
-m as (select doc_id, item_id, list_transform(range(1, len(item) + 1), i -> case when i + diagonal >= 1 and doc[greatest(i + diagonal, 1)] = item[i] then 1 else 0 end) as same from g join d using (doc_id) join bi using (item_id)),
-f as (select distinct doc_id, item_id from m where len(list_filter(range(1, len(same) - {WINDOW - 2}), i -> list_sum(same[i : i + {WINDOW - 1}]) >= {WINDOW - SUBSTITUTIONS})) > 0),
+m as (select doc_id, item_id, list_transform(range(1, len(item) + 1), lambda i: case when i + diagonal >= 1 and doc[greatest(i + diagonal, 1)] = item[i] then 1 else 0 end) as same from g join d using (doc_id) join bi using (item_id)),
+f as (select distinct doc_id, item_id from m where len(list_filter(range(1, len(same) - {WINDOW - 2}), lambda i: list_sum(same[i : i + {WINDOW - 1}]) >= {WINDOW - SUBSTITUTIONS})) > 0),
 n as (select doc_id, count(*) as n_items from f group by doc_id)
 select d.doc_id, coalesce(n_items, 0) as n_items, n_items is not null as contaminated from documents d left join n using (doc_id)
 """

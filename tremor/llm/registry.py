@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jpeg, minhash, packing, substrings, tokenfiles, tokens
+from . import decontaminate, html, jpeg, minhash, packing, shards, substrings, tokenfiles, tokens, toxicity
 from .shared import new_place, table, with_text
 
 
@@ -26,6 +26,10 @@ def op3_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(spark, at).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(with_text(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 def op5_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(with_text(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
@@ -35,17 +39,27 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.assign(table(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jpeg, op2_minhash, op3_tokenfiles, op5_tokencounts, op6_packing, op8_decontaminate, op10_substrings)}
+    found = (op1_jpeg, op2_minhash, op3_tokenfiles, op4_toxicity, op5_tokencounts, op6_packing, op7_shards, op8_decontaminate, op9_html, op10_substrings)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
