@@ -19,7 +19,7 @@ def _hang(edges: DataFrame, both: bool) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
     near = edges.join(least, "u")
     if both:
-        return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -30,10 +30,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     u, v = F.greatest(a, b), F.least(a, b)
     now = written(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(u.alias("u"), v.alias("v")).distinct(), "edges")
-    before = None
     while True:
-        mark = now.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not mark[0] or mark == before:
+        spread = now.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+        loose = spread.where("least < most").select("u").unionByName(now.join(spread.select(F.col("u").alias("v")), "v", "left_semi").select("u"))
+        if loose.isEmpty():  # every vertex hangs on one root, and no root hangs on another vertex
             return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        before = mark
         now = written(_hang(_hang(now, both=True), both=False), "edges")

@@ -9,10 +9,12 @@ How links are found without all pairs of a group:
 2. `BANDS` bands of `COORDS // BANDS` coordinates give bucket keys. In each bucket, in cells of at most `CELL` rows, each
    document proposes the partner whose signature agrees best; proposals are verified on the full sets.
 3. Components are contracted. Within a bucket only members outside its largest component ("strays") still matter: they
-   are compared, in cells, with all members of other components, and propose their best 8, 64, 512, ... partners until
-   nothing was left unproposed. So no link between components stays unseen, and no pair inside one is looked at.
-A pair is passed over only if its lengths rule the similarity out, or if fewer than `agreeing(similarity)` coordinates
-agree: five standard deviations below the expected number.
+   are compared, in cells, with all members of other components. Here 16 bits of every shingle hash bound the intersection
+   from above, so that hardly a pair is proposed that isn't a link; each stray proposes its best partners in each other
+   component, and more of them (8, 64, ...) in a next round, until nothing was left unproposed. So no link between
+   components that share a bucket stays unseen, and no pair inside one is looked at.
+In step 2 a pair is passed over if fewer than `agreeing(similarity)` coordinates agree, five standard deviations below the
+expected number; step 3 passes over a pair only if its bound rules the similarity out.
 """
 
 from __future__ import annotations
@@ -104,46 +106,67 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, _SIGNED)
 
 
-def proposals(cells: DataFrame, percent: int, best: int) -> DataFrame:
-    """(a, b, more): for each left row of a cell, its `best` most agreeing partners per other component.
+def ranked(order: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """The rank of each row within its group, when rows are taken in `order`."""
+    to = groups[order]
+    by = np.argsort(to, kind="stable")
+    begins = np.flatnonzero(np.r_[True, to[by][1:] != to[by][:-1]])
+    rank = np.empty(len(order), np.int64)
+    rank[order[by]] = np.arange(len(order)) - np.repeat(begins, np.diff(np.r_[begins, len(order)]))
+    return rank
 
-    cells: key, cell, band, doc_id, n, sig, comp, side (0 right, 1 left, 2 both). more: some partner was left out.
-    A pair that also meets in an earlier band is left to that band.
-    """
+
+def by_signature(x: pd.DataFrame, percent: int) -> Iterator[tuple[int, int, bool]]:
+    """Each row of a cell with the partner whose signature agrees best. A pair that met in an earlier band is left to it."""
+    n, doc, band = x["n"].to_numpy(), x["doc_id"].to_numpy(), int(x["band"].iloc[0])
+    sig = np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), COORDS)
     least = agreeing(percent)
+    for i in range(len(x)):
+        same = sig == sig[i]
+        agree = same.sum(axis=1)
+        agree[i] = 0
+        at = np.flatnonzero((agree >= least) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        if band and len(at):
+            at = at[~same[at].reshape(len(at), BANDS, -1)[:, :band].all(axis=2).any(axis=1)]
+        if len(at):
+            yield doc[i], doc[at[np.lexsort((doc[at], -agree[at]))[0]]], len(at) > 1
+
+
+def by_bound(x: pd.DataFrame, percent: int, best: int) -> Iterator[tuple[int, int, bool]]:
+    """Each left row of a cell with at most `best` right rows of each other component that the bound allows."""
+    side, comp, n, doc = (x[c].to_numpy() for c in ("side", "comp", "n", "doc_id"))
+    right = np.flatnonzero(side != 1)
+    bins = [np.frombuffer(v, np.uint16) for v in x["bins"]]
+    if not len(right):
+        return
+    every, begin = np.concatenate([bins[k] for k in right]), np.cumsum([0, *(len(bins[k]) for k in right[:-1])])
+    table = np.zeros(1 << 16, np.int32)
+    for i in np.flatnonzero(side > 0):
+        if not (comp[right] != comp[i]).any():
+            continue
+        table[bins[i]] = 1
+        most = np.minimum(np.add.reduceat(table[every], begin), n[i])  # shared shingles, at most
+        table[bins[i]] = 0
+        at = np.flatnonzero((comp[right] != comp[i]) & (100 * most >= percent * (n[i] + n[right] - most)))
+        if not len(at):
+            continue
+        closeness = most[at] / (n[i] + n[right[at]] - most[at])
+        keep = ranked(np.lexsort((doc[right[at]], -closeness)), comp[right[at]]) < best
+        for k in at[keep]:
+            yield doc[i], doc[right[k]], not keep.all()
+
+
+def proposals(cells: DataFrame, percent: int, best: int = 0) -> DataFrame:
+    """(a, b, more) from cells (key, cell, ...): `by_signature`, or with a `best` `by_bound`. more: some were left out.
+
+    cells: band, doc_id, n, sig; or doc_id, n, bins, comp, side (0 right, 1 left, 2 both).
+    """
 
     def cell(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        side, comp, n, doc = (x[c].to_numpy() for c in ("side", "comp", "n", "doc_id"))
-        band = int(x["band"].iloc[0])
-        sig = np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), COORDS)
-        right = np.flatnonzero(side != 1)
-        wide = np.ascontiguousarray(sig[right])
-        a, b, more = [], [], []
-        for i in np.flatnonzero(side > 0):
-            same = wide == sig[i]
-            agree = same.sum(axis=1)
-            big, small = np.maximum(n[right], n[i]), np.minimum(n[right], n[i])
-            good = (comp[right] != comp[i]) & (agree >= least) & (100 * small >= percent * big)
-            at = np.flatnonzero(good)
-            if band and len(at):
-                at = at[~same[at].reshape(len(at), BANDS, -1)[:, :band].all(axis=2).any(axis=1)]
-            if not len(at):
-                continue
-            at = at[np.lexsort((doc[right[at]], -agree[at]))]
-            to = comp[right[at]]
-            order = np.argsort(to, kind="stable")
-            rank = np.empty(len(at), np.int64)
-            begins = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]])
-            rank[order] = np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))
-            if best == 1:
-                rank = np.arange(len(at))  # at first every document is its own component: one partner each
-            keep = at[rank < best]
-            a.append(np.full(len(keep), doc[i]))
-            b.append(doc[right[keep]])
-            more.append(np.full(len(keep), len(keep) < len(at)))
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": np.concatenate(more)})
+        found = list(by_bound(x, percent, best) if best else by_signature(x, percent))
+        if found:
+            a, b, more = (np.array(c) for c in zip(*found, strict=True))
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": more})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = None
@@ -162,6 +185,18 @@ def proposals(cells: DataFrame, percent: int, best: int) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
+def binned(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, bins): 16 bits of every shingle hash of texts (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in slices(batch):
+                out = [(W.mix(x) >> np.uint64(48)).astype(np.uint16).tobytes() for x in sets_of(data, offsets, shingle)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(out, pa.binary())], ["doc_id", "bins"])
+
+    return texts.mapInArrow(run, "doc_id long, bins binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose full shingle sets satisfy 100 * intersection >= percent * union.
 
@@ -213,35 +248,37 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
     buckets = written(band.join(shared_keys, "key").select("key", "band", "doc_id", "m"), "buckets")
     members = buckets.select("doc_id").distinct()
     texts = written(docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    traits = reps.select("doc_id", "n", "sig")
-
-    cells = buckets.join(traits, "doc_id").select("key", F.expr("pmod(xxhash64(doc_id), ceil(m / %d))" % CELL).alias("cell"), "band", "doc_id", "n", "sig", F.col("doc_id").alias("comp"), F.lit(2).alias("side"))
-    tried = written(proposals(cells, percent, 1), "proposals")
-    edges = written(verified(tried.select("a", "b"), texts, percent, shingle), "links")
+    signs = reps.select("doc_id", "n", "sig")
+    cells = buckets.join(signs, "doc_id").select("key", F.expr(f"pmod(xxhash64(doc_id), ceil(m / {CELL}))").alias("cell"), "band", "doc_id", "n", "sig")
+    tried = written(proposals(cells, percent), "proposals").select("a", "b")
+    roots = components(written(verified(tried, texts, percent, shingle), "links"))
+    wide = buckets.where("m > 2")  # the only pair of a smaller bucket has been proposed or passed over
+    bins = written(binned(texts.join(wide.select("doc_id").distinct(), "doc_id", "left_semi"), shingle), "bins").join(reps.select("doc_id", "n"), "doc_id")
     best = 1
     while True:
-        roots = components(edges)
-        best *= GROWTH
-        placed = buckets.join(roots.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id"))
+        placed = wide.join(roots.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("key", "doc_id", "m", F.coalesce("root", "doc_id").alias("comp"))
         sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("m").alias("m"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.max("m").alias("m")).where("main.c < m").select("key", F.col("main.comp").alias("main"), (F.col("m") - F.col("main.c")).alias("strays"))
-        rows = placed.join(main, "key").join(traits, "doc_id")
-        wide, tall = F.expr(f"ceil(m / {CELL})"), F.expr(f"ceil(strays / {CELL})")
-        rows = rows.withColumn("stray", F.col("comp") != F.col("main")).withColumns({"nm": wide, "ns": tall})
-        # A cell is a run of strays (left) against a run of all members (right); small buckets have one cell.
-        one = rows.where("nm = 1").select("key", F.lit(0).cast("long").alias("cell"), "band", "doc_id", "n", "sig", "comp", F.when(F.col("stray"), 2).otherwise(0).alias("side"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.max("m").alias("m")).where("main.c < m")
+        main = main.select("key", F.col("main.comp").alias("main"), F.expr(f"ceil((m - main.c) / {CELL})").alias("ns"), F.expr(f"ceil(m / {CELL})").alias("nm"))
+        rows = placed.join(main, "key").join(bins, "doc_id").withColumn("stray", F.col("comp") != F.col("main"))
+        # A cell is a run of strays (left) against a run of all members (right); a small bucket is one cell.
+        kept = ["doc_id", "n", "bins", "comp"]
+        one = rows.where("nm = 1").select("key", F.lit(0).cast("long").alias("cell"), *kept, F.when(F.col("stray"), 2).otherwise(0).alias("side"))
         many = rows.where("nm > 1").withColumns({"i": F.expr("pmod(xxhash64(doc_id), ns)"), "j": F.expr("pmod(xxhash64(doc_id, 7), nm)")})
-        right = many.select("*", F.explode(F.expr("sequence(0L, ns - 1)")).alias("at")).select("key", F.expr("at * nm + j").alias("cell"), "band", "doc_id", "n", "sig", "comp", F.lit(0).alias("side"))
-        left = many.where("stray").select("*", F.explode(F.expr("sequence(0L, nm - 1)")).alias("at")).select("key", F.expr("i * nm + at").alias("cell"), "band", "doc_id", "n", "sig", "comp", F.lit(1).alias("side"))
+        right = many.select("*", F.explode(F.expr("sequence(0L, ns - 1)")).alias("at")).select("key", F.expr("at * nm + j").alias("cell"), *kept, F.lit(0).alias("side"))
+        left = many.where("stray").select("*", F.explode(F.expr("sequence(0L, nm - 1)")).alias("at")).select("key", F.expr("i * nm + at").alias("cell"), *kept, F.lit(1).alias("side"))
         found = written(proposals(one.unionByName(right).unionByName(left), percent, best), "proposals")
-        new = found.join(tried, ["a", "b"], "left_anti").select("a", "b")
+        new = written(found.join(tried, ["a", "b"], "left_anti").select("a", "b"), "untried")
         if new.isEmpty():
             if found.where("more").isEmpty():
                 break
-            continue
-        new = written(new, "untried")
-        edges = edges.unionByName(written(verified(new, texts, percent, shingle), "links"))
-        tried = tried.select("a", "b").unionByName(new)
+        else:
+            links = verified(new, texts, percent, shingle)
+            for end in ("a", "b"):  # links between components, and the components' own hooks
+                links = links.join(roots.select(F.col("v").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(end, F.coalesce(f"{end}_root", end)).select("a", "b")
+            roots = components(written(links.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b"))), "links"))
+            tried = tried.unionByName(new)
+        best *= GROWTH
     of_class = classes.join(roots, F.col("rep") == F.col("v"), "left").select("h1", "h2", "n_shingles", F.coalesce("root", "rep").alias("root"))
     placed = signed.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2", "n_shingles"], "left")
     return placed.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("root", "doc_id"), F.lit(True)).alias("kept"))
