@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremor.operators import gram, response, speccurve, timealign, transforms
+from tremor.operators import gram, inference, response, speccurve, timealign, transforms
 from tremor.operators import windows as W
 
 from . import base as B
 from .base import Query, R, rounded, sql
+from .series import SAMPLES, samples
 
 QUERIES: dict[str, Query] = {}
 
@@ -251,3 +252,113 @@ def c06_specification_curve(spark, sf):
     specs = p.join(i, "date").select("series_id", (F.col("t") - 1).alias("pos"), "y", "x").unionByName(p.join(i, "date").where(F.month("date") <= 6).select(F.concat("series_id", F.lit("/H1")).alias("series_id"), (F.col("t") - 1).alias("pos"), "y", "x"))
     n = p.count()
     return rounded(speccurve.curve(specs.withColumnRenamed("series_id", "spec_id"), n, min(20, n), 40), "median", "share", "stouffer", digits=6)
+
+
+@query(None)
+def r07_sup_t_band(spark, sf):
+    out = inference.sup_t(short_panel(spark, sf), ["panel_id"], "y", ["x", "ctrl"], range(4))
+    return rounded(out.select("horizon", "beta", "se", "critical", "lo", "hi"), "beta", "se", "critical", "lo", "hi", digits=6)
+
+
+@query(None)
+def r08_quantile_projection(spark, sf):
+    return rounded(inference.quantile_projection(short_panel(spark, sf), ["panel_id"], "y", "x", (), range(3), 0.5).select("horizon", "beta", "nobs"), "beta")
+
+
+@query(
+    sql(
+        "panel",
+        "select sample, horizon, round(regr_slope(yl, x) * stddev_samp(x) / stddev_samp(yl), 6) as beta_std, regr_count(yl, x) as nobs from (select sample, h.horizon, shock / 1000 as x, lead(y, cast(h.horizon as int)) over (partition by sample, h.horizon order by t) as yl from panel join s on (first is null or date >= first) and (last is null or date <= last) cross join (values (0), (5)) h(horizon)) where yl is not null group by 1, 2",
+        s=SAMPLES,
+    )
+)
+def r12_by_sample(spark, sf):
+    tagged = transforms.tag_samples(short_panel(spark, sf), samples(spark))
+    stacked = timealign.leads(tagged, "y", [0, 5], ("sample",))
+    fitted = gram.fit(stacked, ["sample", "horizon"], "y_lead", ["x"])
+    spread = stacked.dropna(subset=["y_lead", "x"]).groupBy("sample", "horizon").agg(F.stddev_samp("x").alias("sx"), F.stddev_samp("y_lead").alias("sy"))
+    out = fitted.join(spread, ["sample", "horizon"])
+    return out.select("sample", "horizon", R(F.get("beta", F.lit(0)) * F.col("sx") / F.col("sy"), 6).alias("beta_std"), F.col("n").alias("nobs"))
+
+
+ACTS = f"select cast(o_orderdate as date) as date, cast(sum(case when o_orderstatus <> 'O' then cast(o_totalprice as decimal(18,2)) else 0 end) as double) / {B.UNIT * 1000} as act, cast(sum(case when o_orderstatus = 'O' then cast(o_totalprice as decimal(18,2)) else 0 end) as double) / {B.UNIT * 1000} as threat from orders group by 1"
+
+
+def split_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily panel of the split index: panel_id, t, date, y, act, threat."""
+    part = lambda c: F.sum(F.when(c, F.col("o_totalprice").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))).cast("double") / (B.UNIT * 1000)
+    o = B.table(spark, sf, "orders").groupBy(B.day("o_orderdate")).agg(part(F.col("o_orderstatus") != "O").alias("act"), part(F.col("o_orderstatus") == "O").alias("threat"))
+    both = o.join(B.market(spark, sf).select("date", F.log("price").alias("y")), "date").withColumn("panel_id", F.lit("daily"))
+    return both.withColumn("t", F.row_number().over(Window.partitionBy("panel_id").orderBy("date")))
+
+
+@query(
+    sql(
+        "mkt",
+        "select horizon, round(regr_slope(yl, act), 6) as act, round(regr_slope(yl, threat), 6) as threat from (select h.horizon, act, threat, lead(ln(price), cast(h.horizon as int)) over (partition by h.horizon order by date) as yl from a join mkt using (date) cross join (values (0), (1), (2)) h(horizon)) where yl is not null group by 1",
+        a=ACTS,
+    )
+)
+def r13_threat_and_act(spark, sf):
+    p = split_panel(spark, sf).unpivot(["panel_id", "t", "y"], ["act", "threat"], "kind", "x")
+    irf = gram.local_projection(p, ["kind"], "y", "x", (), range(3))
+    return rounded(irf.groupBy("horizon").pivot("kind", ["act", "threat"]).agg(F.first("beta")), "act", "threat", digits=6)
+
+
+@query(None)
+def p25_equal_terms(spark, sf):
+    return rounded(inference.equal_terms(split_panel(spark, sf), ["panel_id"], "y", ["act", "threat"]), "gap", "se", "z", "p")
+
+
+@query(None)
+def p16_channel_split(spark, sf):
+    """Level and tail term of the index as two shocks of one projection."""
+    g = B.global_index(spark, sf).withColumn("value", F.log1p("value"))
+    rows = W.jump(g).select("date", F.col("value").alias("level"), "jump").join(B.market(spark, sf).select("date", F.log("price").alias("y")), "date")
+    rows = rows.withColumn("panel_id", F.lit("daily")).withColumn("t", F.row_number().over(Window.partitionBy("panel_id").orderBy("date")))
+    irf = gram.local_projection(rows, ["panel_id"], "y", "level", ["jump"], range(3), all_terms=True)
+    return rounded(irf.select("horizon", "term", "beta", "se", "nobs"), "beta", "se")
+
+
+@query(
+    sql(
+        "gidx ctry",
+        "select round(regr_slope(x, g), 6) as beta, count(*) as n from (select x - avg(x) over (partition by series_id) as x, g - avg(g) over (partition by series_id) as g from (select series_id, ln(1 + value) as x, g from ctry join gm using (date)))",
+        gm="select cast(date_trunc('month', date) as date) as date, avg(ln(1 + value)) as g from gidx group by 1",
+    )
+)
+def p26_fixed_effects(spark, sf):
+    g = B.global_index(spark, sf).groupBy(F.trunc("date", "MM").alias("date")).agg(F.avg(F.log1p("value")).alias("g"))
+    c = B.countries(spark, sf).withColumn("x", F.log1p("value")).join(g, "date").withColumn("model", F.lit("all"))
+    return inference.fixed_effects(c, ["model"], "series_id", "x", ["g"]).select(R(F.get("beta", F.lit(0)), 6).alias("beta"), "n")
+
+
+@query(sql("idx mkt", "select series_id, k.lag, round(corr(x, v), 4) as corr, count(*) as n from (select series_id, k.lag, x, lead(y, cast(k.lag as int)) over (partition by series_id, k.lag order by date) as v from (select series_id, date, ln(1 + value) as x, ln(price) as y from idx join mkt using (date)) cross join (values (-2), (-1), (0), (1), (2)) k(lag)) k where v is not null group by 1, 2"))
+def p22_lead_lag(spark, sf):
+    i = B.index(spark, sf).join(B.market(spark, sf).select("date", F.log("price").alias("y")), "date").withColumn("x", F.log1p("value"))
+    return rounded(inference.lead_lag(i, "x", "y", 2), "corr")
+
+
+@query(
+    sql(
+        "idx mkt",
+        "select channel, date, round(e, 6) as effect, round(abs(e) / sum(abs(e)) over (partition by date), 4) as share from (select series_id as channel, date, b * ln(1 + value) as e from idx join (select series_id, regr_slope(ln(price), ln(1 + value)) as b from idx join mkt using (date) group by 1) using (series_id))",
+    )
+)
+def p23_contributions(spark, sf):
+    i = B.index(spark, sf).select(F.col("series_id").alias("channel"), "date", F.log1p("value").alias("value"))
+    y = B.market(spark, sf).select("date", F.log("price").alias("y"))
+    theta = gram.fit(i.join(y, "date"), ["channel"], "y", ["value"]).select("channel", F.get("beta", F.lit(0)).alias("theta"))
+    out = inference.contributions(i, theta).select("channel", "date", "effect", "share")
+    return rounded(rounded(out, "effect", digits=6), "share")
+
+
+@query(None)
+def r20_replication_pair(spark, sf):
+    """J10, D17 and R20: the monthly response with the index in its own month and in the month after."""
+    p = country_panel(spark, sf)
+    raw = gram.local_projection(p, ["series_id"], "price", "dom", ["disc"], range(3))
+    moved = p.withColumn("dom", F.lag("dom").over(Window.partitionBy("series_id").orderBy("t")))
+    aligned = gram.local_projection(moved, ["series_id"], "price", "dom", ["disc"], range(3))
+    both = raw.select("series_id", "horizon", F.lit("raw").alias("panel"), "beta", "p").unionByName(aligned.select("series_id", "horizon", F.lit("aligned").alias("panel"), "beta", "p"))
+    return rounded(both.join(response.shifted(raw, aligned, ["series_id"]), "series_id"), "beta", "p")
