@@ -31,10 +31,10 @@ def pieces(docs: DataFrame, path: str, end_id: int | None = 2, capacity: int = C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, chunk, seen = Encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
-        for batch in batches:
+        for part in (batch.slice(k, 512) for batch in batches for k in range(0, len(batch), 512)):
             out: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder.ids(text).tobytes() + end
+            for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.batch(part.column("text").to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n else []
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):

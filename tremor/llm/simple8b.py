@@ -14,21 +14,37 @@ PACKED = [(120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7)
 COUNT = np.array([1] + [n for n, _ in PACKED])
 
 
+_SMALL = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bits(v: np.ndarray) -> np.ndarray:
     """How many bits each integer takes."""
+    if len(v) and v.max() < 1 << 16:
+        return _SMALL[v.astype(np.uint16)]
+    low = np.frexp((v & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.uint8)
     high = v >> np.uint64(32)
-    low = np.frexp((v & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
-    return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], low).astype(np.uint8)
+    return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], low).astype(np.uint8) if high.any() else low
 
 
-def _widest(bits: np.ndarray, n: int) -> np.ndarray:
-    """The largest of each n entries from here on, along rows, by doubling."""
-    out, have = bits, 1
-    while have < n:
-        step = min(have, n - have)
-        out = np.maximum(out, np.pad(out[:, step:], ((0, 0), (0, step))))
-        have += step
-    return out
+# Each window length as two shorter ones, the second beginning `shift` entries later.
+_JOIN = {2: (1, 1, 1), 3: (2, 1, 2), 4: (2, 2, 2), 5: (4, 1, 4), 6: (4, 2, 4), 7: (4, 3, 4), 8: (4, 4, 4), 10: (8, 2, 8), 12: (8, 4, 8), 15: (8, 7, 8), 20: (12, 8, 12), 30: (15, 15, 15), 60: (30, 30, 30), 120: (60, 60, 60)}
+
+
+def _selectors(bits: np.ndarray) -> np.ndarray:
+    """For each entry of the blocks the selector of the fullest word that can begin there, 0 for the escape.
+
+    bits: blocks as rows, followed by zeros. A word that fits leaves room for every shorter one, so the selector follows from
+    how many of them fit.
+    """
+    width = bits.shape[1]
+    widest, fits = {1: bits}, np.zeros(bits.shape, np.uint8)
+    for n, wide in reversed(PACKED):
+        if n > 1:
+            a, b, shift = _JOIN[n]
+            widest[n] = widest[a].copy()
+            np.maximum(widest[n][:, : width - shift], widest[b][:, shift:], out=widest[n][:, : width - shift])
+        fits += widest[n] <= wide
+    return np.where(fits > 0, 16 - fits, 0).astype(np.uint8)
 
 
 def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,15 +62,13 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     run = np.repeat(np.arange(len(lengths)), blocks)
     nth = np.arange(n) - run_block[run]
     size = np.minimum(lengths[run] - nth * BLOCK, BLOCK)
-    start = (np.r_[0, np.cumsum(lengths)[:-1]])[run] + nth * BLOCK
     at = np.arange(BLOCK)
     filled = at < size[:, None]
     grid = np.zeros((n, BLOCK + max(COUNT)), np.uint64)
-    grid[:, :BLOCK][filled] = values[(start[:, None] + at)[filled]]
-    bits = _bits(grid[:, :BLOCK])
-    best = np.zeros(bits.shape, np.uint8)  # the escape, where nothing else fits
-    for k in range(15, 0, -1):
-        best[_widest(bits, PACKED[k - 1][0]) <= PACKED[k - 1][1]] = k
+    grid[:, :BLOCK][filled] = values  # runs and their blocks stand in order
+    bits = np.zeros(grid.shape, np.uint8)
+    bits[:, :BLOCK][filled] = _bits(values)
+    best = _selectors(bits)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     live, pos = np.arange(n), np.zeros(n, np.int64)
     while len(live):

@@ -31,7 +31,7 @@ def write_token_files(docs: DataFrame, to: str, path: str, end_id: int | None =
         for batch in batches:
             for k in range(0, len(batch), 512):
                 part = batch.slice(k, 512)
-                ids = [np.concatenate([encoder.ids(x), end]) for x in part.column("text").to_pylist()]
+                ids = [np.concatenate([np.frombuffer(x, "<u4"), end]) for x in encoder.batch(part.column("text").to_pylist())]
                 n = np.array([len(x) for x in ids], np.int64)
                 words, block_word, run_block = S.encode(np.concatenate(ids), n)
                 w, b = [], []
