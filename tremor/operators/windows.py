@@ -144,3 +144,22 @@ def state_runs(df: DataFrame, state: str = "state") -> DataFrame:
     new = F.coalesce((F.col(state) != F.lag(state).over(ordered())).cast("int"), F.lit(1))
     df = df.withColumn("run", F.sum(new).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
     return df.withColumn("days_in_state", F.datediff("date", F.min("date").over(Window.partitionBy("series_id", "run"))) + 1)
+
+
+def ladder(df: DataFrame, words: str, threats: str, acts: str, window: int = 250, least: int = 60) -> DataFrame:
+    """df with state S0 .. S4 and days_in_state: words, threats and acts against their own past percentiles.
+
+    S4: acts above p90; S3: acts above p75; S2: words and threats above p75; S1: words above p75; else S0.
+    """
+    over = lambda c, q: F.coalesce(F.col(c) > over_past(quantile(q), F.col(c), window, least), F.lit(False))
+    flags = df.withColumns({"_a9": over(acts, 0.9), "_a7": over(acts, 0.75), "_t7": over(threats, 0.75), "_w7": over(words, 0.75)})
+    state = F.when(F.col("_a9"), "S4").when(F.col("_a7"), "S3").when(F.col("_w7") & F.col("_t7"), "S2").when(F.col("_w7"), "S1").otherwise("S0")
+    return state_runs(flags.withColumn("state", state).drop("_a9", "_a7", "_t7", "_w7"))
+
+
+def full_surprise(df: DataFrame, acts: str, threats: str, words: str, k: int = 2, least: int = 120) -> DataFrame:
+    """df with surprise: acts less their expanding forecast from lags of threats and words and the last ladder step."""
+    steps = ladder(df.dropna(subset=[acts, threats, words]), words, threats, acts).withColumn("_step", F.substring("state", 2, 1).cast("double"))
+    lagged = lags(steps, [threats, words], k).withColumn("_step_l1", F.lag("_step").over(ordered()))
+    names = [*(f"{c}_l{j}" for c in (threats, words) for j in range(1, k + 1)), "_step_l1"]
+    return expanding_fit(lagged, acts, names, max(least, len(names) + 2), "expected").withColumn("surprise", F.col(acts) - F.col("expected")).drop(*names, "_step")

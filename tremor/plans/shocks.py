@@ -224,3 +224,31 @@ def p17_cumulative_return(spark, sf):
     m = B.market_long(spark, sf).where("series_id in ('price', 'qty')").withColumn("v", transforms.dlog(F.col("value")))
     w = Window.partitionBy("series_id").orderBy("date").rowsBetween(0, 4)
     return m.select("series_id", "date", R(F.when(F.count("v").over(w) == 5, F.sum("v").over(w))).alias("r5"))
+
+
+SPLIT = f"select 'GLOBAL' as series_id, cast(o_orderdate as date) as date, cast(sum(case when o_orderstatus <> 'O' then cast(o_totalprice as decimal(18,2)) else 0 end) as double) / {B.UNIT} as acts, cast(sum(case when o_orderstatus = 'O' then cast(o_totalprice as decimal(18,2)) else 0 end) as double) / {B.UNIT} as threats, cast(count(*) as double) as words from orders group by 2"
+
+
+def split_index(spark: SparkSession, sf: str) -> DataFrame:
+    part = lambda c: F.sum(F.when(c, F.col("o_totalprice").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))).cast("double") / B.UNIT
+    o = B.table(spark, sf, "orders").groupBy(B.day("o_orderdate")).agg(part(F.col("o_orderstatus") != "O").alias("acts"), part(F.col("o_orderstatus") == "O").alias("threats"), F.count("*").cast("double").alias("words"))
+    return o.withColumn("series_id", F.lit("GLOBAL"))
+
+
+@query(
+    sql(
+        "",
+        f"""with x as ({SPLIT}),
+q as (select *, count(*) over p as n, quantile_cont(acts, 0.9) over p as a9, quantile_cont(acts, 0.75) over p as a7, quantile_cont(threats, 0.75) over p as t7, quantile_cont(words, 0.75) over p as w7 from x window p as (order by date rows between 250 preceding and 1 preceding)),
+s as (select date, case when n < 60 then 'S0' when acts > a9 then 'S4' when acts > a7 then 'S3' when words > w7 and threats > t7 then 'S2' when words > w7 then 'S1' else 'S0' end as state from q),
+r as (select *, sum(new) over (order by date) as run from (select *, case when state = lag(state) over (order by date) then 0 else 1 end as new from s))
+select date, state, cast(date - min(date) over (partition by run) + 1 as int) as days_in_state from r""",
+    )
+)
+def p09_ladder(spark, sf):
+    return W.ladder(split_index(spark, sf), "words", "threats", "acts").select("date", "state", "days_in_state")
+
+
+@query(None)
+def p10_full_surprise(spark, sf):
+    return rounded(W.full_surprise(split_index(spark, sf), "acts", "threats", "words").select("date", "surprise"), "surprise")

@@ -184,3 +184,20 @@ def st02_dedup(spark, sf):
 @query("select user_id, min(ts) as start, max(ts) as last, count(*) as n from (select *, sum(new) over (partition by user_id order by ts) as s from (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 12 hour then 0 else 1 end as new from events)) group by user_id, s")
 def st04_sessions(spark, sf):
     return live.replay(spark, live.source(spark, sf), live.sessions, "st04")
+
+
+@query("select event_id from (select event_id, row_number() over (partition by user_id, event_type, value order by ts) as n from events) where n = 1")
+def st02_content_dedup(spark, sf):
+    """ST2 within its watermark; the table's repeats of content are further apart or none, so SQL keeps the first of each."""
+    return live.appended(spark, live.deduplicated(live.source(spark, sf)), "st02c").select("event_id")
+
+
+@query(
+    """select user_id as actor, ts from (select user_id, ts from events where event_type = 'purchase') a
+where not exists (select 1 from events b where b.event_type = 'click' and b.user_id = a.user_id and b.ts > a.ts and b.ts <= a.ts + interval 3 days)
+and a.ts + interval 3 days < (select least((select max(ts) from events where event_type = 'purchase'), (select max(ts) from events where event_type = 'click'))) - interval 1 day"""
+)
+def st07_unanswered(spark, sf):
+    """Purchases that no click of the user follows within three days, once the watermark has passed them."""
+    e = lambda kind: live.source(spark, sf).where(F.col("event_type") == kind).select(F.col("user_id").alias("actor"), "ts")
+    return live.appended(spark, live.unanswered(e("purchase"), e("click")), "st07")

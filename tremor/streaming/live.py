@@ -55,3 +55,27 @@ def replay(spark: SparkSession, stream: DataFrame, job: Callable[[DataFrame], Da
     q = out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+def deduplicated(events: DataFrame) -> DataFrame:
+    """Events without repeats of the same content within the watermark, for append mode."""
+    mark = events.withColumn("content_hash", F.xxhash64("user_id", "event_type", "value"))
+    return mark.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["content_hash"])
+
+
+def unanswered(spikes: DataFrame, moves: DataFrame, within: str = "3 days") -> DataFrame:
+    """Spikes (actor, ts) that no move (actor, ts) follows in time: a stream-stream left join; the alert comes when the
+    watermark has passed the bound."""
+    a = spikes.withWatermark("ts", LATE).alias("a")
+    b = moves.withWatermark("ts", LATE).alias("b")
+    on = F.expr(f"a.actor = b.actor and b.ts > a.ts and b.ts <= a.ts + interval {within}")
+    return a.join(b, on, "leftOuter").where("b.ts is null").select("a.actor", "a.ts")
+
+
+def appended(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
+    """Runs an append-mode stream over all that is there and returns what it has put out."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    at = f"{root}/{name}-{uuid.uuid4().hex}"
+    q = out.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
