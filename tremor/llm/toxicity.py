@@ -29,6 +29,7 @@ ROUNDS = 5
 SEEN = 200_000  # distinct words of clean texts that each round is tried against
 REMEMBERED = 400_000  # word scores a worker keeps
 THRESHOLD = 0.7
+APART = 600  # unlike labelled texts from which a third is kept for calibration
 LOUD = 2.5  # log of how much more often a telling word is in toxic texts
 
 _WORD = re.compile(r"[^\s.,;:!?\"()\[\]{}<>«»„“”…]+")
@@ -246,6 +247,10 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         return Model([], np.zeros(0), 0.0, 1.0, 4.0 if y.any() else -4.0)
     fresh = unlike(bags, y)
     bags, y = [bag for bag, k in zip(bags, fresh, strict=True) if k], y[fresh]
+    # Scores are calibrated on texts whose words the machine hasn't seen, where there are enough.
+    aside = np.arange(len(y)) % 3 == 0 if len(y) >= APART else np.zeros(len(y), bool)
+    judged = ([bag for bag, k in zip(bags, aside, strict=True) if k], y[aside]) if aside.any() and 0 < y[aside].sum() < aside.sum() else (bags, y)
+    bags, y = [bag for bag, k in zip(bags, aside, strict=True) if not k], y[~aside]
     toxic, clean = Counter(), Counter()
     for bag, label in zip(bags, y, strict=True):
         (toxic if label else clean).update(bag)
@@ -288,10 +293,10 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         model = Model(marks, root @ w / size, bias, 1.0, 0.0)
         wrong = model.margins(innocent)
         hard = sorted(set(hard) | {innocent[k] for k in np.argsort(-wrong)[:400]})
-    rest = sorted({w for bag in bags for w in bag})
+    rest = sorted({w for bag in judged[0] for w in bag})
     scores = dict(zip(rest, model.margins(rest), strict=True))
-    top = np.array([max((scores[w] for w in bag), default=model.bias) for bag in bags])
-    model.slope, model.offset = _logistic(top, y)
+    top = np.array([max((scores[w] for w in bag), default=model.bias) for bag in judged[0]])
+    model.slope, model.offset = _logistic(top, judged[1])
     return model
 
 
