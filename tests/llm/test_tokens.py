@@ -46,7 +46,7 @@ def test_token_counts(docs, none):
 
 def test_packing(docs, none):
     got = packing.pack_documents(with_text(docs), BYTES, 2, capacity=256).collect()
-    want = sorted((doc or -1, tuple(ids)) for doc, ids in encoded(docs, BYTES, [2]))
+    want = sorted((-1 if doc is None else doc, tuple(ids)) for doc, ids in encoded(docs, BYTES, [2]))
     by, bins = {}, {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
