@@ -76,3 +76,13 @@ def test_components(spark):
     got = {r.v: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: u.find(x) for x in list(u) if u.find(x) != x}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_low_bytes_that_agree_by_chance_dont_lose_a_pair(spark):
+    """The pair's signatures share the low bytes of band 0 but not its bucket; their first bucket is band 1, and theirs alone."""
+    draw = random.Random(817)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:30], "other", *words[31:]]))], "doc_id long, text string")
+    one, two = minhash.signatures(docs).orderBy("doc_id").collect()
+    assert one.sig[:4] == two.sig[:4] and one.keys[0] != two.keys[0] and one.keys[1] == two.keys[1]
+    assert [r.component_id for r in minhash.near_duplicates(docs, 80).collect()] == [1, 1]

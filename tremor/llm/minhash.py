@@ -116,7 +116,11 @@ def ranked(order: np.ndarray, groups: np.ndarray) -> np.ndarray:
 
 
 def by_signature(x: pd.DataFrame, percent: int) -> Iterator[tuple[int, int, bool]]:
-    """Each row of a cell with the partner whose signature agrees best. A pair that met in an earlier band is left to it."""
+    """Each row of a cell with the partner whose signature agrees best, first among those that haven't met it yet.
+
+    The signature's low bytes may agree by chance in a band where the pair shares no bucket, so they only order partners: a
+    pair that seems to have met is taken last, but never left out.
+    """
     n, doc, band = x["n"].to_numpy(), x["doc_id"].to_numpy(), int(x["band"].iloc[0])
     sig = np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), COORDS)
     least = agreeing(percent)
@@ -125,10 +129,9 @@ def by_signature(x: pd.DataFrame, percent: int) -> Iterator[tuple[int, int, bool
         agree = same.sum(axis=1)
         agree[i] = 0
         at = np.flatnonzero((agree >= least) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-        if band and len(at):
-            at = at[~same[at].reshape(len(at), BANDS, -1)[:, :band].all(axis=2).any(axis=1)]
         if len(at):
-            yield doc[i], doc[at[np.lexsort((doc[at], -agree[at]))[0]]], len(at) > 1
+            met = same[at].reshape(len(at), BANDS, -1)[:, :band].all(axis=2).any(axis=1)
+            yield doc[i], doc[at[np.lexsort((doc[at], -agree[at], met))[0]]], len(at) > 1
 
 
 def by_bound(x: pd.DataFrame, percent: int, best: int) -> Iterator[tuple[int, int, bool]]:
