@@ -116,6 +116,28 @@ def test_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LONG = "A sentence of the main text. " * 12
+TEXT = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><div><p>{LONG}</p></div><aside><article><p>Teaser</p></article></aside></body>", TEXT),
+        (f"<body><div><p>{LONG}</p></div><div class=related><article><a href=x>Teaser</a></article></div></body>", TEXT),
+        (f"<body><!-- <main> --><script>var a = '<article>';</script><div><p>{LONG}</p></div></body>", TEXT),
+        (f"<body><div><p>{LONG}</p></div><ul class=menu><li>One</ul><article><p>Card</p></article></body>", TEXT),
+        (f"<body><div class='content no-sidebar'><article><p>{LONG}</p><div class=ad>Buy</div><p>Tail</p></article></div></body>", f"{TEXT}\nTail"),
+        (f"<body><div class='with-ads'><p>{LONG}</p></div></body>", TEXT),
+        (f"<body><div class='comments-open'><article><p>{LONG}</p></article></div></body>", TEXT),
+        (f"<body><div class='social-story'><article><p>{LONG}</p></article><div class='cookie-bar'>We use cookies</div></div></body>", TEXT),
+        (f"<body><article><p>{LONG}</p></article><div class='article-comments'><p>{LONG}</p></div></body>", TEXT),
+    ],
+)
+def test_a_mark_or_a_name_doesnt_empty_a_page(page, want):
+    assert html.main_text(page) == want
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     draw = random.Random(6)

@@ -2,7 +2,8 @@
 
 Markup is stripped to lines, one for each block. Menus, footers, adverts, forms, comments and the like leave gaps of empty
 lines. The weight of a line is the length of its text outside links; the weights of BLOCK lines from each line on are summed.
-Text starts where the sums surge and ends where they dive to nothing, and all lines between surge and dive are kept.
+Text starts where the sums surge and ends where they dive to nothing, and all lines between surge and dive are kept. An
+article or main element that is really open narrows the page to its lines, unless it holds little of the page's text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 3  # lines in a sliding window
 SURGE = 86  # characters in a window that begin a text, where a page doesn't mark its article
-SHARE = 0.2  # of the page's largest sum, likewise
+SHARE = 0.2  # of the page's largest sum, likewise; also the least part of a page's text that its main text is
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|textarea|title|iframe|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -28,44 +29,54 @@ _DROPPED = frozenset("nav footer aside form button label dialog menu".split())
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _PIECES = re.compile(r"[^a-z0-9]+")
+# Pieces of names that tell how a page is laid out ("no-sidebar", "comments-open"), not what an element is.
+_STATE = frozenset("no not with without has have is open opened closed enabled disabled on off active inactive layout".split())
 
 
-def _off(name: str, attributes: str, article: bool) -> bool:
-    """Whether an element with this start tag isn't part of the article."""
+def _off(name: str, attributes: str, article: bool) -> str:
+    """Why an element with this start tag isn't part of the article: "sure", "likely" (a piece of a name says so), or ""."""
     if name in _DROPPED or name == "header" and not article:
-        return True
+        return "sure"
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return ""
     if _HIDDEN.search(attributes):
-        return True
+        return "sure"
+    likely = ""
     for m in _NAMED.finditer(attributes):
-        words = (m[1] or m[2] or m[3] or "").lower()
-        if any(x in _ASIDE for y in words.split() for x in (y, *_PIECES.split(y))):
-            return True
-    return False
-
-
-def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
-    """The page's lines as (text, weight), empty ones for gaps, and whether it marks an article."""
-    lines: list[tuple[str, int]] = []
+        for y in (m[1] or m[2] or m[3] or "").lower().split():
+            if y in _ASIDE:
+                return "sure"
+            pieces = _PIECES.split(y)
+            if not _ASIDE.isdisjoint(pieces) and _STATE.isdisjoint(pieces):
+                likely = "likely"
+    return likely
+
+
+def lines_of(page: str, kept: frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, bool]], dict[int, int]]:
+    """The page's lines as (text, weight, whether in an article or main), empty ones for gaps; and the weight of each
+    element left out as likely, by its place. Those at the places `kept` stay."""
+    lines: list[tuple[str, int, bool]] = []
+    cut: dict[int, int] = {}
     text: list[str] = []
     linked = 0
-    skip, depth = "", 0  # the element being left out, and how many of its name are open
-    in_link, inside, marked = False, 0, bool(re.search(r"<(?:article|main)\b", page, re.I))
+    skip, depth, place = "", 0, -1  # the element being left out, how many of its name are open, its place if likely
+    in_link, inside = False, 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not skip and (inside or not marked):
+        if raw and not skip:
             text.append(raw)
             linked += len(raw) if in_link else 0
+        elif raw and place >= 0:
+            cut[place] += len(" ".join(raw.split()))
 
     def close(gap: bool = False) -> None:
         nonlocal linked
         whole = " ".join(html.unescape("".join(text)).split())
         if whole:
-            lines.append((whole, max(len(whole) - linked, 0)))
+            lines.append((whole, max(len(whole) - linked, 0), inside > 0))
         if gap:
-            lines.extend([("", 0)] * BLOCK)
+            lines.extend([("", 0, inside > 0)] * BLOCK)
         text.clear()
         linked = 0
 
@@ -93,10 +104,13 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
         if name == "br":
             text.append(" ")
             continue
-        if not closing and name not in _VOID and _off(name, m[4], inside > 0):
+        off = "" if closing or name in _VOID else _off(name, m[4], inside > 0)
+        if off == "sure" or off and m.start() not in kept:
             close(gap=True)
             if not m[4].endswith("/"):
-                skip, depth = name, 1
+                skip, depth, place = name, 1, m.start() if off == "likely" else -1
+                if off == "likely":
+                    cut[place] = 0
             continue
         if name == "a":
             in_link = not closing
@@ -108,21 +122,33 @@ def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
             in_link = False
     add(page[at:])
     close()
-    return lines, marked
+    return lines, cut
 
 
 def main_text(page: str) -> str:
     """The main text of one page, blocks joined by a line break."""
-    lines, marked = lines_of(page)
-    weights = [w for _, w in lines]
+    lines, cut = lines_of(page)
+    opened: frozenset[int] = frozenset()
+    while cut:  # an element that holds nearly all of the text isn't an aside, whatever its name
+        place = max(cut, key=cut.get)
+        held = sum(w for _, w, _ in lines)
+        if cut[place] < SURGE or held >= SHARE * (held + cut[place]):
+            break
+        opened |= {place}
+        lines, cut = lines_of(page, opened)
+    held, marked = sum(w for _, w, _ in lines), sum(w for _, w, inside in lines if inside)
+    narrow = any(x and inside for x, _, inside in lines) and marked >= SHARE * held
+    if narrow:
+        lines = [(x, w, inside) if inside else ("", 0, False) for x, w, inside in lines]
+    weights = [w for _, w, _ in lines]
     sums = [sum(weights[k : k + BLOCK]) for k in range(len(weights))]
     if not any(sums):
-        return "\n".join(x for x, _ in lines if x) if marked else ""
-    surge = 1 if marked else min(SURGE, SHARE * max(sums))
+        return "\n".join(x for x, _, inside in lines if x and inside)
+    surge = 1 if narrow else min(SURGE, SHARE * max(sums))  # a short paragraph between two adverts of an article is text
     kept: list[str] = []
     run: list[str] = []
     peak = gap = 0
-    for (line, weight), total in zip(lines, sums, strict=True):
+    for (line, _, _), total in zip(lines, sums, strict=True):
         if not line and not total:  # a dive: what came since the last one stands if it surged
             gap += 1
             if gap == 1:
