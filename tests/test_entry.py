@@ -52,3 +52,8 @@ def test_flagship(spark):
 
 def test_sql_only_for_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_specification_curve_takes_the_protocols_draws(spark):
+    (row,) = entry.queries()["c06_specification_curve"](spark, SF).collect()
+    assert row.draws == 1000

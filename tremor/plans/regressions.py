@@ -241,6 +241,9 @@ def c04_curve_statistics(spark, sf):
     return rounded(speccurve.statistics(fits, ["horizon"]), "median", "share", "stouffer", digits=6)
 
 
+NULL_DRAWS = 1000  # the protocol's B
+
+
 @query(None)
 def c06_specification_curve(spark, sf):
     """Specifications: each priority's index, over all days and over the first half of each year.
@@ -251,7 +254,7 @@ def c06_specification_curve(spark, sf):
     i = B.index(spark, sf).withColumn("x", F.log1p("value"))
     specs = p.join(i, "date").select("series_id", (F.col("t") - 1).alias("pos"), "y", "x").unionByName(p.join(i, "date").where(F.month("date") <= 6).select(F.concat("series_id", F.lit("/H1")).alias("series_id"), (F.col("t") - 1).alias("pos"), "y", "x"))
     n = p.count()
-    return rounded(speccurve.curve(specs.withColumnRenamed("series_id", "spec_id"), n, min(20, n), 40), "median", "share", "stouffer", digits=6)
+    return rounded(speccurve.curve(specs.withColumnRenamed("series_id", "spec_id"), n, min(20, n), NULL_DRAWS), "median", "share", "stouffer", digits=6)
 
 
 @query(None)
