@@ -173,3 +173,16 @@ def test_holm(spark):
     df = spark.createDataFrame([("g", "a", 0.01), ("g", "b", 0.04), ("g", "c", 0.03)], "grp string, name string, p double")
     got = {r.name: r.p_holm for r in indices.holm(df, "grp").collect()}
     assert got == pytest.approx({"a": 0.03, "c": 0.06, "b": 0.06})
+
+
+def test_neighbours_in_bounded_groups(spark, monkeypatch):
+    """Vectors dealt to more blocks and queries to chunks give the result of one group."""
+    draw = np.random.default_rng(8)
+    df = spark.createDataFrame([(k, draw.standard_normal(6).tolist()) for k in range(300)], "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 3 = 0")
+    want = sorted(map(tuple, indices.neighbours(df, queries, 3, blocks=1).select("query_id", "rank", "vec_id").collect()))
+    monkeypatch.setattr(indices, "BLOCK", 60)
+    monkeypatch.setattr(indices, "CHUNK", 25)
+    near = indices.neighbours(df, queries, 3, blocks=1)
+    assert sorted(map(tuple, near.select("query_id", "rank", "vec_id").collect())) == want
+    assert near.groupBy("query_id").count().where("count = 3").count() == 100

@@ -121,18 +121,23 @@ def agreement(ratings: DataFrame) -> DataFrame:
     return same.crossJoin(chance).select((1 - F.try_divide(F.col("n") - F.col("same"), F.col("n") - expected)).alias("alpha"))  # one row each
 
 
+BLOCK, CHUNK = 8192, 2048  # vectors and queries of one task's matrix product, about
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int, exclude: Column | None = None, blocks: int = 64) -> DataFrame:
     """(query_id, vec_id, cosine, rank): the k nearest vectors of every query by cosine, exactly.
 
-    The stated query set meets all rows in blocks: queries are copied to each block, a block keeps its own best k per query
-    by matrix product, and only those are compared across blocks.
+    The stated query set meets all rows in blocks, `blocks` of them or as many as keep a block near BLOCK rows, and in chunks
+    of about CHUNK queries: each chunk is copied to each block, a block keeps its own best k per query by matrix product, and
+    only those are compared across blocks. So a task's memory doesn't grow with the table.
     """
     import numpy as np
     import pandas as pd
 
-    parts = F.array(*map(F.lit, range(blocks)))
-    v = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "embedding")
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding"), F.explode(parts).alias("block"))
+    blocks, chunks = max(blocks, -(-vectors.count() // BLOCK)), max(1, -(-queries.count() // CHUNK))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), each(chunks).alias("chunk"), "vec_id", "embedding")
+    q = queries.select(F.col("vec_id").alias("query_id"), "embedding", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(chunks)).cast("int").alias("chunk"), each(blocks).alias("block"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -147,7 +152,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, exclude: Column |
             out.append(pd.DataFrame({"query_id": right["query_id"].iloc[i], "vec_id": ids[top], "cosine": row[top]}))
         return pd.concat(out)
 
-    near = v.groupBy("block").cogroup(q.groupBy("block")).applyInPandas(best, "query_id long, vec_id long, cosine double").where("cosine > -2")
+    near = v.groupBy("block", "chunk").cogroup(q.groupBy("block", "chunk")).applyInPandas(best, "query_id long, vec_id long, cosine double").where("cosine > -2")
     if exclude is not None:
         near = near.where(exclude)
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
