@@ -6,35 +6,38 @@ again as the next stage's docs. All stages but the last return the columns of do
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.llm import decontaminate, minhash, packing, substrings, toxicity
+from tremor.llm.registry import tokenizer
 from tremor.llm.shared import table, with_text, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the rejection threshold. The classifier learns from labelled rows of docs."""
-    scored = toxicity.scores(with_text(docs), table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 1").select("doc_id"))
+    """Documents that score below the rejection threshold. The classifier learns from labelled rows of docs. Every row is
+    judged by its own text: rows with equal ids, repeated rows and rows without an id too."""
+    scored = toxicity.scores(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
+    return scored.where("predicted = 0").select("rest.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id: five-word shingles, similarity 0.8 or more."""
+    """One document of each near-duplicate group, that with the smallest id: five-word shingles, similarity 0.8 or more.
+    Rows with equal ids and different texts are documents of their own; rows that repeat id and text stay or go together;
+    rows without an id stay."""
     found = minhash.near_duplicates(docs, percent=80)
-    return _without(docs, found.where("not kept").select("doc_id"))
+    rejected = found.where("not kept").select("doc_id", "text_hash").distinct()
+    rows = docs.select("doc_id", minhash.text_hash("text").alias("text_hash"), F.struct("*").alias("row"))
+    return rows.join(rejected, ["doc_id", "text_hash"], "left_anti").select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of passages of 13 words and more that an earlier document has. Texts that lose
-    nothing stay as they are."""
-    cut = substrings.remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("text").alias("_kept"))
-    cut = cut.dropDuplicates(["doc_id"])
-    joined = docs.join(cut, "doc_id", "left")
-    text = F.coalesce("_kept", "text")
-    columns = {"text": text, "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("long"))}
-    return joined.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
+    """All documents, without the words of passages of 13 words and more that a document with a smaller id has. Texts that
+    lose nothing stay as they are. Each row is cut for itself, whatever its id."""
+    cut = substrings.remove_repeats(docs, keep=docs.columns)
+    lost = F.col("n_removed") > 0
+    columns = {"text": F.when(lost, F.col("text")).otherwise(F.col("rest.text")), "n_chars": F.when(lost, F.length("text")).otherwise(F.col("rest.n_chars"))}
+    return cut.select(*(columns.get(c, F.col("rest")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +47,7 @@ def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens, with their ids."""
-    return packing.pack_documents(with_text(docs), public_tokenizers.path("byte_bpe_50k.json"), 2)
-
-
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of docs whose id isn't rejected; rows without an id stay."""
-    return docs.join(rejected.distinct(), "doc_id", "left_anti").select(docs.columns)
+    return packing.pack_documents(with_text(docs), tokenizer("byte_bpe_50k.json"), 2)
 
 
 STAGES = [

@@ -28,19 +28,40 @@ class Union(dict):
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates_equal_all_pairs(docs, none, percent):
     rows = [(r.doc_id, shingles(r.text)) for r in docs.select("doc_id", "text").collect()]
+    want = components_of(rows, percent)
+    got = minhash.near_duplicates(docs, percent).collect()
+    assert order((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == order((i, len(x), c, i is None or i == c) for (i, x), c in zip(rows, want, strict=True))
+    assert minhash.near_duplicates(none, percent).count() == 0
+
+
+def order(rows):
+    return sorted(rows, key=str)
+
+
+def components_of(rows, percent):
+    """By all pairs: the smallest id reachable from each row (id, set); an equal id is no link."""
     u = Union()
     for i, (a, x) in enumerate(rows):
-        for b, y in rows[:i]:
+        for j, (b, y) in enumerate(rows[:i]):
             if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
-                u.join(a, b)
-    got = minhash.near_duplicates(docs, percent).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        want = None if r.doc_id is None else u.find(r.doc_id)
-        assert r.component_id == want, r
-        assert r.kept == (r.doc_id is None or r.doc_id == want)
-        assert any(i == r.doc_id and len(x) == r.n_shingles for i, x in rows)
-    assert minhash.near_duplicates(none, percent).count() == 0
+                u.join(i, j)
+    least = {}
+    for i, (a, _) in enumerate(rows):
+        least[u.find(i)] = min(least.get(u.find(i), a), a) if a is not None else None
+    return [least[u.find(i)] for i in range(len(rows))]
+
+
+def test_rows_with_one_id_and_different_texts(spark):
+    draw = random.Random(21)
+    x, y = ([f"t{draw.randrange(10**6)}" for _ in range(50)] for _ in range(2))
+    near = lambda w: [*w[:25], "other", *w[26:]]
+    rows = [(1, x), (5, near(x)), (5, y), (9, near(y)), (5, y), (7, []), (5, [])]
+    for _ in range(3):
+        draw.shuffle(rows)
+        docs = spark.createDataFrame([(i, " ".join(w), 3, "h") for i, w in rows], "doc_id long, text string, v int, text_hash string")
+        want = components_of([(i, shingles(" ".join(w))) for i, w in rows], 80)
+        got = [(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 80).collect()]
+        assert order(got) == order((i, len(shingles(" ".join(w))), c) for (i, w), c in zip(rows, want, strict=True))
 
 
 def test_a_group_wider_than_the_threshold(spark):
@@ -83,6 +104,6 @@ def test_low_bytes_that_agree_by_chance_dont_lose_a_pair(spark):
     draw = random.Random(817)
     words = [f"w{draw.randrange(10**6)}" for _ in range(60)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:30], "other", *words[31:]]))], "doc_id long, text string")
-    one, two = minhash.signatures(docs).orderBy("doc_id").collect()
+    one, two = minhash.signatures(docs.withColumn("text_hash", minhash.text_hash("text"))).orderBy("doc_id").collect()
     assert one.sig[:4] == two.sig[:4] and one.keys[0] != two.keys[0] and one.keys[1] == two.keys[1]
     assert [r.component_id for r in minhash.near_duplicates(docs, 80).collect()] == [1, 1]

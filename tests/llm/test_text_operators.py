@@ -4,6 +4,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tremor.llm import decontaminate, html, shards, substrings, toxicity
@@ -34,6 +36,56 @@ def test_remove_repeats_equals_brute_force(docs, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_factors_equal_a_naive_parse(docs):
+    """Each factor is the longest run of windows whose earliest sources stand in a row in one document."""
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").distinct().collect() if r.doc_id is not None)
+    split = [(i, (t or "").split()) for i, t in rows]
+    source = {}
+    for i, words in split:
+        for k in range(len(words) - 12):
+            w = tuple(words[k : k + 13])
+            source[w] = min(source.get(w, (i, k)), (i, k))
+    got = {(r.doc_id, r.n_words): [tuple(f) for f in r.factors] for r in substrings.remove_repeats(docs).collect()}
+    seen = 0
+    for i, words in split:
+        want, k, covered = [], 0, 0
+        while k <= len(words) - 13:
+            doc, at = source[tuple(words[k : k + 13])]
+            if doc >= i:
+                k += 1
+                continue
+            n = 1
+            while k + n <= len(words) - 13 and source[tuple(words[k + n : k + n + 13])] == (doc, at + n):
+                n += 1
+            begin = max(k, covered)
+            covered = k + n + 12
+            want.append((begin, covered - begin, doc, at + begin - k))
+            k += n
+        assert got[i, len(words)] == want
+        seen += len(want)
+    assert seen > 10
+
+
+def test_one_hash_that_collides_is_no_source():
+    """A window's hash alone, or an anchor alone, gives no source: both must agree."""
+    anchor, code = np.array([5, 5, 9], np.uint64), np.array([7, 8, 7], np.uint64)
+    single = pa.scalar([{"w": 7, "anchor": 5, "origin": 1, "pos": 40}, {"w": 8, "anchor": 6, "origin": 1, "pos": 41}], pa.list_(pa.struct([(c, pa.int64()) for c in ("w", "anchor", "origin", "pos")])))
+    hit, doc, pos = substrings.sources(anchor, code, pa.scalar(None, pa.list_(pa.struct([]))), single)
+    assert hit.tolist() == [True, False, False] and (doc[0], pos[0]) == (1, 40)
+    assert substrings.factors(hit, doc, pos) == [(0, 13, 1, 40)]
+
+
+def test_rows_with_one_id_are_cut_each_for_itself(spark):
+    draw = random.Random(13)
+    text = lambda n: " ".join(f"v{draw.randrange(10**6)}" for _ in range(n))
+    a, b = text(30), text(30)
+    rows = [(1, a, "x"), (5, f"{a} tail", "y"), (5, b, "z"), (5, b, "z"), (9, f"{b} end", "q"), (None, a, "n")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, rest string")
+        got = sorted((r.doc_id or 0, r.rest.rest, r.text) for r in substrings.remove_repeats(docs, keep=["rest"]).collect())
+        assert got == sorted([(1, "x", a), (5, "y", "tail"), (5, "z", b), (5, "z", b), (9, "q", "end"), (0, "n", a)])
+
+
 def test_decontamination_tolerates_substitutions(spark, none):
     draw = random.Random(9)
     word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))

@@ -23,6 +23,21 @@ def test_ids_equal_the_library(name):
         assert encoder.ids(text).tolist() == encoder.units.encode(text), repr(text)
 
 
+def test_many_texts_at_once_and_a_memory_that_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 40)
+    draw = random.Random(6)
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    first = tokens.Known(tokens.Units(public_tokenizers.path("byte_bpe_50k.json")), {"hello": 1, "\x01hello": 1})
+    for _ in range(30):
+        texts = ["", *(" ".join("".join(draw.choice("abcé,.") for _ in range(draw.choice([1, 3, 5, 60]))) for _ in range(draw.randrange(30))) for _ in range(8)), "hello hello"]
+        want = [encoder.units.encode(x) for x in texts]
+        ids, n = encoder.batch(texts, 7)
+        assert ids.tolist() == [i for x in want for i in [*x, 7]] and n.tolist() == [len(x) + 1 for x in want]
+        number, units = first.look(texts)
+        assert tokens.per_text(first.n[number], units).tolist() == [len(x) for x in want]
+    assert len(encoder.known.number) <= 400 and len(first.number) <= 400
+
+
 def test_simple8b_round_trip():
     draw = np.random.default_rng(3)
     runs = [np.zeros(0, np.uint64), np.zeros(300, np.uint64), np.arange(1000, dtype=np.uint64), np.array([2**64 - 1, 0, 2**60, 2**60 - 1, 5, 2**63], np.uint64)]

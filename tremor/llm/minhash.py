@@ -5,7 +5,7 @@ table `pi` of that universe. Coordinate k is the smallest pi[(position + k) mod
 `COORDS` entries serves all coordinates of a shingle.
 
 How links are found without all pairs of a group:
-1. Equal shingle sets are one class (a grouped minimum); everything after works on one representative per class.
+1. Equal shingle sets are one class, whatever the ids; everything after works on classes, each with one text of its rows.
 2. `BANDS` bands of `COORDS // BANDS` coordinates give bucket keys. In each bucket, in cells of at most `CELL` rows, each
    document proposes the partner whose signature agrees best; proposals are verified on the full sets.
 3. Components are contracted. Within a bucket only members outside its largest component ("strays") still matter: they
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -68,11 +68,17 @@ class Signer:
         return np.minimum.reduce([self.runs[at[k : k + 2048]].min(axis=0) for k in range(0, len(at), 2048)])
 
 
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, keys array<long>"
+def text_hash(text: str) -> Column:
+    """Tells texts of rows with equal ids apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+_SIGNED = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, sig binary, keys array<long>"
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Per document: set size, a 128-bit hash of the set, the signature's low bytes and the band keys (null if empty)."""
+    """Per document (doc_id, text, text_hash): set size, a 128-bit hash of the set, the signature's low bytes and the band
+    keys (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
@@ -83,7 +89,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 h2 = np.array([W.mix(x ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) for x in found], np.uint64).view(np.int64)
                 full = np.array([len(x) > 0 for x in found], bool)
                 sig = np.array([signer.sign(x) for x in found if len(x)], np.uint32).reshape(-1, COORDS)
-                bands = sig.reshape(len(sig), BANDS, -1).astype(np.uint64)
+                bands = sig.reshape(len(sig), BANDS, COORDS // BANDS).astype(np.uint64)
                 keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bands.shape[:2]).copy()
                 for k in range(bands.shape[2]):
                     keys = W.mix(keys * np.uint64(0xD6E8FEB86659FD93) + bands[:, :, k])
@@ -93,13 +99,14 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, end - first),
+                        batch.column(2).slice(first, end - first),
                         pa.array([len(x) for x in found], pa.int64()),
                         pa.array(h1, pa.int64()),
                         pa.array(h2, pa.int64()),
                         pa.array([low[k].tobytes() if k >= 0 else None for k in at], pa.binary()),
                         pa.array([keys[k].view(np.int64) if k >= 0 else None for k in at], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "h1", "h2", "sig", "keys"],
+                    ["doc_id", "text_hash", "n_shingles", "h1", "h2", "sig", "keys"],
                 )
 
     return docs.mapInArrow(run, _SIGNED)
@@ -232,24 +239,27 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int = SH
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+    """doc_id, n_shingles, component_id, kept, text_hash for every row of docs.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| over distinct word shingles (A-Z lower-cased); component_id
     is the smallest id reachable. Null and empty texts have no shingles and stand alone; so does a row with a null id (its
-    component is null and it is kept). Rows with equal ids count as one document per distinct text and share links. Other
-    columns are ignored. An empty table gives no rows.
+    component is null and it is kept). Rows with equal ids are documents of their own: an equal id is no link. text_hash
+    tells their texts apart. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
-    docs = with_text(docs, id_col, text_col)
+    docs = with_text(docs, id_col, text_col).withColumn("text_hash", text_hash("text"))
     signed = written(signatures(docs, shingle), "signatures")
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = real.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    reps = written(reps, "representatives")
+    # v numbers the classes. All rows of a class have one signature; the text of the least (id, hash) stands for it.
+    of_class = real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("least"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    classes = written(of_class.withColumn("v", F.monotonically_increasing_id()), "classes")
+    reps = classes.select(F.col("v").alias("doc_id"), F.col("n_shingles").alias("n"), "sig", "keys")
     band = reps.select("doc_id", F.posexplode("keys").alias("band", "key"))
     shared_keys = band.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    buckets = written(band.join(shared_keys, "key").select("key", "band", "doc_id", "m"), "buckets")
-    members = buckets.select("doc_id").distinct()
-    texts = written(docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    # The explicit shuffle keeps the join apart from the aggregation, so that AQE can split a hot key's rows.
+    buckets = written(band.join(shared_keys.repartition("key"), "key").select("key", "band", "doc_id", "m"), "buckets")
+    members = classes.select(F.col("v").alias("doc_id"), F.col("least"), "text_hash").join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "v")
+    named = docs.withColumnRenamed("doc_id", "least").join(members, ["least", "text_hash"]).dropDuplicates(["least", "text_hash"])
+    texts = written(named.select(F.col("v").alias("doc_id"), "text"), "texts")
     signs = reps.select("doc_id", "n", "sig")
     cells = buckets.join(signs, "doc_id").select("key", F.expr(f"pmod(xxhash64(doc_id), ceil(m / {CELL}))").alias("cell"), "band", "doc_id", "n", "sig")
     tried = written(proposals(cells, percent), "proposals").select("a", "b")
@@ -262,7 +272,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
         sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("m").alias("m"))
         main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.max("m").alias("m")).where("main.c < m")
         main = main.select("key", F.col("main.comp").alias("main"), F.expr(f"ceil((m - main.c) / {CELL})").alias("ns"), F.expr(f"ceil(m / {CELL})").alias("nm"))
-        rows = placed.join(main, "key").join(bins, "doc_id").withColumn("stray", F.col("comp") != F.col("main"))
+        rows = placed.join(main.repartition("key"), "key").join(bins, "doc_id").withColumn("stray", F.col("comp") != F.col("main"))
         # A cell is a run of strays (left) against a run of all members (right); a small bucket is one cell.
         kept = ["doc_id", "n", "bins", "comp"]
         one = rows.where("nm = 1").select("key", F.lit(0).cast("long").alias("cell"), *kept, F.when(F.col("stray"), 2).otherwise(0).alias("side"))
@@ -281,6 +291,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
             roots = components(written(links.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b"))), "links"))
             tried = tried.unionByName(new)
         best *= GROWTH
-    of_class = classes.join(roots, F.col("rep") == F.col("v"), "left").select("h1", "h2", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    placed = signed.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2", "n_shingles"], "left")
-    return placed.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("root", "doc_id"), F.lit(True)).alias("kept"))
+    rooted = classes.join(roots, "v", "left").select("h1", "h2", "n_shingles", "least", F.coalesce("root", "v").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    of_set = rooted.join(smallest.repartition("root"), "root").select("h1", "h2", "n_shingles", "component")
+    placed = signed.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2", "n_shingles"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")

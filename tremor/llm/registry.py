@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,30 +11,37 @@ from . import decontaminate, html, jpeg, minhash, packing, shards, substrings, t
 from .shared import new_place, table, with_text
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer file lies; imported here, so that the other queries stand without the wheel."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_columns(table(spark, sf_dir, "documents"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = new_place(spark, "tokens")
-    tokenfiles.write_token_files(with_text(table(spark, sf_dir, "documents")), at, public_tokenizers.path("word_bpe_49k.json"), 1)
+    tokenfiles.write_token_files(with_text(table(spark, sf_dir, "documents")), at, tokenizer("word_bpe_49k.json"), 1)
     return tokenfiles.read_token_files(spark, at).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.scores(with_text(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rest")
 
 
 def op5_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(with_text(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"), 512)
+    return tokens.token_counts(with_text(table(spark, sf_dir, "documents")), tokenizer("byte_bpe_50k.json"), 512)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(with_text(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    packed = packing.pack_documents(with_text(table(spark, sf_dir, "documents")), tokenizer("byte_bpe_50k.json"), 2)
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 from math import exp, lgamma, log
@@ -26,10 +26,9 @@ LANDMARKS = 256
 LONGEST = 24  # characters: a longer word is scored by its overlapping pieces of this length
 SAMPLE = 3000  # labelled texts of each class that training reads at most, chosen by a hash of the id
 ROUNDS = 5
-SEEN = 200_000  # distinct words of clean texts that each round is tried against
 REMEMBERED = 400_000  # word scores a worker keeps
 THRESHOLD = 0.7
-APART = 600  # unlike labelled texts from which a third is kept for calibration
+ALIKE = 0.97  # kernel value from which a word adds nothing to the landmarks
 LOUD = 2.5  # log of how much more often a telling word is in toxic texts
 
 _WORD = re.compile(r"[^\s.,;:!?\"()\[\]{}<>«»„“”…]+")
@@ -239,18 +238,37 @@ def unlike(bags: list[list[str]], labels: np.ndarray) -> np.ndarray:
     return keep
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Trains on whole texts with labels 1 (toxic) or 0. With one class only, every score is that class's share."""
-    bags = [sorted({w for s in sentences(x) for w in s if LENGTH <= len(w) <= LONGEST}) for x in texts]
+def unalike(words: list[str], room: int) -> list[str]:
+    """Landmarks in order of preference: each word whose kernel value with every earlier one stays below ALIKE."""
+    words = list(dict.fromkeys(words))[: 4 * room]
+    if not words:
+        return []
+    s = _codes(words, max(map(len, words)))
+    size = np.sqrt(np.maximum(_self(s), 1e-12))
+    alike = kernel(s, s) / size[:, None] / size[None, :] >= ALIKE
+    chosen: list[int] = []
+    for k in range(len(words)):
+        if len(chosen) < room and not alike[k, chosen].any():
+            chosen.append(k)
+    return [words[k] for k in chosen]
+
+
+def bag_of(text: str) -> list[str]:
+    """The distinct words of a text's sentences that the kernel can compare."""
+    return sorted({w for s in sentences(text) for w in s if LENGTH <= len(w) <= LONGEST})
+
+
+def fit(bags: list[list[str]], labels: list[int]) -> Model:
+    """Trains on the words of whole texts with labels 1 (toxic) or 0. With one class only, every score is that class's share."""
     y = np.array(labels, int)
     if not y.any() or y.all():
         return Model([], np.zeros(0), 0.0, 1.0, 4.0 if y.any() else -4.0)
     fresh = unlike(bags, y)
     bags, y = [bag for bag, k in zip(bags, fresh, strict=True) if k], y[fresh]
-    # Scores are calibrated on texts whose words the machine hasn't seen, where there are enough.
-    aside = np.arange(len(y)) % 3 == 0 if len(y) >= APART else np.zeros(len(y), bool)
-    judged = ([bag for bag, k in zip(bags, aside, strict=True) if k], y[aside]) if aside.any() and 0 < y[aside].sum() < aside.sum() else (bags, y)
-    bags, y = [bag for bag, k in zip(bags, aside, strict=True) if not k], y[~aside]
+    # Two thirds of each class are learnt from; scores are calibrated on all, so also on words the machine hasn't seen.
+    nth = np.where(y == 1, np.cumsum(y) - 1, np.cumsum(1 - y) - 1)
+    judged, learnt = (bags, y), nth % 3 != 1
+    bags, y = [bag for bag, k in zip(bags, learnt, strict=True) if k], y[learnt]
     toxic, clean = Counter(), Counter()
     for bag, label in zip(bags, y, strict=True):
         (toxic if label else clean).update(bag)
@@ -261,8 +279,6 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     unclear = [bag for bag in guilty if not sure.intersection(bag)]
     common = [w for w, _ in clean.most_common(600)]
     innocent = sorted(clean)
-    if len(innocent) > SEEN:
-        innocent = [innocent[k] for k in np.sort(np.random.default_rng(0).choice(len(innocent), SEEN, replace=False))]
     every, hard, model = sorted({w for bag in unclear for w in bag}), [], None
     for _ in range(ROUNDS):
         counts = Counter({w: toxic[w] for w in sure})
@@ -273,11 +289,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             counts.update(w for bag in unclear if heard[w := max(bag, key=lambda v: (heard[v] + 0.25 * loud[v], v))] > -0.5)
         positive = sorted(counts, key=lambda w: (-counts[w], w))
         negative = sorted(set(common) | set(hard))
-        marks: list[str] = []
-        for group, room in ((positive, LANDMARKS * 3 // 4), (hard + common, LANDMARKS)):
-            for w in group:  # not too alike
-                if len(marks) < room and w not in marks and sum(w[:4] == v[:4] for v in marks) < 4:
-                    marks.append(w)
+        marks = unalike(positive, LANDMARKS * 3 // 4)
+        marks += unalike([w for w in hard + common if w not in set(marks)], LANDMARKS - len(marks))
         t = _codes(marks, max(map(len, marks)))
         size = np.sqrt(_self(t))
         gram = kernel(t, t) / size[:, None] / size[None, :]
@@ -301,13 +314,20 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on labelled rows of docs (doc_id, text) whose crc32(doc_id as text) mod 3 isn't 1: at most `sample` of each class."""
+    """Fits on labelled rows of docs (doc_id, text) whose crc32(doc_id as text) mod 3 isn't 1: at most `sample` of each class.
+    Texts are reduced to their distinct words where they lie; only those come to the driver."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out("doc_id"))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(bag_of, batch.column(1).to_pylist()), pa.list_(pa.string()))], ["doc_id", "bag"])
+
     rows = []
     for label in (1, 0):
         chosen = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")
-        rows += [(r.text, label) for r in docs.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").limit(2 * sample).collect()]
+        mine = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        rows += [(r.bag, label) for r in mine.mapInArrow(words, "doc_id long, bag array<string>").orderBy("doc_id", "bag").limit(2 * sample).collect()]
     return fit([x for x, _ in rows], [y for _, y in rows])
 
 
@@ -315,26 +335,29 @@ def held_out(column: str) -> Column:
     return F.crc32(F.encode(F.col(column).cast("string"), "utf-8")) % 3 == 1
 
 
-def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs (doc_id, text); only the text decides a score.
+def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and rest (a struct of the columns in `keep`) for every row of docs; only the text
+    decides a score.
 
-    Null and empty texts have no words and get the score of a text with nothing to say. Equal texts score alike. Without
-    labels, or with one class, all texts score the same. A null id is not held out.
+    Null and empty texts have no words and get the score of a text with nothing to say. Equal texts score alike, whatever
+    their ids. Without labels, or with one class, all texts score the same. A null id is not held out. Other columns are
+    ignored, whatever their names. An empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*(F.col(c) for c in keep or ["doc_id"])).alias("rest"))
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows, labels, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value, {}
         for batch in batches:
             for k in range(0, len(batch), 1024):
                 part = batch.slice(k, 1024)
-                bags = [units(x) for x in part.column("text").to_pylist()]
+                bags = [units(x) for x in part.column(1).to_pylist()]
                 if len(known) > REMEMBERED:
                     known = {}
                 new = list(set().union(*bags).difference(known))
                 known.update(zip(new, model.margins(new).tolist(), strict=True))
                 out = [model.score(max(map(known.__getitem__, bag), default=model.bias)) for bag in bags]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64()), part.column(2)], ["doc_id", "score", "rest"])
 
-    scored = docs.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = rows.mapInArrow(run, f"doc_id long, score double, rest {rows.schema['rest'].dataType.simpleString()}")
+    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "rest")
