@@ -15,10 +15,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
-from .tokens import Encoder
+from .shared import slices, written
+from .tokens import SLICE, encoder, ranges
 
 CAPACITY = 1024
+BROADCAST_STARTS = 2_000_000  # rows (16 bytes each) up to which the pieces before each chunk are broadcast; more are joined by a shuffle
 PIECES = "chunk int, doc_id long, piece int, start long, length int, rank long, ids binary"
 
 
@@ -29,20 +30,26 @@ def pieces(docs: DataFrame, path: str, end_id: int | None = 2, capacity: int = C
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, chunk, seen = Encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
-        for part in (batch.slice(k, 512) for batch in batches for k in range(0, len(batch), 512)):
-            out: list[tuple] = []
-            for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.batch(part.column("text").to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n else []
-                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    out.append((chunk, doc, k, a, b - a, seen[b - a], ids[4 * a : 4 * b]))
-                    seen[b - a] += 1
-            if out:
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["chunk", "doc_id", "piece", "start", "length", "rank", "ids"])
+        mine, chunk, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            for first, last, _, _ in slices(batch, limit=SLICE):
+                part = batch.slice(first, last - first)
+                ids, n = mine.batch(part.column("text").to_pylist(), end_id)
+                many = -(-n // capacity)
+                doc, piece = np.repeat(np.arange(len(n)), many), ranges(np.zeros_like(many), many)
+                head = n - (many - 1) * capacity  # the first piece of each document
+                start = np.where(piece == 0, 0, head[doc] + (piece - 1) * capacity)
+                length = np.where(piece == 0, head[doc], capacity)
+                by = np.argsort(length, kind="stable")
+                nth = np.empty(len(length), np.int64)  # of its length in this part
+                nth[by] = np.arange(len(by)) - np.searchsorted(length[by], length[by])
+                rank = seen[length] + nth
+                seen += np.bincount(length, minlength=capacity + 1)
+                raw = ids.astype("<u4").tobytes()
+                ends = 4 * np.cumsum(length)
+                cut = [raw[a:b] for a, b in zip((ends - 4 * length).tolist(), ends.tolist(), strict=True)]
+                columns = [pa.array(np.full(len(length), chunk), pa.int32()), part.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length, pa.int32()), pa.array(rank), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "doc_id", "piece", "start", "length", "rank", "ids"])
 
     return docs.mapInArrow(run, PIECES)
 
@@ -111,7 +118,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         first += times
     plan = spark.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in entries.items()})
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = cut.join(local.select("chunk", "length", before.alias("before")), ["chunk", "length"]).withColumn("nth", F.col("before") + F.col("rank")).drop("before", "rank")
+    starts = written(local.select("chunk", "length", before.alias("before")), "starts")
+    # At most chunks * capacity rows: broadcast while they are few, so that no ids are shuffled.
+    starts = F.broadcast(starts) if starts.count() <= BROADCAST_STARTS else starts
+    ranked = cut.join(starts, ["chunk", "length"]).withColumn("nth", F.col("before") + F.col("rank")).drop("before", "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
