@@ -89,8 +89,8 @@ def test_rows_with_one_id_are_cut_each_for_itself(spark):
 def test_decontamination_tolerates_substitutions(spark, none):
     draw = random.Random(9)
     word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
-    items = [(k, " ".join(word() for _ in range(draw.randint(13, 40)))) for k in range(30)] + [(30, "too short to count"), (31, None), (32, "")]
-    rows = [(0, None), (1, ""), (2, "a b c"), (None, items[0][1])]
+    items = [(k, " ".join(word() for _ in range(draw.randint(13, 40)))) for k in range(30)] + [(30, "short item"), (31, None), (32, ""), (33, "alone"), (0, "clash of words")]
+    rows = [(0, None), (1, ""), (2, "a b c"), (None, items[0][1]), (200, "a Short, ITEM here"), (201, "short a item"), (202, "Alone!"), (203, "aloneness short items"), (204, "of a clash of words"), (2, "a short item"), (2, "a short item")]
     for k in range(3, 120):
         text = items[draw.randrange(30)][1].split()
         a = draw.randrange(len(text))
@@ -105,7 +105,7 @@ def test_decontamination_tolerates_substitutions(spark, none):
         words = split(t)
         for j, s in items:
             item = split(s)
-            if any(sum(x == y for x, y in zip(words[p : p + 13], item[q : q + 13], strict=False)) >= 11 for p in range(len(words) - 12) for q in range(len(item) - 12)):
+            if 0 < len(item) < 13 and any(words[p : p + len(item)] == item for p in range(len(words))) or any(sum(x == y for x, y in zip(words[p : p + 13], item[q : q + 13], strict=False)) >= 11 for p in range(len(words) - 12) for q in range(len(item) - 12)):
                 want.setdefault(i, set()).add(j)
     got = decontaminate.contamination(d, b).collect()
     assert {r.doc_id: r.n_items for r in got if r.doc_id is not None} == {i: len(want.get(i, ())) for i, _ in rows if i is not None}
@@ -138,14 +138,43 @@ def test_shards(docs, none):
     assert len({r.shard for r in few}) == 3
 
 
+def curve(bits):
+    """The Hilbert curve over 2 ** bits x 2 ** bits cells, by the recursion of its four quarters."""
+    if not bits:
+        return [(0, 0)]
+    part, half = curve(bits - 1), 1 << (bits - 1)
+    return [(y, x) for x, y in part] + [(x, y + half) for x, y in part] + [(x + half, y + half) for x, y in part] + [(2 * half - 1 - y, half - 1 - x) for x, y in part]
+
+
+def test_hilbert_visits_neighbours():
+    side = np.arange(16)
+    flat = np.stack(np.meshgrid(side, side, indexing="ij"), -1).reshape(-1, 2)
+    order = flat[np.argsort(shards.hilbert(flat, 4))].tolist()
+    assert order in ([list(c) for c in curve(4)], [[y, x] for x, y in curve(4)])
+    for dims, bits in ((3, 4), (4, 2)):
+        cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
+        at = shards.hilbert(cells, bits)
+        assert sorted(at.tolist()) == list(range(len(cells)))
+        assert (np.abs(np.diff(cells[np.argsort(at)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_shards_follow_the_curve_and_whole_strings(spark):
+    rows = [(k, "x" * (k % 37), f"https://example.org/{k % 20:02d}") for k in range(400)]
+    got = shards.assign(spark.createDataFrame(rows, "doc_id long, text string, source string"), 8).orderBy("shard", "slot").collect()
+    assert [(r.place, r.doc_id) for r in got] == sorted((r.place, r.doc_id) for r in got)
+    per = [len({rows[r.doc_id][2] for r in got if r.shard == k}) for k in range(8)]
+    assert max(per) < 20  # each shard holds some of the sources only
+
+
 def test_written_shards(spark, docs):
     from tremor.llm.shared import new_place
 
-    unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    clash = docs.withColumnRenamed("score", "shard").withColumnRenamed("key", "slot")
     at = new_place(spark, "shards")
-    shards.write_shards(unique, at, 5)
+    shards.write_shards(clash, at, 5)
     back = spark.read.parquet(at)
-    assert back.count() == unique.count() and back.select("shard").distinct().count() == 5
+    assert back.select("shard_").distinct().count() == 5
+    assert sorted(map(str, back.select(clash.columns).collect())) == sorted(map(str, clash.collect()))
 
 
 PAGES = {
@@ -183,6 +212,10 @@ TEXT = LONG.strip()
         (f"<body><div class='with-ads'><p>{LONG}</p></div></body>", TEXT),
         (f"<body><div class='comments-open'><article><p>{LONG}</p></article></div></body>", TEXT),
         (f"<body><div class='social-story'><article><p>{LONG}</p></article><div class='cookie-bar'>We use cookies</div></div></body>", TEXT),
+        (f"<body><div class='menu-reform'><p>{LONG}</p></div><article><p>{LONG}</p><div class='menu-reform'><p>Real text.</p></div></article></body>", f"{TEXT}\nReal text."),
+        (f"<body><div class='social-science'><p>{LONG}</p></div><div class='cookie-bar'>We use cookies and you may like them</div></body>", TEXT),
+        (f"<body><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul><h1>Head of it</h1><p>A <label>marked</label> word, <button>x</button>here. {LONG}</p><p>Tail</p></body>", f"Head of it\nA marked word, here. {TEXT}\nTail"),
+        (f"<article><p>{LONG}</p><div class=ad>Buy</div><aside>x</aside><p>Short</p><div class=ad>Buy</div><p>End</p></article>", f"{TEXT}\nShort\nEnd"),
         (f"<body><article><p>{LONG}</p></article><div class='article-comments'><p>{LONG}</p></div></body>", TEXT),
     ],
 )

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tremor.llm import packing, simple8b, tokens
@@ -23,6 +24,17 @@ def test_ids_equal_the_library(name):
         assert encoder.ids(text).tolist() == encoder.units.encode(text), repr(text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_even_texts_at_once(name):
+    """Texts without odd signs take the way that cuts all of them in native code."""
+    encoder = tokens.Encoder(public_tokenizers.path(name))
+    draw = random.Random(8)
+    texts = ["".join(draw.choice(["The", "word", "É", "é", "12", " ", " ", "  ", "\n", "'s", ",", ".", "\xa0", "\u2003", "\x85", "\u200b", "ß", "İ", "\t"]) for _ in range(draw.randrange(30))) for _ in range(2000)]
+    ids, n = encoder.batch(pa.array(texts))
+    want = [encoder.units.encode(x) for x in texts]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 def test_many_texts_at_once_and_a_memory_that_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_UNITS", 40)
     draw = random.Random(6)
@@ -31,9 +43,9 @@ def test_many_texts_at_once_and_a_memory_that_forgets(monkeypatch):
     for _ in range(30):
         texts = ["", *(" ".join("".join(draw.choice("abcé,.") for _ in range(draw.choice([1, 3, 5, 60]))) for _ in range(draw.randrange(30))) for _ in range(8)), "hello hello"]
         want = [encoder.units.encode(x) for x in texts]
-        ids, n = encoder.batch(texts, 7)
+        ids, n = encoder.batch(pa.array(texts), 7)
         assert ids.tolist() == [i for x in want for i in [*x, 7]] and n.tolist() == [len(x) + 1 for x in want]
-        number, units = first.look(texts)
+        number, units = first.look(pa.array(texts))
         assert tokens.per_text(first.n[number], units).tolist() == [len(x) for x in want]
     assert len(encoder.known.number) <= 400 and len(first.number) <= 400
 

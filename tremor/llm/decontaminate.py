@@ -3,7 +3,7 @@
 A mask picks some of the next few words; their hash is a seed. Every 13 words with at most two substitutions contain a
 place where one of the two masks meets equal words only (checked over all pairs of places), so the seed join loses no
 overlap of that kind. Each hit fixes an item and a diagonal; the words along it are compared where the seed hit, before
-any shuffle.
+any shuffle. An item of fewer words than a window is one seed of its whole length, without substitutions.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 # Places that each mask looks at. Two masks of weight 6 that are lossless for WINDOW words with SUBSTITUTIONS differing.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW, SUBSTITUTIONS = 13, 2
-BROADCAST_SEEDS = 500_000  # a larger seed table is joined by a shuffle
+AROUND = WINDOW - 1  # words before a seed's place that can matter to it
+BROADCAST_SEEDS = 200_000  # a larger seed table (some 300 bytes a row) is joined by a shuffle
 
 
 def words(text: Column) -> Column:
@@ -32,22 +33,42 @@ def _seeds(df: DataFrame, keep: list[str], array: str, at: str) -> DataFrame:
     return placed.select(*keep, array, at, F.explode(F.array(*keys)).alias("key")).where("key is not null")
 
 
+def _near(seeds: DataFrame, array: str, at: str) -> DataFrame:
+    """Seeds with only the words of their array that a window around them can hold, and their place among those."""
+    back = F.least(F.lit(AROUND), F.col(at))
+    return seeds.withColumns({array: F.slice(array, F.col(at) - back + 1, back + WINDOW), at: back})
+
+
+def _whole(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, matched) for items of fewer than WINDOW words that a text has word by word. One key for each place
+    and each length that such an item has, so at most WINDOW - 1 of them."""
+    short = items.where(F.size("item").between(1, WINDOW - 1)).select("item_id", "item", F.size("item").alias("n"), F.xxhash64("item").alias("key"))
+    lengths = sorted(r.n for r in short.select("n").distinct().collect())
+    placed = texts.where(F.size("doc") > 0).select("doc_id", "doc", F.posexplode("doc").alias("p", "_"))
+    parts = [F.when(F.col("p") + n <= F.size("doc"), F.slice("doc", F.col("p") + 1, n)) for n in lengths]
+    each = placed.select("doc_id", F.explode(F.array(*parts) if parts else F.array(F.lit(None).cast("array<string>"))).alias("part")).where("part is not null")
+    joined = each.withColumn("key", F.xxhash64("part")).join(F.broadcast(short) if short.count() <= BROADCAST_SEEDS else short, "key")
+    return joined.where("part = item").select("doc_id", "item_id", F.col("n").alias("matched"))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, matched): documents that share WINDOW consecutive words with an item, at most SUBSTITUTIONS of
     them differing; matched is the largest number of equal words in such a window.
 
-    Items of fewer than WINDOW words, null and empty texts overlap nothing. A small seed table is broadcast; its rows are
-    counted first, and a larger one takes a shuffle join.
+    An item of fewer than WINDOW words overlaps the documents that hold all of it word by word. Null and empty texts overlap
+    nothing. A small seed table is broadcast; its rows are counted first, and a larger one takes a shuffle join, for which
+    each seed takes only the words around it along.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("item")).where(F.size("item") >= WINDOW).dropDuplicates()
-    seeds = _seeds(items, ["item_id"], "item", "q")
+    every = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("item")).dropDuplicates()
+    items = every.where(F.size("item") >= WINDOW)
+    seeds = _near(_seeds(items, ["item_id"], "item", "q"), "item", "q")
     small = seeds.count() <= BROADCAST_SEEDS
     texts = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("doc"))
     places = _seeds(texts.where(F.size("doc") >= WINDOW), ["doc_id"], "doc", "p")
-    joined = places.join(F.broadcast(seeds) if small else seeds, "key")
+    joined = places.join(F.broadcast(seeds), "key") if small else _near(places, "doc", "p").join(seeds, "key")
     # The words around the hit on either side: every window that holds the seed lies in them. The partition id is only there
     # to keep the comparison below from being pushed into the join, which would then copy the document for every place.
-    back = F.least(F.lit(WINDOW - 1), "p", "q")
+    back = F.least(F.lit(AROUND), "p", "q")
     many = back + F.least(F.lit(WINDOW), F.size("doc") - F.col("p"), F.size("item") - F.col("q"))
     near = joined.select("doc_id", "item_id", F.slice("doc", F.col("p") - back + 1, many).alias("doc"), F.slice("item", F.col("q") - back + 1, many).alias("item"), F.spark_partition_id().alias("part"))
     begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("bits"), F.lit(0).alias("best"))
@@ -60,7 +81,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     equal = F.zip_with("doc", "item", lambda x, y: x == y)
     walked = near.select("doc_id", "item_id", "part", F.aggregate(equal, begin, step)["best"].alias("matched"))
-    return walked.where((F.col("matched") >= WINDOW - SUBSTITUTIONS) & (F.col("part") >= 0)).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+    found = walked.where((F.col("matched") >= WINDOW - SUBSTITUTIONS) & (F.col("part") >= 0)).select("doc_id", "item_id", "matched")
+    if not every.where(F.size("item").between(1, WINDOW - 1)).isEmpty():
+        found = found.unionByName(_whole(texts, every))
+    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,6 +114,8 @@ bk as (select item_id, q, item[q] || ' ' || item[q + 1] || ' ' || item[q + 2] ||
 g as (select distinct doc_id, item_id, p - q as diagonal from dk join bk using (k)),
 m as (select doc_id, item_id, list_transform(range(1, len(item) + 1), lambda i: case when i + diagonal >= 1 and doc[greatest(i + diagonal, 1)] = item[i] then 1 else 0 end) as same from g join d using (doc_id) join bi using (item_id)),
 f as (select distinct doc_id, item_id from m where len(list_filter(range(1, len(same) - {WINDOW - 2}), lambda i: list_sum(same[i : i + {WINDOW - 1}]) >= {WINDOW - SUBSTITUTIONS})) > 0),
-n as (select doc_id, count(*) as n_items from f group by doc_id)
+bs as (select item_id, ' ' || array_to_string(item, ' ') || ' ' as item from b where len(item) between 1 and {WINDOW - 1}),
+fs as (select distinct doc_id, item_id from d join bs on contains(' ' || array_to_string(doc, ' ') || ' ', item)),
+n as (select doc_id, count(*) as n_items from (from f union from fs) group by doc_id)
 select d.doc_id, coalesce(n_items, 0) as n_items, n_items is not null as contaminated from documents d left join n using (doc_id)
 """

@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, path: str, end_id: int | None = 2, capacity: int = C
         for batch in batches:
             for first, last, _, _ in slices(batch, limit=SLICE):
                 part = batch.slice(first, last - first)
-                ids, n = mine.batch(part.column("text").to_pylist(), end_id)
+                ids, n = mine.batch(part.column("text"), end_id)
                 many = -(-n // capacity)
                 doc, piece = np.repeat(np.arange(len(n)), many), ranges(np.zeros_like(many), many)
                 head = n - (many - 1) * capacity  # the first piece of each document

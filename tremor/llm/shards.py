@@ -49,56 +49,82 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A number that keeps the order of a column: its value, or the first bytes of a string."""
-    kind = dict(df.dtypes)[name]
-    if kind == "string":
-        return F.conv(F.hex(F.rpad(F.substring(F.encode(F.coalesce(name, F.lit("")), "utf-8"), 1, 6), 6, F.lit(b"\0"))), 16, 10).cast("long")
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+def _before(df: DataFrame, order: Sequence[str], weight: str | None = None) -> DataFrame:
+    """df (written first) with the sum of `weight` (default: one a row) over all rows before each in `order`, and the total.
+
+    Rows are dealt by ranges; only one count for each partition meets in one place.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = np.ones(len(b), np.int64) if weight is None else b.column(b.schema.get_field_index(weight)).to_numpy()
+            ends = before + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(b), part), pa.int32()), pa.array(ends - n, pa.int64()), pa.array(n, pa.int64())], [*b.schema.names, "_part", "_nth", "_n"])
+            before = int(ends[-1]) if len(b) else before
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    dealt = df.repartitionByRange(parallelism(df), *order).sortWithinPartitions(*order)
+    ranked = written(dealt.mapInArrow(number, f"{schema}, _part int, _nth long, _n long"), "ranked")
+    parts = ranked.groupBy("_part").agg(F.sum("_n").alias("n"))  # a row for each partition
+    whole = Window.orderBy("_part")
+    parts = parts.select("_part", F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    return ranked.join(parts, "_part").withColumn("before", F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_n", "_before")
+
+
+BROADCAST_VALUES = 1_000_000  # distinct values of a dimension up to which their cells are broadcast; more are joined by a shuffle
 
 
-def assign(docs: DataFrame, shards: int = 24, dims: Sequence[str] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, place, shard, slot for every row of docs: law `rows`, counts at most one apart.
+def _celled(traits: DataFrame, name: str) -> DataFrame:
+    """traits with `name`, a string, replaced by its cell: distinct values in their whole order, cut where rows before them
+    pass each 2 ** -BITS of all rows."""
+    values = _before(traits.groupBy(name).agg(F.count("*").alias("n")), [name], "n")
+    cells = values.select(name, F.expr(f"cast((before * {1 << BITS}) div total as int)").alias("_cell"))
+    cells = F.broadcast(cells) if values.count() <= BROADCAST_VALUES else cells
+    return traits.join(cells, name).drop(name).withColumnRenamed("_cell", name)
 
-    size: UTF-8 bytes of the text (null: none) plus 8; it is the last dimension, after `dims` (those that docs has). Each
-    dimension is cut at its own quantiles. Equal places are ordered by id, then checksum. Null ids come first; equal rows
-    take a slot each; an empty table gives no rows.
+
+def assign(docs: DataFrame, shards: int = 24, dims: Sequence[str] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, place, shard, slot and rest (a struct of the columns in `keep`) for every row of docs: law
+    `rows`, counts at most one apart.
+
+    size: UTF-8 bytes of the text (null: none) plus 8; it is the last dimension, after `dims` (those that docs has). Numbers
+    are cut at their quantiles, strings (null: empty) by their whole value. Equal places are ordered by id, then checksum.
+    Null ids come first; equal rows take a slot each; an empty table gives no rows.
     """
     dims = [c for c in dims if c in docs.columns]
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8
     crc = F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8"))
-    traits = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), *(_number(docs, c).alias(f"dim{k}") for k, c in enumerate(dims)))
-    names = [*(f"dim{k}" for k in range(len(dims))), "size"]
-    steps = F.array(*(F.lit(k / (1 << BITS)) for k in range(1, 1 << BITS)))
+    strings = {f"dim{k}": dict(docs.dtypes)[c] == "string" for k, c in enumerate(dims)}
+    values = [F.coalesce(F.col(c), F.lit("")) if strings[f"dim{k}"] else F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for k, c in enumerate(dims)]
+    traits = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), *(v.alias(f"dim{k}") for k, v in enumerate(values)), F.struct(*(F.col(c) for c in keep or [id_col])).alias("rest"))
+    names = [*strings, "size"]
     traits = written(traits, "traits")
-    edges = traits.select(*(F.percentile_approx(c, steps, 10_000).alias(c) for c in names)).first()
-    cuts = [sorted(set(edges[c] or [])) for c in names]
+    numbers = [c for c in names if not strings.get(c)]
+    steps = F.array(*(F.lit(k / (1 << BITS)) for k in range(1, 1 << BITS)))
+    edges = traits.select(*(F.percentile_approx(c, steps, 10_000).alias(c) for c in numbers)).first()
+    cuts = [sorted(set(edges[c] or [])) if c in numbers else None for c in names]
+    for c in names:
+        if c not in numbers:
+            traits = _celled(traits, c)
 
     @F.pandas_udf("long")
     def place(*columns: pd.Series) -> pd.Series:
-        cells = [np.minimum(np.searchsorted(np.array(c), x.to_numpy(), "right"), (1 << BITS) - 1) if c else np.zeros(len(x), int) for c, x in zip(cuts, columns, strict=True)]
+        cells = [x.to_numpy().astype(np.int64) if c is None else np.minimum(np.searchsorted(np.array(c), x.to_numpy(), "right"), (1 << BITS) - 1) for c, x in zip(cuts, columns, strict=True)]
         return pd.Series(hilbert(np.stack(cells, 1), BITS))
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), 0
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(b), part), pa.int32()), pa.array(np.arange(before, before + len(b)), pa.int64())], [*b.schema.names, "part", "nth"])
-            before += len(b)
-
-    order = ["place", "doc_id", "text_crc32"]
-    placed = traits.select("doc_id", "size", "text_crc32", place(*names).alias("place"))
-    dealt = placed.repartitionByRange(parallelism(placed), *order).sortWithinPartitions(*order)
-    ranked = written(dealt.mapInArrow(number, "doc_id long, size long, text_crc32 long, place long, part int, nth long"), "ranked")
-    parts = ranked.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
-    whole = Window.orderBy("part")
-    parts = parts.select("part", F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
-    rank = ranked.join(parts, "part").withColumn("rank", F.col("before") + F.col("nth"))
-    rank = rank.withColumn("shard", F.expr(f"cast((rank * {shards}) div total as int)"))
+    rank = _before(traits.select("doc_id", "size", "text_crc32", place(*names).alias("place"), "rest"), ["place", "doc_id", "text_crc32"])
+    rank = rank.withColumn("shard", F.expr(f"cast((before * {shards}) div total as int)"))
     first = F.expr(f"(cast(shard as long) * total + {shards - 1}) div {shards}")
-    return rank.select("doc_id", "size", "text_crc32", "place", "shard", (F.col("rank") - first).alias("slot"))
-
-
-def write_shards(docs: DataFrame, to: str, shards: int = 24, dims: Sequence[str] = ("source", "lang")) -> None:
-    """Writes docs (unique doc_id) as Parquet under `to`, one folder for each shard, rows in slot order."""
-    placed = assign(docs, shards, dims).select("doc_id", "shard", "slot")
-    docs.join(placed, "doc_id").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(to)
+    return rank.select("doc_id", "size", "text_crc32", "place", "shard", (F.col("before") - first).alias("slot"), "rest")
+
+
+def write_shards(docs: DataFrame, to: str, shards: int = 24, dims: Sequence[str] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes all rows and columns of docs as Parquet under `to`, one folder for each shard, rows in slot order. The folders
+    are named by `shard`, with as many underscores behind it as docs' own column names need."""
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    placed = assign(docs, shards, dims, id_col, text_col, docs.columns).select(F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), "rest")
+    dealt = placed.repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "_slot")
+    dealt.select("rest.*", F.col("_shard").alias(name)).write.partitionBy(name).parquet(to)

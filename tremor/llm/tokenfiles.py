@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b as S
-from .shared import parallelism
-from .tokens import Encoder
+from .shared import parallelism, slices, written
+from .tokens import SLICE, encoder
 
+BROADCAST_FILES = 2_000_000  # files up to which the ids before each one are broadcast (12 bytes a file); more are joined by a shuffle
 FILES = "shard int, doc_id long, first long, n_tokens long, words binary, block_word binary"
 
 
@@ -26,14 +27,12 @@ def write_token_files(docs: DataFrame, to: str, path: str, end_id: int | None =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, before = Encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([] if end_id is None else [end_id], "<u4")
+        mine, shard, before = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.slice(k, 512)
-                ids = [np.concatenate([np.frombuffer(x, "<u4"), end]) for x in encoder.batch(part.column("text").to_pylist())]
-                n = np.array([len(x) for x in ids], np.int64)
-                words, block_word, run_block = S.encode(np.concatenate(ids), n)
+            for first, last, _, _ in slices(batch, limit=SLICE):
+                part = batch.slice(first, last - first)
+                ids, n = mine.batch(part.column("text"), end_id)
+                words, block_word, run_block = S.encode(ids, n)
                 w, b = [], []
                 for x, y in zip(run_block[:-1], run_block[1:], strict=True):
                     w.append(words[block_word[x] : block_word[y]].astype("<u8").tobytes())
@@ -66,8 +65,9 @@ def read_token_files(spark: SparkSession, at: str) -> DataFrame:
 
     files = spark.read.schema(FILES).parquet(at)
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))  # a row for each file
-    before = totals.select("shard", F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = written(totals.select("shard", F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")), "before")
+    small = before.count() <= BROADCAST_FILES
     read = files.mapInArrow(run, "shard int, doc_id long, first long, n_tokens long, ids binary")
-    return read.join(before, "shard").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids")
+    return read.join(F.broadcast(before) if small else before, "shard").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids")
 
 
