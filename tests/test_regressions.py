@@ -91,11 +91,29 @@ def test_distributions():
     assert dist.f_p(0.0, 5, 10) == 1.0 and dist.t_p(0.0, 3) == pytest.approx(1.0)
 
 
-def test_sup_t_is_wider_than_pointwise(panel):
+@pytest.mark.parametrize("kind, lags", [("hac", 0), ("lag_augmented", 2)])
+def test_sup_t_is_wider_than_pointwise(panel, kind, lags):
     _, df = panel
-    (one,) = {r.critical for r in inference.sup_t(df, ["panel_id"], "y", ["shock"], [0]).collect()}
-    (many,) = {r.critical for r in inference.sup_t(df, ["panel_id"], "y", ["shock"], [0, 1, 2, 3]).collect()}
-    assert one == pytest.approx(1.6448536, abs=1e-6) and one < many < 2.6
+    band = lambda hs: inference.sup_t(df, ["panel_id"], "y", "shock", ["ctrl"], hs, kind, lags).collect()
+    (one,) = {r.critical for r in band([0])}
+    many = band([0, 1, 2, 3])
+    (wide,) = {r.critical for r in many}
+    assert one == pytest.approx(1.6448536, abs=1e-6) and one < wide < 2.6
+    irf = {r.horizon: r for r in gram.local_projection(df, ["panel_id"], "y", "shock", ["ctrl"], [0, 1, 2, 3], kind, lags=lags).collect()}
+    for r in many:
+        assert (r.beta, r.se) == (pytest.approx(irf[r.horizon].beta), pytest.approx(irf[r.horizon].se))
+        assert r.hi - r.lo == pytest.approx(2 * wide * r.se)
+
+
+def test_stouffer_takes_each_coefficients_own_sign(spark):
+    draw = random.Random(17)
+    fits = [(k % 3, draw.gauss(-0.5, 1), draw.uniform(1e-4, 1)) for k in range(60)]
+    got = {r.g: r for r in speccurve.statistics(spark.createDataFrame(fits, "g int, coef double, p double"), ["g"]).collect()}
+    for g in range(3):
+        mine = [(c, p) for k, c, p in fits if k == g]
+        assert got[g].stouffer == pytest.approx(sum(dist.ppf(1 - p / 2) * (1 if c > 0 else -1) for c, p in mine) / len(mine) ** 0.5, abs=1e-6)
+        down = sum(c < 0 for c, _ in mine) > len(mine) / 2
+        assert got[g].share == pytest.approx(sum(p < 0.05 and (c < 0) == down for c, p in mine) / len(mine))
 
 
 def test_quantile_fit_recovers_the_median_line(spark):
@@ -107,15 +125,25 @@ def test_quantile_fit_recovers_the_median_line(spark):
         inference.quantile_fit(spark.createDataFrame(rows, "model string, x double, y double"), ["model"], "y", ["x"], 1.0)
 
 
-def test_convolution_by_hand(spark):
-    schema = "channel string, horizon int, beta double"
-    gamma = spark.createDataFrame([("oil", 0, 0.5), ("oil", 1, 0.2), ("vix", 0, 0.3), ("vix", 1, 0.1)], schema)
-    theta = spark.createDataFrame([("oil", 0, -0.4), ("oil", 1, -0.1), ("vix", 0, -0.2), ("vix", 1, -0.05)], schema)
-    got = {(r.channel, r.horizon): r.indirect for r in response.convolve(gamma, theta, 1).collect()}
-    assert got[None, 0] == pytest.approx(-0.26) and got["oil", 1] == pytest.approx(-0.13) and got["vix", 1] == pytest.approx(-0.035)
-    direct = spark.createDataFrame([(0, 0.1)], "horizon int, beta double")
-    total = {r.horizon: (r.total, r.domestic) for r in response.transmission(response.convolve(gamma, theta, 1), direct, direct).collect()}
-    assert total[0] == (pytest.approx(-0.16), pytest.approx(0.1)) and total[1][0] == pytest.approx(got[None, 1]) and total[1][1] is None
+def test_convolution_equals_a_double_loop(spark):
+    draw = random.Random(31)
+    channels, steps, last = ["c1", "c2", "c3"], 5, 6
+    gamma, theta = ({(c, h): draw.gauss(0, 1) for c in channels for h in range(steps) if draw.random() < 0.8} for _ in range(2))
+    make = lambda x: spark.createDataFrame([(c, h, v) for (c, h), v in x.items()], "channel string, horizon int, beta double")
+    indirect = response.convolve(make(gamma), make(theta), last)
+    got = {(r.channel, r.horizon): r.indirect for r in indirect.collect()}
+    want = {}
+    for c in channels:
+        for s in range(steps):
+            for u in range(steps):
+                if s + u <= last and (c, s) in gamma and (c, u) in theta:
+                    for name in (c, None):
+                        want[name, s + u] = want.get((name, s + u), 0) + gamma[c, s] * theta[c, u]
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    direct = {h: draw.gauss(0, 1) for h in range(3)}
+    table = spark.createDataFrame(list(direct.items()), "horizon int, beta double")
+    for r in response.transmission(indirect, table, table).collect():
+        assert r.total == pytest.approx(direct.get(r.horizon, 0) + want[None, r.horizon]) and r.domestic == direct.get(r.horizon)
 
 
 def test_auc(spark):

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,11 +24,15 @@ def column(df, *by):
 
 
 def test_log_return_and_gap(spark):
-    got = column(long(spark, [100.0, 110.0, 99.0]).select(transforms.dlog(F.col("value")), "date"), "date")
-    assert got[0] is None and got[1:] == pytest.approx([math.log(1.1), math.log(0.9)])
-    gap = long(spark, [1.0, None, 4.0, 2.0])
-    assert column(gap.select(transforms.dlog(F.col("value")), "date"), "date")[:3] == [None, None, None]
-    assert [r.value for r in transforms.dlog_dense(gap).orderBy("date").collect()] == pytest.approx([math.log(4), math.log(0.5)])
+    draw = random.Random(41)
+    values = [draw.uniform(3, 900) for _ in range(12)]
+    for k in (4, 5, 9):
+        values[k] = None
+    df = long(spark, values)
+    got = column(df.select(transforms.dlog(F.col("value")), "date"), "date")
+    assert got == [None if k == 0 or values[k] is None or values[k - 1] is None else pytest.approx(math.log(values[k]) - math.log(values[k - 1])) for k in range(12)]
+    dense = [v for v in values if v is not None]
+    assert [r.value for r in transforms.dlog_dense(df).orderBy("date").collect()] == pytest.approx([math.log(y / x) for x, y in zip(dense, dense[1:], strict=False)])
 
 
 def test_awkward_values(spark):
@@ -38,24 +43,54 @@ def test_awkward_values(spark):
     assert column(same.select(transforms.zscore(F.col("value")), "date"), "date") == [None, None]
 
 
-def test_roll_over_a_weekend(spark):
-    values = spark.createDataFrame([("a", D("2024-01-05"), 3.0), ("a", D("2024-01-06"), 5.0), ("a", D("2024-01-07"), 7.0), ("a", D("2024-01-08"), 11.0)], "series_id string, date date, value double")
-    days = spark.createDataFrame([(D("2024-01-08"),), (D("2024-01-09"),)], "decision_day date")
-    assert column(timealign.roll_forward(values, days, lag=1).select("value", "decision_day"), "decision_day") == [5.0, 11.0]
-    empty = timealign.roll_forward(values, days.unionByName(spark.createDataFrame([(D("2024-01-15"),)], "decision_day date")))
-    assert column(empty.select("value", "decision_day"), "decision_day")[2] is None
+def rolled(values, days, lag, reduce):
+    """By a plain loop: what becomes known after the decision day before and up to each one."""
+    out, days = {}, sorted(days)
+    for k, day in enumerate(days):
+        back = 3 if day.weekday() == 0 else 2 if day.weekday() == 6 else 1
+        since = days[k - 1] if k else day - dt.timedelta(back)
+        found = [v for d, v in values if v is not None and since < d + dt.timedelta(lag) <= day]
+        out[day] = reduce(found) if found else None
+    return out
+
+
+def mean(xs):
+    return sum(xs) / len(xs)
+
+
+@pytest.mark.parametrize("lag", [0, 1, 2])
+def test_roll_forward_equals_a_loop(spark, lag):
+    """Two series over three weeks with a holiday inside a week, days without a value and a NULL on the last day."""
+    draw = random.Random(43 + lag)
+    first = D("2022-11-14")
+    days = [d for k in range(21) if (d := first + dt.timedelta(k)).weekday() < 5 and k not in (9, 10)]
+    rows = [(name, first + dt.timedelta(k - 3), draw.choice([None, draw.gauss(0, 9), draw.gauss(0, 9)])) for name in ("mean", "top") for k in range(24) if draw.random() < 0.8]
+    rows += [("mean", days[-1] - dt.timedelta(lag), None)]
+    got = timealign.roll_forward(spark.createDataFrame(rows, "series_id string, date date, value double"), spark.createDataFrame([(d,) for d in days], "decision_day date"), lag, extremes=("top",))
+    for name, reduce in (("mean", mean), ("top", max)):
+        want = rolled([r[1:] for r in rows if r[0] == name], days, lag, reduce)
+        have = {r.decision_day: r.value for r in got.collect() if r.series_id == name}
+        assert have == {d: None if v is None else pytest.approx(v) for d, v in want.items()}
 
 
 def test_measure_set_rebuilds_the_composite(spark):
-    rows = [("a", m, D(f"2024-01-0{5 + k}"), v) for m, vs in {"LEVEL": (3, 5, 7), "INNOV": (-1, 2, 1), "JUMP": (0, 9, 0)}.items() for k, v in enumerate(vs)]
-    df = spark.createDataFrame([(*r[:3], float(r[3])) for r in rows], "series_id string, measure string, date date, value double")
-    days = spark.createDataFrame([(D("2024-01-08"),)], "decision_day date")
-    got = {r.measure: r.value for r in timealign.roll_measures(df, days, 1, {"LEVEL": "mean", "INNOV": "mean", "JUMP": "max"}).collect()}
-    assert got == pytest.approx({"LEVEL": 5, "INNOV": 2 / 3, "JUMP": 9, "LEVEL_PLUS_JUMP": 14})
+    draw = random.Random(44)
+    first, names = D("2021-06-17"), {"LEVEL": "mean", "INNOV": "mean", "JUMP": "max"}
+    days = [d for k in range(1, 12) if (d := first + dt.timedelta(k)).weekday() < 5]
+    rows = [(s, m, first + dt.timedelta(k), draw.gauss(5, 3)) for s in ("x", "y") for m in names for k in range(10)]
+    out = timealign.roll_measures(spark.createDataFrame(rows, "series_id string, measure string, date date, value double"), spark.createDataFrame([(d,) for d in days], "decision_day date"), 1, names)
+    got = {(r.series_id, r.measure, r.decision_day): r.value for r in out.collect()}
+    for s in ("x", "y"):
+        want = {m: rolled([(r[2], r[3]) for r in rows if r[:2] == (s, m)], days, 1, mean if how == "mean" else max) for m, how in names.items()}
+        for d in days:
+            for m in names:
+                assert got.get((s, m, d)) == (None if want[m][d] is None else pytest.approx(want[m][d]))
+            if want["LEVEL"][d] is not None and want["JUMP"][d] is not None:
+                assert got[s, "LEVEL_PLUS_JUMP", d] == pytest.approx(want["LEVEL"][d] + want["JUMP"][d])
     with pytest.raises(ValueError, match="no reducer"):
-        timealign.roll_measures(df, days, 1, {"LEVEL": "mean", "JUMP": None})
+        timealign.roll_measures(out, out, 1, {"LEVEL": "mean", "JUMP": None})
     with pytest.raises(ValueError, match="needed"):
-        timealign.roll_measures(df, days, 1, {"LEVEL": "mean"})
+        timealign.roll_measures(spark.createDataFrame(rows, "series_id string, measure string, date date, value double"), spark.createDataFrame([(days[0],)], "decision_day date"), 1, {"LEVEL": "mean"})
 
 
 def test_month_rules(spark):
@@ -66,11 +101,18 @@ def test_month_rules(spark):
 
 
 def test_splice_prefers_the_first(spark):
-    a = spark.createDataFrame([(D("2024-01-04"), 200.0), (D("2024-01-05"), 202.0), (D("2024-01-06"), 204.0)], "date date, value double")
-    b = spark.createDataFrame([(D("2024-01-01"), 100.0), (D("2024-01-02"), 101.0), (D("2024-01-05"), 50.0)], "date date, value double")
-    got = {r.date: r.value for r in timealign.splice(a, b).where("value is not null").collect()}
-    assert got[D("2024-01-06")] == pytest.approx(math.log(204 / 202)) and got[D("2024-01-02")] == pytest.approx(math.log(1.01))
-    assert got[D("2024-01-05")] == pytest.approx(math.log(202 / 200))
+    draw = random.Random(45)
+    first = D("2019-03-01")
+    a = {first + dt.timedelta(k): draw.uniform(10, 20) for k in range(6, 14)}
+    b = {first + dt.timedelta(k): draw.uniform(70, 90) for k in range(0, 11) if k != 3}
+    make = lambda x: spark.createDataFrame(list(x.items()), "date date, value double")
+    got = {r.date: r.value for r in timealign.splice(make(a), make(b)).collect() if r.value is not None}
+
+    def returns(x):
+        days = sorted(x)
+        return {d: math.log(x[d] / x[c]) for c, d in zip(days, days[1:], strict=False)}
+
+    assert got == {d: pytest.approx(v) for d, v in (returns(b) | returns(a)).items()}
 
 
 def test_merge_keeps_old_metadata(spark):

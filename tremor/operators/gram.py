@@ -123,8 +123,22 @@ def local_projection(df: DataFrame, keys: Sequence[str], y: str, shock: str, con
     (max_lags: the largest horizon by default); 'lag_augmented' adds `lags` lags of y and shock and uses HC1.
     Columns: keys, horizon, term, beta, se, nobs, t, p, lo, hi; term is the shock unless all_terms.
     """
-    horizons = list(horizons)
+    horizons, models = list(horizons), [*keys, "horizon"]
+    stacked, xs = projected(df, keys, y, shock, controls, horizons, kind, lags, order)
+    fitted = fit(stacked, models, "y_lead", xs)
+    terms = list(range(len(xs))) if all_terms else [0]
+    rows = influence(stacked, fitted, models, "y_lead", xs, terms)
+    if kind == "hac":
+        widest = max(horizons) if max_lags is None else max_lags
+        return inference(rows, fitted, models, xs, terms, order, "hac", max(widest, *horizons), F.greatest(F.lit(widest), F.col("horizon")), ci)
+    return inference(rows, fitted, models, xs, terms, order, "hc1", ci=ci)
+
+
+def projected(df: DataFrame, keys: Sequence[str], y: str, shock: str, controls: Sequence[str], horizons: Sequence[int], kind: str = "hac", lags: int = 0, order: str = "t") -> tuple[DataFrame, list[str]]:
+    """df once for each horizon with y_lead, and the regressors of the projection, the shock first."""
     by = Window.partitionBy(*keys).orderBy(order)
+    if kind not in ("hac", "lag_augmented"):
+        raise ValueError(f"unknown inference {kind}")
     if kind == "lag_augmented":
         if lags < 1:
             raise ValueError("lag augmentation needs at least one lag")
@@ -133,14 +147,7 @@ def local_projection(df: DataFrame, keys: Sequence[str], y: str, shock: str, con
     xs = [shock, *controls]
     each = F.array(*(F.struct(F.lit(h).alias("horizon"), F.lead(y, h).over(by).alias("y_lead")) for h in horizons))
     stacked = df.select(*keys, order, *dict.fromkeys(xs), each.alias("_e")).withColumn("_e", F.explode("_e")).select(*keys, order, *dict.fromkeys(xs), "_e.horizon", "_e.y_lead")
-    models = [*keys, "horizon"]
-    fitted = fit(stacked, models, "y_lead", xs)
-    terms = list(range(len(xs))) if all_terms else [0]
-    rows = influence(stacked, fitted, models, "y_lead", xs, terms)
-    if kind == "hac":
-        widest = max(horizons) if max_lags is None else max_lags
-        return inference(rows, fitted, models, xs, terms, order, "hac", max(widest, *horizons), F.greatest(F.lit(widest), F.col("horizon")), ci)
-    return inference(rows, fitted, models, xs, terms, order, "hc1", ci=ci)
+    return stacked, xs
 
 
 def orthogonal(df: DataFrame, keys: Sequence[str], target: str, on: Sequence[str], out: str = "orthogonal") -> DataFrame:

@@ -11,21 +11,29 @@ from pyspark.sql import functions as F
 
 from tremor.functions.dist import norm_two_sided, ppf
 
-from .gram import complete, fit, influence, lag_products
+from .gram import complete, fit, influence, lag_products, local_projection, projected
 from .timealign import leads
 
 
-def sup_t(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], horizons: Sequence[int], ci: float = 0.9, draws: int = 10_000, seed: int = 1) -> DataFrame:
-    """(keys, horizon, beta, se, critical, lo, hi): HC bands of the first regressor that hold at all horizons at once.
+def scaled_influence(df: DataFrame, keys: Sequence[str], y: str, shock: str, controls: Sequence[str], horizons: Sequence[int], kind: str = "hac", lags: int = 0) -> DataFrame:
+    """(keys, horizon, t, psi0, ...): the shock's influence values at every horizon, times the root of the HC1 factor."""
+    models = [*keys, "horizon"]
+    stacked, xs = projected(df, keys, y, shock, controls, list(horizons), kind, lags)
+    rows = influence(stacked, fit(stacked, models, "y_lead", xs), models, "y_lead", xs)
+    return rows.withColumn("psi0", F.col("psi0") * F.sqrt(F.col("n") / (F.col("n") - len(xs) - 1)))
 
-    The horizons' covariance is one aggregate over influence values set side by side by t (absent ones count as 0). The
-    critical value is the ci quantile of the largest of correlated normals; with one horizon it is the pointwise one.
+
+def sup_t(df: DataFrame, keys: Sequence[str], y: str, shock: str, controls: Sequence[str], horizons: Sequence[int], kind: str = "hac", lags: int = 0, ci: float = 0.9, draws: int = 10_000, seed: int = 1) -> DataFrame:
+    """(keys, horizon, beta, se, critical, lo, hi): bands of the shock's response that hold at all horizons at once.
+
+    beta and se are those of `local_projection` with the same kind and lags. The horizons' covariance is one aggregate over
+    influence values with the HC1 factor, each pair of horizons over the rows that both have. The critical value is the ci
+    quantile of the largest of correlated normals; with one horizon it is the pointwise one.
     """
     horizons, models = list(horizons), [*keys, "horizon"]
-    stacked = leads(df, y, horizons, tuple(keys))
-    fitted = fit(stacked, models, "y_lead", xs)
-    psi = influence(stacked, fitted, models, "y_lead", xs).groupBy(*keys, "t").pivot("horizon", horizons).agg(F.first("psi0")).na.fill(0.0)
-    pairs = [F.sum(F.col(str(a)) * F.col(str(b))) for i, a in enumerate(horizons) for b in horizons[: i + 1]]
+    psi = scaled_influence(df, keys, y, shock, controls, horizons, kind, lags).groupBy(*keys, "t").pivot("horizon", horizons).agg(F.first("psi0"))
+    # A product with an absent value is NULL, which sums leave out.
+    pairs = [F.coalesce(F.sum(F.col(str(a)) * F.col(str(b))), F.lit(0.0)) for i, a in enumerate(horizons) for b in horizons[: i + 1]]
 
     def critical(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -42,10 +50,10 @@ def sup_t(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], horizon
             yield part.drop(columns="products").assign(critical=out)
 
     kinds = dict(df.dtypes)
-    bands = psi.groupBy(*keys).agg(F.array(*pairs).alias("products"), F.array(*(F.sum(F.col(str(h)) ** 2) for h in horizons)).alias("_v"))
-    widths = bands.select(*keys, "products").mapInPandas(critical, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "critical double"]))
-    spread = bands.select(*keys, F.posexplode("_v").alias("_k", "v")).withColumn("horizon", F.element_at(F.array(*map(F.lit, horizons)), F.col("_k") + 1))
-    out = fitted.select(*models, F.get("beta", F.lit(0)).alias("beta")).join(spread.select(*models, F.sqrt("v").alias("se")), models).join(widths, list(keys))
+    bands = psi.groupBy(*keys).agg(F.array(*pairs).alias("products"))
+    widths = bands.mapInPandas(critical, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "critical double"]))
+    irf = local_projection(df, keys, y, shock, controls, horizons, kind, lags=lags, ci=ci).select(*models, "beta", "se")
+    out = irf.join(widths, list(keys))
     return out.withColumns({"lo": F.col("beta") - F.col("critical") * F.col("se"), "hi": F.col("beta") + F.col("critical") * F.col("se")})
 
 

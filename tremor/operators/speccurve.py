@@ -31,11 +31,11 @@ def sign_share(coef: Column) -> tuple[Column, Column]:
     return F.when(up >= down, 1).otherwise(-1), F.greatest(up, down)
 
 
-def stouffer(p: Column, coef: Column, sign: Column | float = 1.0) -> Column:
-    """Sum of one-sided normal scores over the root of their number; p is two-sided, clipped to [1e-12, 1 - 1e-12]."""
+def stouffer(p: Column, coef: Column) -> Column:
+    """Sum of normal scores with the sign of their own coefficient over the root of their number; p is two-sided, clipped to
+    [1e-12, 1 - 1e-12]."""
     clipped = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), p))
-    z = norm_ppf(1 - clipped / 2) * F.signum(coef) * sign
-    return F.sum(z) / F.sqrt(F.count(p))
+    return F.sum(norm_ppf(1 - clipped / 2) * F.signum(coef)) / F.sqrt(F.count(p))
 
 
 def statistics(fits: DataFrame, keys: Sequence[str], alpha: float = 0.05, sign: float | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def statistics(fits: DataFrame, keys: Sequence[str], alpha: float = 0.05, sign:
     else:
         fits = fits.withColumn("_s", F.lit(sign))
     hit = (F.col("p") < alpha) & (F.signum("coef") == F.col("_s"))
-    return fits.groupBy(*keys).agg(F.percentile("coef", F.lit(0.5)).alias("median"), F.avg(hit.cast("int")).alias("share"), stouffer(F.col("p"), F.col("coef"), F.col("_s")).alias("stouffer"))
+    return fits.groupBy(*keys).agg(F.percentile("coef", F.lit(0.5)).alias("median"), F.avg(hit.cast("int")).alias("share"), stouffer(F.col("p"), F.col("coef")).alias("stouffer"))
 
 
 def fit_specs(long: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,7 +64,8 @@ def curve(specs: DataFrame, n: int, block: int, draws: int, seed: int = 1, alpha
     """One row of observed statistics with bootstrap p-values under no effect.
 
     specs: spec_id, pos, y, x (rows 0 .. n - 1 of each specification). Null curves shuffle the outcome in blocks and leave
-    the shock rows in place. Two-sided for the median (one-sided with a `sign`), one-sided for share and Stouffer's Z.
+    the shock rows in place. p-values are two-sided for the median and Stouffer's Z, one-sided for the share; a `sign` sets the
+    direction in which a specification counts as significant.
     """
     spark = specs.sparkSession
     observed = statistics(fit_specs(specs.withColumn("b", F.lit(-1).cast("long")), ["b", "spec_id"]), ["b"], alpha, sign)
@@ -73,9 +74,8 @@ def curve(specs: DataFrame, n: int, block: int, draws: int, seed: int = 1, alpha
     nulls = statistics(fit_specs(null, ["b", "spec_id"]), ["b"], alpha, sign)
     o = observed.select(F.col("median").alias("m"), F.col("share").alias("s"), F.col("stouffer").alias("z"))
     both = nulls.crossJoin(F.broadcast(o))  # one row of observed statistics
-    extreme = F.abs("median") >= F.abs("m") if sign is None else F.col("median") * sign >= F.col("m") * sign
     share = lambda c: F.avg(c.cast("int"))
-    return both.groupBy("m", "s", "z").agg(share(extreme).alias("p_median"), share(F.col("share") >= F.col("s")).alias("p_share"), share(F.col("stouffer") >= F.col("z")).alias("p_stouffer"), F.count("*").alias("draws")).select(F.col("m").alias("median"), F.col("s").alias("share"), F.col("z").alias("stouffer"), "p_median", "p_share", "p_stouffer", "draws")
+    return both.groupBy("m", "s", "z").agg(share(F.abs("median") >= F.abs("m")).alias("p_median"), share(F.col("share") >= F.col("s")).alias("p_share"), share(F.abs("stouffer") >= F.abs("z")).alias("p_stouffer"), F.count("*").alias("draws")).select(F.col("m").alias("median"), F.col("s").alias("share"), F.col("z").alias("stouffer"), "p_median", "p_share", "p_stouffer", "draws")
 
 
 def grid(spark, levels: dict[str, Sequence[str]], needs_jump: str = "threshold") -> DataFrame:

@@ -9,6 +9,7 @@ from tremor.operators import gram, inference, response, speccurve, timealign, tr
 from tremor.operators import windows as W
 
 from . import base as B
+from . import lsq_sql as Q
 from .base import Query, R, rounded, sql
 from .series import SAMPLES, samples
 
@@ -48,6 +49,7 @@ def r01_ols(spark, sf):
 
 
 STACK = "select * from (select t, h.horizon, shock / 1000 as x, lead(y, cast(h.horizon as int)) over (partition by h.horizon order by t) as yl from panel cross join (values (0), (1), (2), (5)) h(horizon)) where yl is not null and x is not null"
+LEADS = lambda hs: "select * from (select h.horizon, t, shock / 1000 as x, ln(1 + shock) as x2, y2, ctrl, lead(y, cast(h.horizon as int)) over w as yl, lead(y2, cast(h.horizon as int)) over w as yl2, y, " + ", ".join(f"lag({c}, {m}) over w as {n}{m}" for c, n in (("y", "y_"), ("shock / 1000", "x_"), ("y2", "z_")) for m in (1, 2)) + f" from panel cross join (values {', '.join(f'({h})' for h in hs)}) h(horizon) window w as (partition by h.horizon order by t))"  # noqa: E731, E501
 PSI = "select s.horizon, t, (x - mx) * (yl - my - b * (x - mx)) / sxx as psi from s join f using (horizon)"
 FIT = "select horizon, avg(x) as mx, avg(yl) as my, regr_slope(yl, x) as b, regr_sxx(yl, x) as sxx, count(*) as n from s group by 1"
 
@@ -79,10 +81,13 @@ def r03_hc1(spark, sf):
     return rounded(gram.inference(psi, fitted, ["horizon"], ["x"], [0], kind="hc1").select("horizon", "beta", "se", "nobs"), "beta", "se", digits=6)
 
 
-@query(None)
+LAGGED = ["ctrl", "y_1", "y_2", "x_1", "x_2"]
+
+
+@query(sql("panel", f"select horizon, round(b, 6) as beta, round(se, 6) as se, n as nobs from ({Q.hc1('q', ['horizon'], 6)})", s=LEADS(range(6)), **Q.partial("s", ["horizon"], "yl", "x", LAGGED)))
 def r06_lag_augmented(spark, sf):
     irf = gram.local_projection(short_panel(spark, sf), ["panel_id"], "y", "x", ["ctrl"], range(6), kind="lag_augmented", lags=2)
-    return rounded(irf.select("horizon", "beta", "se", "p", "nobs"), "beta", "se", "p", digits=6)
+    return rounded(irf.select("horizon", "beta", "se", "nobs"), "beta", "se", digits=6)
 
 
 ORTH = "select c.series_id, c.date, round(x - (avg(x) over w + regr_slope(x, g) over w * (g - avg(g) over w)), 4) as orth from (select series_id, date, ln(1 + value) as x, g from ctry join gm using (date)) c window w as (partition by series_id)"
@@ -113,10 +118,18 @@ def r10_ar_order(spark, sf):
     return gram.best_order(gram.ar_orders(dev, top=5))
 
 
-@query(None)
+def _tier2_sql() -> str:
+    steps, parts = {}, []
+    for k, (macro, shock, lead, own) in enumerate((m, x, yl, c) for m, yl, c in (("y", "yl", "y_1"), ("y2", "yl2", "z_1")) for x in ("x", "x2")):
+        steps |= Q.partial("s", ["horizon"], lead, shock, [own], f"q{'abcd'[k]}")
+        parts.append(f"select '{macro}' as macro, '{shock}' as shock, horizon, round(b, 6) as beta, round(se, 6) as se, n as nobs from ({Q.hac(f'q{chr(97 + k)}', ['horizon'], 5)})")
+    return sql("panel", " union all ".join(parts), s=LEADS(range(6)), **steps)
+
+
+@query(_tier2_sql())
 def r11_tier2(spark, sf):
     p = short_panel(spark, sf).withColumn("x2", F.log1p("shock"))
-    return rounded(response.tier2(p, ["y", "y2"], ["x", "x2"], range(6)).select("macro", "shock", "horizon", "beta", "se", "p", "nobs"), "beta", "se", "p", digits=6)
+    return rounded(response.tier2(p, ["y", "y2"], ["x", "x2"], range(6)).select("macro", "shock", "horizon", "beta", "se", "nobs"), "beta", "se", digits=6)
 
 
 def small_irf(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,7 +153,13 @@ def d16_trough(spark, sf):
     return rounded(response.replication(small_irf(spark, sf), ["series_id"], 1, 3).select("series_id", "trough", "trough_horizon"), "trough", digits=6)
 
 
-@query(None)
+# Two-sided normal p below a level is |t| above its quantile; small_irf takes three Newey-West lags.
+IRF_T = f"select series_id, horizon, b as beta, b / se as t, n from ({Q.hac('q', ['series_id', 'horizon'], 3)})"
+IRF = {"s": IRF_STACK, **Q.partial("s", ["series_id", "horizon"], "yl", "x"), "irf": IRF_T}
+Z90, Z95, Z_CLIPPED = 1.6448536269514722, 1.959963984540054, 7.130550990741301  # normal quantiles of 0.95, 0.975, 1 - 5e-13
+
+
+@query(sql("idx mkt", f"select series_id, round(avg(case when abs(t) > {Z90} then 1 else 0 end), 6) as share, round(max(case when abs(t) > {Z90} then abs(beta) end), 6) as peak, cast(arg_max(horizon, abs(beta)) filter (abs(t) > {Z90}) as int) as peak_horizon from irf group by 1", **IRF))
 def d14_significance(spark, sf):
     return rounded(response.significance(small_irf(spark, sf), ["series_id"]), "share", "peak", digits=6)
 
@@ -235,10 +254,16 @@ def c02_dominant_sign(spark, sf):
     return small_irf(spark, sf).groupBy("horizon").agg(sign.alias("sign"), R(share).alias("share"), R(F.percentile("beta", F.lit(0.5)), 6).alias("median"))
 
 
-@query(None)
+@query(
+    sql(
+        "idx mkt",
+        f"select horizon, round(quantile_cont(beta, 0.5), 6) as median, round(avg(case when abs(t) > {Z95} and sign(beta) = m then 1 else 0 end), 6) as share, round(sum(sign(beta) * least(abs(t), {Z_CLIPPED})) / sqrt(count(*)), 4) as stouffer from irf join (select horizon, case when avg(case when beta > 0 then 1 else 0 end) >= avg(case when beta < 0 then 1 else 0 end) then 1 else -1 end as m from irf group by 1) using (horizon) group by 1",
+        **IRF,
+    )
+)
 def c04_curve_statistics(spark, sf):
     fits = small_irf(spark, sf).select("horizon", F.col("beta").alias("coef"), "p")
-    return rounded(speccurve.statistics(fits, ["horizon"]), "median", "share", "stouffer", digits=6)
+    return rounded(rounded(speccurve.statistics(fits, ["horizon"]), "median", "share", digits=6), "stouffer")
 
 
 NULL_DRAWS = 1000  # the protocol's B
@@ -259,10 +284,31 @@ def c06_specification_curve(spark, sf):
 
 @query(None)
 def r07_sup_t_band(spark, sf):
-    out = inference.sup_t(short_panel(spark, sf), ["panel_id"], "y", ["x", "ctrl"], range(4))
+    out = inference.sup_t(short_panel(spark, sf), ["panel_id"], "y", "x", ["ctrl"], range(4))
     return rounded(out.select("horizon", "beta", "se", "critical", "lo", "hi"), "beta", "se", "critical", "lo", "hi", digits=6)
 
 
+def _cov_sql() -> str:
+    """Pairwise sums of influence values with the HC1 factor."""
+    scaled = "select horizon, t, psi * sqrt(n / (n - 3.0)) as psi from qp"
+    return sql("panel", "select a.horizon as h, b.horizon as k, round(sum(a.psi * b.psi), 8) as cov from z a join z b using (t) where a.horizon >= b.horizon group by 1, 2", s=LEADS(range(4)), **Q.partial("s", ["horizon"], "yl", "x", ["ctrl"]), z=scaled)
+
+
+@query(_cov_sql())
+def j16_influence_pairs(spark, sf):
+    """J16: the covariance of responses at two horizons, over the rows that both have."""
+    psi = inference.scaled_influence(short_panel(spark, sf), ["panel_id"], "y", "x", ["ctrl"], range(4)).select("horizon", "t", "psi0")
+    other = psi.select(F.col("horizon").alias("k"), "t", F.col("psi0").alias("other"))
+    return psi.join(other, "t").where("horizon >= k").groupBy(F.col("horizon").alias("h"), "k").agg(R(F.sum(F.col("psi0") * F.col("other")), 8).alias("cov"))
+
+
+@query(sql("panel", f"select horizon, round(b, 6) as beta, round(se, 6) as se from ({Q.hc1('q', ['horizon'], 6)})", s=LEADS(range(4)), **Q.partial("s", ["horizon"], "yl", "x", LAGGED)))
+def r07_sup_t_errors(spark, sf):
+    """Errors of the lag-augmented simultaneous band."""
+    out = inference.sup_t(short_panel(spark, sf), ["panel_id"], "y", "x", ["ctrl"], range(4), "lag_augmented", 2, draws=100)
+    return rounded(out.select("horizon", "beta", "se"), "beta", "se", digits=6)
+
+
 @query(None)
 def r08_quantile_projection(spark, sf):
     return rounded(inference.quantile_projection(short_panel(spark, sf), ["panel_id"], "y", "x", (), range(3), 0.5).select("horizon", "beta", "nobs"), "beta")
@@ -308,9 +354,18 @@ def r13_threat_and_act(spark, sf):
     return rounded(irf.groupBy("horizon").pivot("kind", ["act", "threat"]).agg(F.first("beta")), "act", "threat", digits=6)
 
 
-@query(None)
+def _gap_sql() -> str:
+    weighted = " + ".join(f"{1 - m / 6!r} * coalesce(l{m}, 0)" for m in range(1, 6))
+    lagged = ", ".join(f"lag(d, {m}) over (order by t) as l{m}" for m in range(1, 6))
+    body = f"select 'daily' as panel_id, round(max(g), 4) as gap, round(sqrt(sum(d * d) + 2 * sum(d * ({weighted}))), 4) as se, round(max(g) / sqrt(sum(d * d) + 2 * sum(d * ({weighted}))), 4) as z from (select *, {lagged} from d)"
+    gap = "select t, a.psi - b.psi as d, (select b from qab) - (select b from qbb) as g from qap a join qbp b using (t)"
+    panel = "select 'daily' as panel_id, row_number() over (order by date) as t, ln(price) as y, act, threat from a join mkt using (date)"
+    return sql("mkt", body, a=ACTS, s=panel, **Q.partial("s", ["panel_id"], "y", "act", ["threat"], "qa"), **Q.partial("s", ["panel_id"], "y", "threat", ["act"], "qb"), d=gap)
+
+
+@query(_gap_sql())
 def p25_equal_terms(spark, sf):
-    return rounded(inference.equal_terms(split_panel(spark, sf), ["panel_id"], "y", ["act", "threat"]), "gap", "se", "z", "p")
+    return rounded(inference.equal_terms(split_panel(spark, sf), ["panel_id"], "y", ["act", "threat"]).drop("p"), "gap", "se", "z")
 
 
 @query(None)

@@ -172,10 +172,11 @@ def b04_growth(spark, sf):
     return B.countries(spark, sf).withColumn("value", R(transforms.growth(F.col("value"))))
 
 
-@query(sql("mktl", f"select series_id, date, round(case series_id when 'price' then {DL} - lag({DL}) {OVER} when 'qty' then {DL} - lag({DL}) {OVER} when 'disc' then value else value - lag(value) {OVER} end, 4) as value from mktl"))
+@query(sql("mktl", f"select series_id, date, round(case series_id when 'price' then {DL} - lag({DL}) {OVER} when 'qty' then {DL} - lag({DL}) {OVER} when 'disc' then value else value - lag(value) {OVER} end, 4) + 0.0 as value from mktl"))
 def b05_policy(spark, sf):
     kinds = transforms.kinds(spark, {"price": "price", "qty": "price", "disc": "level", "tax": "rate", "absent": "level"})
-    return rounded(transforms.apply_policy(B.market_long(spark, sf), kinds), "value")
+    out = transforms.apply_policy(B.market_long(spark, sf), kinds)
+    return out.withColumn("value", R("value") + F.lit(0.0))  # no negative zero
 
 
 @query(sql("mktl", f"select series_id, date, round(case series_id when 'qty' then {DL} - lag({DL}) {OVER} else ln(1 + value) end, 4) as value from mktl where series_id in ('qty', 'disc')"))

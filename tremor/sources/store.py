@@ -11,11 +11,11 @@ from tremor.operators.transforms import clean, require
 
 SCHEMAS = {
     "ext_series": "series_id string, date date, value double, freq string, source string, available_at timestamp, revised_at timestamp, source_version string, data_version string, quality_flag string, loaded_at timestamp",
-    "gpr_indices": "index_name string, freq string, date date, value double, zscore double, pct_rank double, version string, computed_at timestamp",
+    "risk_indices": "index_name string, freq string, date date, value double, zscore double, pct_rank double, version string, computed_at timestamp",
     "index_quality": "index_name string, date date, n_sources int, coverage double, complete boolean, version string",
     "data_versions": "version string, created_at timestamp, note string",
 }
-KEYS = {"ext_series": ["series_id", "date", "data_version"], "gpr_indices": ["index_name", "freq", "date", "version"], "index_quality": ["index_name", "date", "version"], "data_versions": ["version"]}
+KEYS = {"ext_series": ["series_id", "date", "data_version"], "risk_indices": ["index_name", "freq", "date", "version"], "index_quality": ["index_name", "date", "version"], "data_versions": ["version"]}
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
