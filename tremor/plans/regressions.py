@@ -11,7 +11,7 @@ from tremor.operators import windows as W
 from . import base as B
 from . import lsq_sql as Q
 from .base import Query, R, rounded, sql
-from .series import SAMPLES, samples
+from .series import JUMPED, SAMPLES, samples
 
 QUERIES: dict[str, Query] = {}
 
@@ -112,7 +112,17 @@ def r10_ar_order_criteria(spark, sf):
     return rounded(gram.ar_orders(dev, top=1), "bic")
 
 
-@query(None)
+def _ar_order_sql() -> str:
+    lags = ", ".join(f"lag(ln(1 + value), {m}) over w as l{m}" for m in range(1, 6))
+    dev = f"select series_id, 0 as t, ln(1 + value) as v, count(*) over (partition by series_id) as many, {lags} from idx where date <= date '1998-12-31' window w as (partition by series_id order by date)"
+    steps = {"d": dev, "o0": "select series_id, 0 as p, var_pop(v) * count(*) as rss, count(*) as n from d group by 1"}
+    for p in range(1, 6):
+        steps |= {f"d{p}": f"select * from d where many >= {5 * p}"} | Q.partial(f"d{p}", ["series_id"], "v", "l1", [f"l{m}" for m in range(2, p + 1)], f"q{p}_")
+    each = " union all ".join(["select * from o0", *(f"select series_id, {p}, rss, n from q{p}_b where n > {p + 1}" for p in range(1, 6))])
+    return sql("idx", f"select series_id, cast(arg_min(p, n * (ln(2 * pi()) + ln(rss / n) + 1) + ln(n) * (p + 2)) as int) as p from ({each}) where n >= 10 and rss > 0 group by 1", **steps)
+
+
+@query(_ar_order_sql())
 def r10_ar_order(spark, sf):
     dev = transforms.between(B.index(spark, sf), None, "1998-12-31").withColumn("value", F.log1p("value"))
     return gram.best_order(gram.ar_orders(dev, top=5))
@@ -148,9 +158,6 @@ def d15_impact(spark, sf):
     return rounded(response.impact(small_irf(spark, sf)).select("series_id", "horizon", "beta"), "beta", digits=6)
 
 
-@query(sql("idx mkt", "select series_id, round(min(beta), 6) as trough, cast(arg_min(horizon, beta) as int) as trough_horizon from f where horizon between 1 and 3 group by 1", s=IRF_STACK, f=IRF_BETA))
-def d16_trough(spark, sf):
-    return rounded(response.replication(small_irf(spark, sf), ["series_id"], 1, 3).select("series_id", "trough", "trough_horizon"), "trough", digits=6)
 
 
 # Two-sided normal p below a level is |t| above its quantile; small_irf takes three Newey-West lags.
@@ -159,17 +166,16 @@ IRF = {"s": IRF_STACK, **Q.partial("s", ["series_id", "horizon"], "yl", "x"), "i
 Z90, Z95, Z_CLIPPED = 1.6448536269514722, 1.959963984540054, 7.130550990741301  # normal quantiles of 0.95, 0.975, 1 - 5e-13
 
 
+@query(sql("idx mkt", f"select series_id, bool_or(beta < 0 and abs(t) > {Z90}) as replicated, round(min(beta), 6) as trough, cast(arg_min(horizon, beta) as int) as trough_horizon from irf where horizon between 1 and 3 group by 1", **IRF))
+def d16_trough(spark, sf):
+    return rounded(response.replication(small_irf(spark, sf), ["series_id"], 1, 3), "trough", digits=6)
+
+
 @query(sql("idx mkt", f"select series_id, round(avg(case when abs(t) > {Z90} then 1 else 0 end), 6) as share, round(max(case when abs(t) > {Z90} then abs(beta) end), 6) as peak, cast(arg_max(horizon, abs(beta)) filter (abs(t) > {Z90}) as int) as peak_horizon from irf group by 1", **IRF))
 def d14_significance(spark, sf):
     return rounded(response.significance(small_irf(spark, sf), ["series_id"]), "share", "peak", digits=6)
 
 
-@query(None)
-def d17_shift_verdict(spark, sf):
-    irf = small_irf(spark, sf)
-    return response.shifted(irf, irf, ["series_id"])
-
-
 @query(sql("idx mkt", "select f.series_id, horizon, round(beta * b.sx / b.sy, 6) as beta_std from f join (select series_id, stddev_samp(x) as sx, stddev_samp(y) as sy from (select series_id, ln(price) as y, ln(1 + value) as x from idx join mkt using (date)) group by 1) b using (series_id)", s=IRF_STACK, f=IRF_BETA))
 def b16_standardised(spark, sf):
     i = B.index(spark, sf).join(B.market(spark, sf).select("date", F.log("price").alias("y")), "date").withColumn("x", F.log1p("value"))
@@ -205,34 +211,97 @@ def r16_transmission(spark, sf):
 
 
 def country_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Monthly by nation: t, ret, dom (own index), glob, price, disc."""
+    """Monthly by nation: t, ret, dom (own index), world, price, disc."""
     long = timealign.monthly(B.market_long(spark, sf).where("series_id in ('price', 'disc')"))
     m = long.groupBy(F.col("month").alias("date")).pivot("series_id", ["price", "disc"]).agg(F.first("value"))
-    g = B.global_index(spark, sf).groupBy(F.trunc("date", "MM").alias("date")).agg(F.avg(F.log1p("value")).alias("glob"))
+    g = B.global_index(spark, sf).groupBy(F.trunc("date", "MM").alias("date")).agg(F.avg(F.log1p("value")).alias("world"))
     c = B.countries(spark, sf).withColumn("dom", F.log1p("value")).join(g, "date").join(m, "date")
     w = Window.partitionBy("series_id").orderBy("date")
-    return c.select("series_id", "date", "dom", "glob", F.log("price").alias("price"), "disc", (F.log1p("value") - F.lag(F.log1p("value")).over(w)).alias("ret"), F.row_number().over(w).alias("t"))
+    return c.select("series_id", "date", "dom", "world", F.log("price").alias("price"), "disc", (F.log1p("value") - F.lag(F.log1p("value")).over(w)).alias("ret"), F.row_number().over(w).alias("t"))
 
 
-@query(None)
+COUNTRY = {
+    "gm": "select cast(date_trunc('month', date) as date) as date, avg(ln(1 + value)) as world from gidx group by 1",
+    "mm": "select cast(date_trunc('month', date) as date) as date, arg_max(price, date) as price, arg_max(disc, date) as disc from mkt group by 1",
+    "cp": "select series_id, date, ln(1 + value) as dom, world, ln(price) as price, disc, ln(1 + value) - lag(ln(1 + value)) over w as ret, row_number() over w as t from ctry join gm using (date) join mm using (date) window w as (partition by series_id order by date)",
+}
+
+
+def _country_leads(y: str, horizons: int) -> str:
+    hs = ", ".join(f"({h})" for h in range(horizons))
+    return f"select *, lead({y}, cast(h.horizon as int)) over (partition by series_id, h.horizon order by t) as yl, lag(dom) over (partition by series_id, h.horizon order by t) as moved from cp cross join (values {hs}) h(horizon)"
+
+
+def _tier3_sql() -> str:
+    steps, parts, terms = {}, [], {"world": "beta", "price": "theta", "dom": "lambda", "disc": "control"}
+    for k, (term, role) in enumerate(terms.items()):
+        steps |= Q.partial("s", ["series_id", "horizon"], "yl", term, [c for c in terms if c != term], f"q{chr(97 + k)}")
+        parts.append(f"select series_id, horizon, '{term}' as term, '{role}' as role, round(b, 4) as beta, round(se, 4) as se, n as nobs from ({Q.hac(f'q{chr(97 + k)}', ['series_id', 'horizon'], 2)})")
+    return sql("gidx ctry mkt", " union all ".join(parts), **COUNTRY, s=_country_leads("ret", 3), **steps)
+
+
+@query(_tier3_sql())
 def r14_tier3(spark, sf):
-    irf = response.tier3(country_panel(spark, sf), ["series_id"], "ret", ["price"], "dom", ["glob"], ["disc"], range(3))
+    irf = response.tier3(country_panel(spark, sf), ["series_id"], "ret", ["price"], "dom", ["world"], ["disc"], range(3))
     return rounded(irf.select("series_id", "horizon", "term", "role", "beta", "se", "nobs"), "beta", "se")
 
 
-@query(None)
+def _shapley_sql() -> str:
+    """R2 of each subset of channels with the control always in, and the weighted gains of each channel."""
+    channels = ["dom", "world", "price"]
+    steps, gains = {}, []
+    for mask in range(8):
+        steps |= Q.partial("s", ["series_id"], "ret", "disc", [c for i, c in enumerate(channels) if mask >> i & 1], f"q{mask}_")
+    weight = {0: 1 / 3, 1: 1 / 6, 2: 1 / 3}
+    for i, c in enumerate(channels):
+        share = " + ".join(f"{weight[bin(m).count('1')]!r} * (q{m}_b.rss - q{m | 1 << i}_b.rss)" for m in range(8) if not m >> i & 1)
+        gains.append(f"select series_id, '{c}' as channel, round(({share}) / tss, 4) as share, round(1 - q7_b.rss / tss, 4) as r2_full, round(1 - q0_b.rss / tss, 4) as r2_base from tss " + " ".join(f"join q{m}_b using (series_id)" for m in range(8)))
+    whole = "select * from cp where ret is not null and dom is not null and world is not null and price is not null and disc is not null"
+    return sql("gidx ctry mkt", " union all ".join(gains), **COUNTRY, s=whole, tss="select series_id, var_pop(ret) * count(*) as tss from s group by 1", **steps)
+
+
+@query(_shapley_sql())
 def r17_shapley(spark, sf):
-    return rounded(gram.shapley_r2(country_panel(spark, sf), ["series_id"], "ret", ["dom", "glob", "price"], ["disc"]), "share", "r2_full", "r2_base")
+    return rounded(gram.shapley_r2(country_panel(spark, sf), ["series_id"], "ret", ["dom", "world", "price"], ["disc"]), "share", "r2_full", "r2_base")
 
 
-@query(None)
+VAR_LAGS = "select series_id, t, dom, world, price, " + ", ".join(f"lag({c}, {m}) over w as {c}_l{m}" for c in ("dom", "world", "price") for m in (1, 2)) + " from cp window w as (partition by series_id order by t)"
+
+
+def _block_var_sql() -> str:
+    steps, parts, mine = {}, [], [f"{c}_l{m}" for c in ("world", "price") for m in (1, 2)]
+    for equation in ("world", "price", "dom"):
+        xs = mine if equation != "dom" else [*mine, "dom_l1", "dom_l2"]
+        for x in xs:
+            name = f"q{len(parts)}_"
+            steps |= Q.partial("s", ["series_id"], equation, x, [c for c in xs if c != x], name)
+            parts.append(f"select series_id, '{equation}' as equation, '{x}' as regressor, round(b, 4) as coef, round(rss, 4) as rss, n as nobs from {name}b")
+    return sql("gidx ctry mkt", " union all ".join(parts), **COUNTRY, s=VAR_LAGS, **steps)
+
+
+@query(_block_var_sql())
 def r18_block_var(spark, sf):
-    return rounded(gram.block_var(country_panel(spark, sf), ["glob", "price"], ["dom"], 2), "coef", "rss")
+    return rounded(gram.block_var(country_panel(spark, sf), ["world", "price"], ["dom"], 2), "coef", "rss")
 
 
 @query(None)
 def r19_block_granger(spark, sf):
-    return rounded(gram.block_granger(country_panel(spark, sf), ["glob", "price"], ["dom"], 2), "f", "p")
+    return rounded(gram.block_granger(country_panel(spark, sf), ["world", "price"], ["dom"], 2), "f", "p")
+
+
+def _granger_sql() -> str:
+    steps, mine = {}, [f"{c}_l{m}" for c in ("world", "price") for m in (1, 2)]
+    for c in ("world", "price"):
+        steps |= Q.partial("s", ["series_id"], c, mine[0], mine[1:], f"{c}0_") | Q.partial("s", ["series_id"], c, mine[0], [*mine[1:], "dom_l1", "dom_l2"], f"{c}1_")
+    body = "select series_id, round(((world0_b.rss + price0_b.rss - world1_b.rss - price1_b.rss) / 4) / ((world1_b.rss + price1_b.rss) / (2 * (world1_b.n - 7))), 4) as f, 4 as q, 2 * (world1_b.n - 7) as dof from world0_b join price0_b using (series_id) join world1_b using (series_id) join price1_b using (series_id)"
+    whole = f"select * from ({VAR_LAGS}) where dom_l2 is not null and world_l2 is not null and price_l2 is not null and world is not null and price is not null"
+    return sql("gidx ctry mkt", body, **COUNTRY, s=whole, **steps)
+
+
+@query(_granger_sql())
+def r19_granger_statistic(spark, sf):
+    """R19 without its p-value, for which SQL has no F tail; tests hold that against tables."""
+    return rounded(gram.block_granger(country_panel(spark, sf), ["world", "price"], ["dom"], 2).drop("p"), "f")
 
 
 DRAW = """b0 as (select b, k, (1 * 7919 + b * 104729 + 12345) % 1000003 as x from range(20) r(b) cross join range(5) s(k)),
@@ -368,7 +437,18 @@ def p25_equal_terms(spark, sf):
     return rounded(inference.equal_terms(split_panel(spark, sf), ["panel_id"], "y", ["act", "threat"]).drop("p"), "gap", "se", "z")
 
 
-@query(None)
+def _split_sql() -> str:
+    steps, parts = {}, []
+    for name, x, other in (("qa", "level", "jump"), ("qb", "jump", "level")):
+        steps |= Q.partial("s", ["horizon"], "yl", x, [other], name)
+        parts.append(f"select horizon, '{x}' as term, round(b, 4) as beta, round(se, 4) as se, n as nobs from ({Q.hac(name, ['horizon'], 2)})")
+    panel = "select j.value as level, jump, ln(price) as y, row_number() over (order by date) as t from j join mkt using (date)"
+    stack = "select *, lead(y, cast(h.horizon as int)) over (partition by h.horizon order by t) as yl from rows0 cross join (values (0), (1), (2)) h(horizon)"
+    lev = "select series_id, date, ln(1 + value) as value from gidx"
+    return sql("gidx mkt", " union all ".join(parts), lev=lev, j=JUMPED.format(src="lev"), rows0=panel, s=stack, **steps)
+
+
+@query(_split_sql())
 def p16_channel_split(spark, sf):
     """Level and tail term of the index as two shocks of one projection."""
     g = B.global_index(spark, sf).withColumn("value", F.log1p("value"))
@@ -411,12 +491,27 @@ def p23_contributions(spark, sf):
     return rounded(rounded(out, "effect", digits=6), "share")
 
 
-@query(None)
-def r20_replication_pair(spark, sf):
-    """J10, D17 and R20: the monthly response with the index in its own month and in the month after."""
+PAIR = Q.partial("s", ["series_id", "horizon"], "yl", "dom", ["disc"], "qa") | Q.partial("s", ["series_id", "horizon"], "yl", "moved", ["disc"], "qb")
+PAIR |= {"ra": Q.hac("qa", ["series_id", "horizon"], 2), "rb": Q.hac("qb", ["series_id", "horizon"], 2)}
+PAIR |= {"v": f"select ra.series_id, ra.b < 0 and abs(ra.b / ra.se) > {Z90} and rb.b < 0 and abs(rb.b / rb.se) > {Z90} as shifted from ra join rb on ra.series_id = rb.series_id and ra.horizon = 2 and rb.horizon = 1"}
+
+
+def replication_pair(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The monthly response with the index in its own month, and in the month after."""
     p = country_panel(spark, sf)
     raw = gram.local_projection(p, ["series_id"], "price", "dom", ["disc"], range(3))
     moved = p.withColumn("dom", F.lag("dom").over(Window.partitionBy("series_id").orderBy("t")))
-    aligned = gram.local_projection(moved, ["series_id"], "price", "dom", ["disc"], range(3))
-    both = raw.select("series_id", "horizon", F.lit("raw").alias("panel"), "beta", "p").unionByName(aligned.select("series_id", "horizon", F.lit("aligned").alias("panel"), "beta", "p"))
-    return rounded(both.join(response.shifted(raw, aligned, ["series_id"]), "series_id"), "beta", "p")
+    return raw, gram.local_projection(moved, ["series_id"], "price", "dom", ["disc"], range(3))
+
+
+@query(sql("gidx ctry mkt", "select series_id, shifted, horizon, panel, round(b, 4) as beta, round(se, 4) as se from v join (select *, 'raw' as panel from ra union all select *, 'aligned' from rb) using (series_id)", **COUNTRY, s=_country_leads("price", 3), **PAIR))
+def r20_replication_pair(spark, sf):
+    """J10, D17 and R20."""
+    raw, aligned = replication_pair(spark, sf)
+    both = raw.select("series_id", "horizon", F.lit("raw").alias("panel"), "beta", "se").unionByName(aligned.select("series_id", "horizon", F.lit("aligned").alias("panel"), "beta", "se"))
+    return rounded(both.join(response.shifted(raw, aligned, ["series_id"]), "series_id"), "beta", "se")
+
+
+@query(sql("gidx ctry mkt", "select series_id, shifted from v", **COUNTRY, s=_country_leads("price", 3), **PAIR))
+def d17_shift_verdict(spark, sf):
+    return response.shifted(*replication_pair(spark, sf), ["series_id"])
