@@ -34,10 +34,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages of 13 words and more that a document with a smaller id has. Texts that
     lose nothing stay as they are. Each row is cut for itself, whatever its id."""
-    cut = substrings.remove_repeats(docs, keep=docs.columns)
+    cut = substrings.remove_repeats(docs, keep=[c for c in docs.columns if c != "text"])
     lost = F.col("n_removed") > 0
-    columns = {"text": F.when(lost, F.col("text")).otherwise(F.col("rest.text")), "n_chars": F.when(lost, F.length("text")).otherwise(F.col("rest.n_chars"))}
-    return cut.select(*(columns.get(c, F.col("rest")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    columns = {"text": F.when(lost, F.col("text")).otherwise(F.col("whole")), "n_chars": F.when(lost, F.length("text").cast("int")).otherwise(F.col("rest.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return cut.select(*((columns[c] if c in columns else F.col("rest")[c]).alias(c) for c in docs.columns))
 
 
 def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -255,8 +255,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
     reps = classes.select(F.col("v").alias("doc_id"), F.col("n_shingles").alias("n"), "sig", "keys")
     band = reps.select("doc_id", F.posexplode("keys").alias("band", "key"))
     shared_keys = band.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    # The explicit shuffle keeps the join apart from the aggregation, so that AQE can split a hot key's rows.
-    buckets = written(band.join(shared_keys.repartition("key"), "key").select("key", "band", "doc_id", "m"), "buckets")
+    # Written, so that the join stands alone and AQE can split a hot key's rows.
+    buckets = written(band.join(written(shared_keys, "keys"), "key").select("key", "band", "doc_id", "m"), "buckets")
     members = classes.select(F.col("v").alias("doc_id"), F.col("least"), "text_hash").join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "v")
     named = docs.withColumnRenamed("doc_id", "least").join(members, ["least", "text_hash"]).dropDuplicates(["least", "text_hash"])
     texts = written(named.select(F.col("v").alias("doc_id"), "text"), "texts")
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
         sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("m").alias("m"))
         main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.max("m").alias("m")).where("main.c < m")
         main = main.select("key", F.col("main.comp").alias("main"), F.expr(f"ceil((m - main.c) / {CELL})").alias("ns"), F.expr(f"ceil(m / {CELL})").alias("nm"))
-        rows = placed.join(main.repartition("key"), "key").join(bins, "doc_id").withColumn("stray", F.col("comp") != F.col("main"))
+        rows = placed.join(written(main, "main"), "key").join(bins, "doc_id").withColumn("stray", F.col("comp") != F.col("main"))
         # A cell is a run of strays (left) against a run of all members (right); a small bucket is one cell.
         kept = ["doc_id", "n", "bins", "comp"]
         one = rows.where("nm = 1").select("key", F.lit(0).cast("long").alias("cell"), *kept, F.when(F.col("stray"), 2).otherwise(0).alias("side"))
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
         best *= GROWTH
     rooted = classes.join(roots, "v", "left").select("h1", "h2", "n_shingles", "least", F.coalesce("root", "v").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of_set = rooted.join(smallest.repartition("root"), "root").select("h1", "h2", "n_shingles", "component")
+    of_set = rooted.join(written(smallest, "smallest"), "root").select("h1", "h2", "n_shingles", "component")
     placed = signed.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")

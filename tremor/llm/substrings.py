@@ -92,11 +92,11 @@ def phrases(docs: DataFrame, hashed: bool) -> DataFrame:
 
 
 def lookups(docs: DataFrame) -> DataFrame:
-    """(anchor, w, doc_id, at): the windows around the anchors in `mixed` of docs (doc_id, text, mixed)."""
+    """(anchor, w, doc_id, at): the windows around the anchors in `mixed` of docs (doc_id, text, rest, mixed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, mixed = batch.column(0).to_numpy(), batch.column(2)
+            ids, mixed = batch.column(0).to_numpy(), batch.column(3)
             for first, end, data, offsets in slices(batch):
                 w = Windows.of(data, offsets)
                 wanted = np.zeros(len(w.whole), bool)
@@ -151,7 +151,7 @@ def factors(hit: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> list[tuple[int
 
 
 _FACTOR = pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("source_word", pa.int64())])
-_PARSED = "doc_id long, n_words long, n_removed long, text string, factors array<struct<start:long,words:long,source:long,source_word:long>>"
+_PARSED = "doc_id long, n_words long, n_removed long, text string, whole string, factors array<struct<start:long,words:long,source:long,source_word:long>>"
 
 
 def parsed(docs: DataFrame, others: str) -> DataFrame:
@@ -183,18 +183,19 @@ def parsed(docs: DataFrame, others: str) -> DataFrame:
                         pa.array(np.diff(w.first), pa.int64()),
                         pa.array(n_removed, pa.int64()),
                         pa.array(texts, pa.binary()).cast(pa.string()),
+                        batch.column(1).slice(first, end - first),
                         pa.array(found, pa.list_(_FACTOR)),
                         batch.column(2).slice(first, end - first),
                     ],
-                    ["doc_id", "n_words", "n_removed", "text", "factors", "rest"],
+                    ["doc_id", "n_words", "n_removed", "text", "whole", "factors", "rest"],
                 )
 
     return docs.mapInArrow(run, f"{_PARSED}, rest {others}")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, text (kept words joined by one space), factors (the removed spans with their sources) and
-    rest (a struct of the columns in `keep`) for every row of docs.
+    """doc_id, n_words, n_removed, text (kept words joined by one space), whole (the text as it was), factors (the removed
+    spans with their sources) and rest (a struct of the columns in `keep`) for every row of docs.
 
     A word goes if a window of 13 words covers it whose word sequence also starts in a document with a smaller id; all
     windows are judged on the input. Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Null texts have no words; a null id is
@@ -207,15 +208,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends = phrases(known, hashed=True).groupBy("anchor").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last"), (F.min("phrase") == F.max("phrase")).alias("same"))
     shared = written(ends.where("origin < last").select("anchor", "origin", "same"), "anchors")
     met = written(phrases(known, hashed=False).join(shared, "anchor"), "met")
-    begins = met.where("same and doc_id = origin").groupBy("anchor").agg(F.min("at").alias("pos"))
-    # An explicit shuffle of the aggregated side: so the join stands alone, and AQE can split a hot key's rows.
-    settled = met.where("same and origin < doc_id").join(begins.repartition("anchor"), "anchor").select("doc_id", F.struct("anchor", "origin", "pos").alias("settled"), F.lit(None).cast("long").alias("mixed"))
+    begins = written(met.where("same and doc_id = origin").groupBy("anchor").agg(F.min("at").alias("pos")), "begins")
+    settled = met.where("same and origin < doc_id").join(begins, "anchor").select("doc_id", F.struct("anchor", "origin", "pos").alias("settled"), F.lit(None).cast("long").alias("mixed"))
     mixed = met.where("not same").select("doc_id", F.lit(None).cast(settled.schema["settled"].dataType).alias("settled"), F.col("anchor").alias("mixed"))
     hits = written(settled.unionByName(mixed).groupBy("doc_id").agg(F.collect_set("settled").alias("settled"), F.collect_set("mixed").alias("mixed")), "hits")
-    dealt = docs.repartition(parallelism(docs), "doc_id")  # used three times below, shuffled once
-    around = lookups(dealt.select("doc_id", "text").join(hits.where("size(mixed) > 0").select("doc_id", "mixed"), "doc_id"))
+    dealt = docs.repartition(parallelism(docs), "doc_id")  # used three times below with the same columns, so shuffled once
+    around = lookups(dealt.join(hits.where("size(mixed) > 0").select("doc_id", "mixed"), "doc_id"))
     origin = around.groupBy("anchor", "w").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "at")).alias("source"))
-    origin = origin.where("origin < last").select("anchor", "w", "origin", F.col("source.at").alias("pos")).repartition("anchor", "w")
+    # Shuffled once more, by keys in another order: so the join stands alone, and AQE can split a hot window's rows.
+    origin = origin.where("origin < last").select("anchor", "w", "origin", F.col("source.at").alias("pos")).repartition("w", "anchor")
     single = around.join(origin, ["anchor", "w"]).where("origin < doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("w", "anchor", "origin", "pos")).alias("single"))
     ready = dealt.join(hits.select("doc_id", "settled"), "doc_id", "left").join(single, "doc_id", "left")
     return parsed(ready, docs.schema["rest"].dataType.simpleString())
