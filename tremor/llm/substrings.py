@@ -214,9 +214,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = written(settled.unionByName(mixed).groupBy("doc_id").agg(F.collect_set("settled").alias("settled"), F.collect_set("mixed").alias("mixed")), "hits")
     dealt = docs.repartition(parallelism(docs), "doc_id")  # used three times below with the same columns, so shuffled once
     around = lookups(dealt.join(hits.where("size(mixed) > 0").select("doc_id", "mixed"), "doc_id"))
-    origin = around.groupBy("anchor", "w").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "at")).alias("source"))
-    # Shuffled once more, by keys in another order: so the join stands alone, and AQE can split a hot window's rows.
-    origin = origin.where("origin < last").select("anchor", "w", "origin", F.col("source.at").alias("pos")).repartition("w", "anchor")
-    single = around.join(origin, ["anchor", "w"]).where("origin < doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("w", "anchor", "origin", "pos")).alias("single"))
+    # Shuffled once for both uses: the last filter names at, and the first one what the join asks for, so the columns and rows
+    # of both are the same.
+    near = around.where("w is not null and anchor is not null and doc_id is not null and at is not null").repartition("w", "anchor")
+    origin = near.groupBy("w", "anchor").agg(F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "at")).alias("source")).where("source.doc_id < last")
+    origin = origin.select("w", "anchor", F.col("source.doc_id").alias("origin"), F.col("source.at").alias("pos"))
+    single = near.join(origin, ["w", "anchor"]).where("origin < doc_id and at + pos >= 0").groupBy("doc_id").agg(F.collect_set(F.struct("w", "anchor", "origin", "pos")).alias("single"))
     ready = dealt.join(hits.select("doc_id", "settled"), "doc_id", "left").join(single, "doc_id", "left")
     return parsed(ready, docs.schema["rest"].dataType.simpleString())

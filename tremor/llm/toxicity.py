@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 from math import exp, lgamma, log
+from sys import intern
 from zlib import crc32
 
 import numpy as np
@@ -240,12 +241,12 @@ def unlike(bags: list[list[str]], labels: np.ndarray) -> np.ndarray:
 
 def unalike(words: list[str], room: int) -> list[str]:
     """Landmarks in order of preference: each word whose kernel value with every earlier one stays below ALIKE."""
-    words = list(dict.fromkeys(words))[: 4 * room]
+    words = list(dict.fromkeys(words))[: 2 * room]
     if not words:
         return []
     s = _codes(words, max(map(len, words)))
     size = np.sqrt(np.maximum(_self(s), 1e-12))
-    alike = kernel(s, s) / size[:, None] / size[None, :] >= ALIKE
+    alike = np.concatenate([kernel(s[k : k + 64], s) / size[k : k + 64, None] / size[None, :] >= ALIKE for k in range(0, len(s), 64)])
     chosen: list[int] = []
     for k in range(len(words)):
         if len(chosen) < room and not alike[k, chosen].any():
@@ -327,7 +328,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for label in (1, 0):
         chosen = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")
         mine = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        rows += [(r.bag, label) for r in mine.mapInArrow(words, "doc_id long, bag array<string>").orderBy("doc_id", "bag").limit(2 * sample).collect()]
+        bags = mine.mapInArrow(words, "doc_id long, bag array<string>").orderBy("doc_id", "bag").limit(2 * sample).toArrow().column("bag")
+        rows += [([intern(w) for w in bag.as_py()], label) for bag in bags]  # each word once in memory
     return fit([x for x, _ in rows], [y for _, y in rows])
 
 
