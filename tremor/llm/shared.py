@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,23 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+_LEARNT: dict[Hashable, Any] = {}
+
+
+def learnt(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What this Python process has learnt under `key` in earlier tasks, begun by `make`. A process keeps one such thing: a
+    task of another operator lets go of it, so that workers which Spark uses again don't pile up memory."""
+    if key not in _LEARNT:
+        _LEARNT.clear()
+        _LEARNT[key] = make()
+    return _LEARNT[key]
+
+
+def forget() -> None:
+    """Lets go of what this Python process has learnt: for tasks that hold much of their own."""
+    _LEARNT.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` under `sf_dir`, read by Spark's own reader so that any Hadoop path works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import forget
+
 LENGTH, DECAY = 3, 0.6
 LANDMARKS = 256
 LONGEST = 24  # characters: a longer word is scored by its overlapping pieces of this length
@@ -89,6 +91,11 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return total
 
 
+def kernels(s: np.ndarray, t: np.ndarray, rows: int = 64) -> np.ndarray:
+    """`kernel`, so many rows of s at a time: its recursion holds LENGTH tables for each character of t."""
+    return np.concatenate([kernel(s[k : k + rows], t) for k in range(0, len(s), rows)])
+
+
 def triples(length: int) -> tuple[np.ndarray, np.ndarray]:
     """All places i < j < k of a word, and the weight that each span gives its characters."""
     at = np.array(list(combinations(range(length), LENGTH)), np.int64).reshape(-1, LENGTH)
@@ -246,7 +253,7 @@ def unalike(words: list[str], room: int) -> list[str]:
         return []
     s = _codes(words, max(map(len, words)))
     size = np.sqrt(np.maximum(_self(s), 1e-12))
-    alike = np.concatenate([kernel(s[k : k + 64], s) / size[k : k + 64, None] / size[None, :] >= ALIKE for k in range(0, len(s), 64)])
+    alike = kernels(s, s) / size[:, None] / size[None, :] >= ALIKE
     chosen: list[int] = []
     for k in range(len(words)):
         if len(chosen) < room and not alike[k, chosen].any():
@@ -294,13 +301,13 @@ def fit(bags: list[list[str]], labels: list[int]) -> Model:
         marks += unalike([w for w in hard + common if w not in set(marks)], LANDMARKS - len(marks))
         t = _codes(marks, max(map(len, marks)))
         size = np.sqrt(_self(t))
-        gram = kernel(t, t) / size[:, None] / size[None, :]
+        gram = kernels(t, t) / size[:, None] / size[None, :]
         value, vector = np.linalg.eigh(gram.astype(np.float64))
         good = value > 1e-4
         root = vector[:, good] / np.sqrt(value[good])
         rows = positive + negative
         s = _codes(rows, max(map(len, rows)))
-        x = kernel(s, t) / np.sqrt(np.maximum(_self(s), 1e-12))[:, None] / size[None, :] @ root
+        x = kernels(s, t) / np.sqrt(np.maximum(_self(s), 1e-12))[:, None] / size[None, :] @ root
         weight = np.array([counts[w] for w in positive], float) ** 0.75
         cost = np.r_[weight / weight.sum(), np.full(len(negative), 2 / len(negative))] * 2000
         w, bias = _svm(x, np.r_[np.ones(len(positive)), -np.ones(len(negative))], cost)
@@ -345,21 +352,26 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     their ids. Without labels, or with one class, all texts score the same. A null id is not held out. Other columns are
     ignored, whatever their names. An empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*(F.col(c) for c in keep or ["doc_id"])).alias("rest"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows, labels, sample))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(train(plain, labels, sample))
+    # A text goes to the worker once: as a field of its row where the caller keeps it, else beside it.
+    inside = "text" in keep
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(F.col(c) for c in keep or ["doc_id"])).alias("rest"), *([] if inside else ["text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model, known = shared.value, {}
         for batch in batches:
             for k in range(0, len(batch), 1024):
                 part = batch.slice(k, 1024)
-                bags = [units(x) for x in part.column(1).to_pylist()]
+                texts = part.column(1).field("text") if inside else part.column(2)
+                bags = [units(x or "") for x in texts.to_pylist()]
                 if len(known) > REMEMBERED:
                     known = {}
                 new = list(set().union(*bags).difference(known))
                 known.update(zip(new, model.margins(new).tolist(), strict=True))
                 out = [model.score(max(map(known.__getitem__, bag), default=model.bias)) for bag in bags]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64()), part.column(2)], ["doc_id", "score", "rest"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64()), part.column(1)], ["doc_id", "score", "rest"])
 
     scored = rows.mapInArrow(run, f"doc_id long, score double, rest {rows.schema['rest'].dataType.simpleString()}")
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "rest")
