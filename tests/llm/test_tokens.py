@@ -4,9 +4,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from tremor.llm import packing, tokenfiles, tokens
+from tremor.llm import packing, shared, tokenfiles, tokens, toxicity
 from tremor.llm.shared import new_place, with_text
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -68,3 +69,23 @@ def test_packing(docs, none):
     total = sum(len(ids) for _, ids in encoded(docs, BYTES, [2]))
     assert sum(r.length for r in got) == total and len(bins) <= -(-total // 256) + 2
     assert packing.pack_documents(with_text(none), BYTES).count() == 0
+
+
+def test_a_worker_keeps_what_one_operator_learnt():
+    first = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokens.encoder(public_tokenizers.path("byte_bpe_50k.json")) is first
+    assert shared.learnt("another", dict) == {}
+    assert tokens.encoder(public_tokenizers.path("byte_bpe_50k.json")) is not first
+    shared.forget()
+    assert not shared._LEARNT
+
+
+@pytest.mark.parametrize("kept", [(), ("doc_id", "text", "lang")])
+def test_scores_are_the_same_whatever_is_kept(spark, kept):
+    docs = spark.createDataFrame([(1, "you utter scum", "en"), (2, None, None), (3, "", "de"), (None, "a fine day", "en"), (5, "a fine day", "fr")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (5, 0)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.scores(docs, labels, keep=kept).collect()}
+    plain = {r.doc_id: r.score for r in toxicity.scores(docs, labels).collect()}
+    assert {k: r.score for k, r in got.items()} == plain and plain[2] == plain[3] and plain[None] == plain[5]
+    if kept:
+        assert got[2].rest.text is None and got[1].rest.text == "you utter scum" and got[5].rest.lang == "fr"
