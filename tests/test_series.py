@@ -193,3 +193,12 @@ def test_expanding_autoregression_equals_refits(spark):
 def test_episodes_compare_with_the_previous_hit(spark):
     hits = spark.createDataFrame([("a", D(d), 1.0) for d in ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-25", "2024-02-05")], "series_id string, date date, value double")
     assert column(W.episodes(hits, 10).select("episode", "date"), "date") == [1, 1, 1, 1, 2]
+
+
+def test_shock_transform_chooses_and_refuses(spark):
+    df = long(spark, [0.0, 3.0, 8.0])
+    assert column(W.shock_transform(df, "log1p").select("value", "date"), "date") == pytest.approx([0, math.log(4), math.log(9)])
+    assert sum(column(W.shock_transform(df, "zscore").select("value", "date"), "date")) == pytest.approx(0)
+    assert column(W.shock_transform(df).select("value", "date"), "date") == [None, None, None]
+    with pytest.raises(ValueError, match="cubed"):
+        W.shock_transform(df, "cubed")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import transforms
+
 
 
 def ordered():
@@ -116,6 +118,18 @@ def innovation(df: DataFrame, order: int, least: int = 60) -> DataFrame:
     return persistent(df, order, least).withColumn("innovation", F.col("value") - F.col("persistent"))
 
 
+def shock_transform(df: DataFrame, method: str = "innovation", order: int = 1, least: int = 60) -> DataFrame:
+    """(series_id, date, value) with each series as shocks: `innovation` of the log level, `zscore` or `log1p` (both levels, for
+    control). Any other method is an error."""
+    if method == "innovation":
+        shocks = innovation(df.withColumn("value", transforms.log1p(F.col("value"))), order, least).withColumn("value", F.col("innovation"))
+    elif method in ("zscore", "log1p"):
+        shocks = df.withColumn("value", getattr(transforms, method)(F.col("value")))
+    else:
+        raise ValueError(f"no shock transform {method!r}")
+    return shocks.select("series_id", "date", "value")
+
+
 def surprise(df: DataFrame, acts: str = "acts", threats: str = "threats", k: int = 5, least: int = 120) -> DataFrame:
     """df with surprise: acts less their expanding forecast from k lags of acts and threats."""
     lagged = lags(df.dropna(subset=[acts, threats]), [acts, threats], k)

@@ -63,6 +63,18 @@ def w06_innovation(spark, sf):
     return rounded(W.innovation(level, 1).select("series_id", "date", "innovation"), "innovation")
 
 
+@query(
+    sql(
+        "idx",
+        "select 'innovation' as method, series_id, date, round(value - persistent, 4) as value from a union all select 'log1p', series_id, date, round(ln(1 + value), 4) from idx union all select 'zscore', series_id, date, round((value - avg(value) over w) / nullif(stddev_samp(value) over w, 0), 4) from idx window w as (partition by series_id)",
+        a=AR1,
+    )
+)
+def b08_shock_transform(spark, sf):
+    each = [W.shock_transform(B.index(spark, sf), m).withColumn("method", F.lit(m)) for m in ("innovation", "log1p", "zscore")]
+    return rounded(each[0].unionByName(each[1]).unionByName(each[2]), "value").select("method", "series_id", "date", "value")
+
+
 def acts_and_threats(spark: SparkSession, sf: str) -> DataFrame:
     o = B.table(spark, sf, "orders").groupBy(B.day("o_orderdate")).agg(
         (F.sum(F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice")).otherwise(0).cast("decimal(18,2)")).cast("double") / 1000).alias("acts"),
