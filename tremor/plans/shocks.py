@@ -66,13 +66,14 @@ def w06_innovation(spark, sf):
 @query(
     sql(
         "idx",
-        "select 'innovation' as method, series_id, date, round(value - persistent, 4) as value from a union all select 'log1p', series_id, date, round(ln(1 + value), 4) from idx union all select 'zscore', series_id, date, round((value - avg(value) over w) / nullif(stddev_samp(value) over w, 0), 4) from idx window w as (partition by series_id)",
+        "select 'innovation' as method, series_id, date, round(value - persistent, 4) + 0.0 as value from a union all select 'log1p', series_id, date, round(ln(1 + value), 4) + 0.0 from idx union all select 'zscore', series_id, date, round((value - avg(value) over w) / nullif(stddev_samp(value) over w, 0), 4) + 0.0 from idx window w as (partition by series_id)",
         a=AR1,
     )
 )
 def b08_shock_transform(spark, sf):
     each = [W.shock_transform(B.index(spark, sf), m).withColumn("method", F.lit(m)) for m in ("innovation", "log1p", "zscore")]
-    return rounded(each[0].unionByName(each[1]).unionByName(each[2]), "value").select("method", "series_id", "date", "value")
+    out = rounded(each[0].unionByName(each[1]).unionByName(each[2]), "value")
+    return out.select("method", "series_id", "date", (F.col("value") + F.lit(0.0)).alias("value"))  # no negative zero
 
 
 def acts_and_threats(spark: SparkSession, sf: str) -> DataFrame:
