@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jpeg, minhash, packing, shards, substrings, tokenfiles, tokens, toxicity
+from . import chat, decontaminate, html, jpeg, minhash, packing, prefixtree, recompression, shards, substrings, tokenfiles, tokens, toxicity
 from .shared import new_place, table, with_text
 
 
@@ -63,10 +63,25 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    poison = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.POISON).alias("text"))
+    return chat.digests(chat.format_conversations(turns.union(poison)))
+
+
+def op12_prefixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefixtree.prefix_tree(prefixtree.rebuilt(prefixtree.conversations(table(spark, sf_dir, "conversations"))))
+    return nodes.drop("key", "parent_key")
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.digests(recompression.collapse_runs(recompression.with_planted(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_jpeg, op2_minhash, op3_tokenfiles, op4_toxicity, op5_tokencounts, op6_packing, op7_shards, op8_decontaminate, op9_html, op10_substrings)
+    found = (op1_jpeg, op2_minhash, op3_tokenfiles, op4_toxicity, op5_tokencounts, op6_packing, op7_shards, op8_decontaminate, op9_html, op10_substrings, op11_chat, op12_prefixtree, op13_runs)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": decontaminate.ORACLE}
+    return {"op8_decontaminate": decontaminate.ORACLE, "op11_chat": chat.ORACLE, "op12_prefixtree": prefixtree.ORACLE}
