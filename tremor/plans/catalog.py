@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import regressions, series, shocks, signals
+from . import regressions, series, shocks, signals, streams
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> dict:
-    return series.QUERIES | shocks.QUERIES | regressions.QUERIES | signals.QUERIES
+    return series.QUERIES | shocks.QUERIES | regressions.QUERIES | signals.QUERIES | streams.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
