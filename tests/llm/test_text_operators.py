@@ -283,3 +283,16 @@ def test_kernel_equals_its_definition():
     assert np.allclose(toxicity._self(s), np.diag(want), rtol=1e-4)
     model = toxicity.Model(words[:3], np.array([1.0, -0.5, 0.25]), 0.1, 1.0, 0.0)
     assert np.allclose(model.margins(words), want[:, :3] @ model.weight / np.sqrt(np.diag(want)) + 0.1, rtol=1e-3)
+
+
+def test_decontaminated_judges_each_row_by_its_text(spark):
+    draw = random.Random(11)
+    words = lambda n: " ".join("".join(draw.choice("aeioulmnrst") for _ in range(5)) for _ in range(n))
+    item, clean = words(20), words(40)
+    rows = [(5, item, "a"), (5, clean, "b"), (5, clean, "b"), (7, words(40), "c"), (None, "x " + item, "d"), (None, clean, "e"), (8, None, "f"), (9, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
+    left = decontaminate.decontaminated(docs, benchmark)
+    assert left.columns == docs.columns and sorted(r.key for r in left.collect()) == ["b", "b", "c", "e", "f", "g"]
+    assert decontaminate.decontaminated(docs.limit(0), benchmark).count() == 0
+    assert decontaminate.decontaminated(docs, benchmark.limit(0)).count() == len(rows)

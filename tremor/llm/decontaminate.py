@@ -98,8 +98,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that overlap no benchmark item, with all their columns."""
-    return docs.join(overlaps(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that overlap no benchmark item, with all their columns. Each row is judged by its own text, named by
+    its SHA-256, whatever its id: rows with equal ids or without one stay or go for themselves. Null texts stay.
+    """
+    key = F.unhex(F.sha2("text", 256))
+    found = overlaps(docs.select(key.alias("key"), "text"), benchmark, id_col="key")
+    rows = docs.select(key.alias("key"), F.struct("*").alias("row"))
+    return rows.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
 
 
 # Every window with at most two substitutions holds four equal words in a row, so this joins on those and compares.
