@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tremor.functions.dist import norm_two_sided, ppf
 
 from .gram import complete, fit, influence, lag_products, local_projection, projected
+from .quantiles import quantile_fit, student_p
 from .timealign import leads
 
 
@@ -57,47 +58,14 @@ def sup_t(df: DataFrame, keys: Sequence[str], y: str, shock: str, controls: Sequ
     return out.withColumns({"lo": F.col("beta") - F.col("critical") * F.col("se"), "hi": F.col("beta") + F.col("critical") * F.col("se")})
 
 
-def quantile_fit(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], tau: float = 0.5, rounds: int = 15) -> DataFrame:
-    """(keys, intercept, beta, n) of the tau-quantile regression of y on xs per model, by reweighted least squares.
-
-    Each round is one grouped sum of weighted products and a k x k solve per model, whatever the number of rows.
-    """
-    if not 0 < tau < 1:
-        raise ValueError(f"tau {tau} isn't between 0 and 1")
-    data, k = complete(df, [y, *xs]), len(xs)
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "coef array<double>, n long"])
-    cells = [F.lit(1.0), *(F.col(c) for c in xs)]
-
-    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for gram, target in zip(part["gram"], part["target"], strict=True):
-                a = np.zeros((k + 1, k + 1))
-                i, j = np.tril_indices(k + 1)
-                a[i, j] = a[j, i] = gram
-                out.append(np.linalg.pinv(a, hermitian=True) @ np.array(target, float))
-            yield part[[*keys, "n"]].assign(coef=out)[[*keys, "coef", "n"]]
-
-    coef = None
-    for _ in range(rounds):
-        if coef is None:
-            rows = data.withColumn("_w", F.lit(1.0))
-        else:
-            rows = data.join(coef, list(keys))
-            r = F.col(y) - sum((F.get("coef", F.lit(i)) * c for i, c in enumerate(cells)), F.lit(0.0))
-            rows = rows.withColumn("_w", F.when(r >= 0, F.lit(tau)).otherwise(1 - tau) / F.greatest(F.abs(r), F.lit(1e-6)))
-        w = F.col("_w")
-        sums = rows.groupBy(*keys).agg(F.array(*(F.sum(w * cells[i] * cells[j]) for i in range(k + 1) for j in range(i + 1))).alias("gram"), F.array(*(F.sum(w * c * F.col(y)) for c in cells)).alias("target"), F.count("*").alias("n"))
-        coef = sums.where(F.col("n") > k + 1).mapInPandas(solve, schema)
-    return coef.select(*keys, F.get("coef", F.lit(0)).alias("intercept"), F.slice("coef", 2, k).alias("beta"), "n")
-
-
 def quantile_projection(df: DataFrame, keys: Sequence[str], y: str, shock: str, controls: Sequence[str], horizons: Sequence[int], tau: float = 0.5) -> DataFrame:
-    """(keys, horizon, beta, nobs): the shock's effect on the tau-quantile of y at every horizon."""
-    stacked = leads(df, y, list(horizons), tuple(keys))
+    """(keys, horizon, beta, se, t, p, nobs): the shock's effect on the tau-quantile of y at every horizon, with Student
+    p-values; simultaneous bands are not to be had for quantiles, see `sup_t`."""
+    stacked, k = leads(df, y, list(horizons), tuple(keys)), len(controls) + 1
     out = quantile_fit(stacked, [*keys, "horizon"], "y_lead", [shock, *controls], tau)
-    return out.select(*keys, "horizon", F.get("beta", F.lit(0)).alias("beta"), F.col("n").alias("nobs"))
+    out = out.select(*keys, "horizon", F.get("beta", F.lit(0)).alias("beta"), F.get("se", F.lit(0)).alias("se"), F.col("n").alias("nobs"))
+    out = out.withColumn("t", F.try_divide("beta", "se"))
+    return out.withColumn("p", student_p("t", F.col("nobs") - k - 1))
 
 
 def equal_terms(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], lags: int = 5, order: str = "t") -> DataFrame:

@@ -304,16 +304,18 @@ def r19_granger_statistic(spark, sf):
     return rounded(gram.block_granger(country_panel(spark, sf), ["world", "price"], ["dom"], 2).drop("p"), "f")
 
 
-DRAW = """b0 as (select b, k, (1 * 7919 + b * 104729 + 12345) % 1000003 as x from range(20) r(b) cross join range(5) s(k)),
+BLOCK, DRAWS = 20, 1000  # the protocol's number of draws
+SIZE = "(select count(*) from panel)"
+DRAW = f"""b0 as (select b, k, (1 * 7919 + b * 104729 + 12345) % 1000003 as x from range({DRAWS}) r(b) cross join (select unnest(range(cast(ceil({SIZE} / {BLOCK}.0) as bigint))) as k) s),
 b1 as (select b, k, (x * x + x * 31 + 7) % 1000003 as x from b0), b2 as (select b, k, (x * 7919 + k * 104729 + 12345) % 1000003 as x from b1),
-st as (select b, k, ((x * x + x * 31 + 7) % 1000003) % (60 - 12 + 1) as start from b2),
-ix as (select b, k * 12 + j as pos, start + j as source from st cross join range(12) t(j) where k * 12 + j < 60)"""
+st as (select b, k, ((x * x + x * 31 + 7) % 1000003) % ({SIZE} - {BLOCK} + 1) as start from b2),
+ix as (select b, k * {BLOCK} + j as pos, start + j as source from st cross join range({BLOCK}) t(j) where k * {BLOCK} + j < {SIZE})"""
 
 
-@query(sql("panel", "").replace("with ", f"with {DRAW}, ", 1).rstrip() + " select b, round(avg(shock), 4) as mean, cast(sum(source) as bigint) as total from ix join panel on t = source + 1 group by 1")
+@query(sql("panel", "") + f", {DRAW} select b, round(avg(shock), 4) as mean, cast(sum(source) as bigint) as total from ix join panel on t = source + 1 group by 1")
 def c01_block_bootstrap(spark, sf):
     rows = B.panel(spark, sf).select((F.col("t") - 1).cast("long").alias("source"), "shock")
-    drawn = speccurve.block_indices(spark, 60, 12, 20)
+    drawn = speccurve.block_indices(spark, rows.count(), BLOCK, DRAWS)
     return drawn.join(rows, "source").groupBy("b").agg(R(F.avg("shock")).alias("mean"), F.sum("source").cast("long").alias("total"))
 
 
@@ -335,20 +337,52 @@ def c04_curve_statistics(spark, sf):
     return rounded(rounded(speccurve.statistics(fits, ["horizon"]), "median", "share", digits=6), "stouffer")
 
 
-NULL_DRAWS = 1000  # the protocol's B
+SHOCKS = {"urgent": "1-URGENT", "high": "2-HIGH", "medium": "3-MEDIUM", "unspecified": "4-NOT SPECIFIED", "low": "5-LOW"}
+
+
+def spec_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """pos, y, ctrl, each priority's log index (null where it has none) and the tag of each year's first half."""
+    wide = B.index(spark, sf).groupBy("date").pivot("series_id", list(SHOCKS.values())).agg(F.first(F.log1p("value")))
+    rows = B.panel(spark, sf).select("date", (F.col("t") - 1).alias("pos"), "y", "ctrl").join(wide, "date", "left")
+    return rows.select("pos", "y", "ctrl", (F.month("date") <= 6).alias("h1"), *(F.col(v).alias(k) for k, v in SHOCKS.items()))
+
+
+def spec_grid(spark: SparkSession, forms: list[str]) -> DataFrame:
+    """Every shock, with and without the control, on all days and on the first half of each year."""
+    levels = speccurve.grid(spark, {"shock": list(SHOCKS), "controls": [["ctrl"], []], "funcform": forms, "sample": ["", "h1"]})
+    name = F.concat_ws("/", "shock", F.concat_ws("+", "controls"), "funcform", "sample")
+    return levels.select(name.alias("spec_id"), "shock", "controls", "funcform", F.nullif("sample", F.lit("")).alias("sample"))
+
+
+SPEC_ROWS = "select t - 1 as pos, y, ctrl, month(date) <= 6 as h1, s.shock, ln(1 + value) as x from panel join idx using (date) join (values " + ", ".join(f"('{v}', '{k}')" for k, v in SHOCKS.items()) + ") s(series_id, shock) on s.series_id = idx.series_id"
+SPEC_SETS = "select *, '' as sample from q union all select *, 'h1' from q where h1"
+# Two regressors in closed form: sums of centred products of x, the control (left out where ctl = '') and the outcome.
+SPEC_FITS = """select b, shock || '/' || ctl || '/ols/' || sample as spec_id, n, case when ctl = '' then xy / xx else (xy * cc - cy * xc) / (xx * cc - xc * xc) end as coef,
+case when ctl = '' then sqrt((yy - xy * xy / xx) / (n - 2) / xx) else sqrt((yy - ((xy * cc - cy * xc) * xy + (cy * xx - xy * xc) * cy) / (xx * cc - xc * xc)) / (n - 3) * cc / (xx * cc - xc * xc)) end as se
+from (select b, shock, sample, count(*) as n, var_pop(x) * count(*) as xx, var_pop(ctrl) * count(*) as cc, var_pop(yb) * count(*) as yy, covar_pop(x, ctrl) * count(*) as xc, covar_pop(x, yb) * count(*) as xy, covar_pop(ctrl, yb) * count(*) as cy from {rows} group by 1, 2, 3), (values (''), ('ctrl')) c(ctl)"""
+
+
+@query(sql("idx panel", "select spec_id, round(coef, 6) as coef, round(se, 6) as se, n from f", q=SPEC_ROWS, r=SPEC_SETS, o="select *, -1 as b, y as yb from r", f=SPEC_FITS.format(rows="o")))
+def c05_fit_specs(spark, sf):
+    """The observed curve: rows of the grid drive the fits."""
+    return rounded(speccurve.fit_specs(spec_panel(spark, sf), spec_grid(spark, ["ols"])).select("spec_id", "coef", "se", "n"), "coef", "se", digits=6)
 
 
 @query(None)
-def c06_specification_curve(spark, sf):
-    """Specifications: each priority's index, over all days and over the first half of each year.
+def c05_quantile_specs(spark, sf):
+    """The quantile branch of the grid; tests hold its fits against linear programs."""
+    forms = [f"quantile {t}" for t in (0.1, 0.25, 0.5, 0.75, 0.9)]
+    return rounded(speccurve.fit_specs(spec_panel(spark, sf), spec_grid(spark, forms)).select("spec_id", "coef", "se", "n"), "coef", "se", digits=6)
+
 
-    Positions number the days of the panel, and a null draw moves outcomes in blocks of 20 days.
-    """
-    p = B.panel(spark, sf).select("date", "t", "y")
-    i = B.index(spark, sf).withColumn("x", F.log1p("value"))
-    specs = p.join(i, "date").select("series_id", (F.col("t") - 1).alias("pos"), "y", "x").unionByName(p.join(i, "date").where(F.month("date") <= 6).select(F.concat("series_id", F.lit("/H1")).alias("series_id"), (F.col("t") - 1).alias("pos"), "y", "x"))
-    n = p.count()
-    return rounded(speccurve.curve(specs.withColumnRenamed("series_id", "spec_id"), n, min(20, n), NULL_DRAWS), "median", "share", "stouffer", digits=6)
+@query(
+    sql("idx panel", "")
+    + f", {DRAW}, q as ({SPEC_ROWS}), r as ({SPEC_SETS}), moved as (select b, pos, y as yb from ix join (select t - 1 as source, y from panel) using (source)), d as (select b, r.*, yb from r join moved using (pos) union all select -1, r.*, y from r), f as ({SPEC_FITS.format(rows='d')}), g as (select *, coef / se as z from f), m as (select b, case when avg(case when coef > 0 then 1 else 0 end) >= avg(case when coef < 0 then 1 else 0 end) then 1 else -1 end as m from g group by 1), s as (select b, quantile_cont(coef, 0.5) as median, avg(case when abs(z) > {Z95} and sign(coef) = m then 1 else 0 end) as share, sum(sign(coef) * least(abs(z), {Z_CLIPPED})) / sqrt(count(*)) as stouffer from g join m using (b) group by 1) select round(o.median, 6) as median, round(o.share, 6) as share, round(o.stouffer, 4) as stouffer, round(avg(case when abs(s.median) >= abs(o.median) then 1 else 0 end), 6) as p_median, round(avg(case when s.share >= o.share then 1 else 0 end), 6) as p_share, round(avg(case when abs(s.stouffer) >= abs(o.stouffer) then 1 else 0 end), 6) as p_stouffer, count(*) as draws from s, (select * from s where b = -1) o where s.b >= 0 group by o.median, o.share, o.stouffer"
+)
+def c06_specification_curve(spark, sf):
+    """Least-squares specifications of the grid, and null draws that move outcomes in blocks over all days of the panel."""
+    fits = speccurve.fit_specs(spec_panel(spark, sf), spec_grid(spark, ["ols"]), BLOCK, DRAWS)
+    return rounded(rounded(speccurve.curve(fits), "median", "share", "p_median", "p_share", "p_stouffer", digits=6), "stouffer")
 
 
 @query(None)
@@ -380,7 +414,9 @@ def r07_sup_t_errors(spark, sf):
 
 @query(None)
 def r08_quantile_projection(spark, sf):
-    return rounded(inference.quantile_projection(short_panel(spark, sf), ["panel_id"], "y", "x", (), range(3), 0.5).select("horizon", "beta", "nobs"), "beta")
+    """Coefficients and errors; tests hold them against a linear program and committed values."""
+    out = inference.quantile_projection(short_panel(spark, sf), ["panel_id"], "y", "x", ["ctrl"], range(3), 0.5)
+    return rounded(out.select("horizon", "beta", "se", "t", "p", "nobs"), "beta", "se", "t", "p", digits=6)
 
 
 @query(
