@@ -16,12 +16,13 @@ def salience(rows: DataFrame, events: DataFrame, keys: Sequence[str] = ("measure
     return at.join(sigma, list(keys)).groupBy(*keys).agg(F.avg(z).alias("mean_z"), F.avg((z > 2).cast("int")).alias("hit"), F.count("*").alias("n"))
 
 
-def verdict(table: DataFrame, by: str = "sample", what: str = "measure") -> DataFrame:
-    """(sample, winner, stable): the best measure by hit rate, then mean z; stable if the same one wins in all samples."""
-    w = Window.partitionBy(by).orderBy(F.desc_nulls_last("hit"), F.desc_nulls_last("mean_z"), what)
-    first = table.withColumn("rank", F.row_number().over(w)).where("rank = 1").select(by, F.col(what).alias("winner"))
-    same = first.agg((F.count_distinct("winner") == 1).alias("stable"))
-    return first.crossJoin(F.broadcast(same))  # one row
+def verdict(table: DataFrame, by: str = "sample", what: str = "measure", within: Sequence[str] = ()) -> DataFrame:
+    """(within, sample, winner, stable): the best measure by hit rate, then mean z; stable if the same one wins in all samples
+    of its group."""
+    w = Window.partitionBy(*within, by).orderBy(F.desc_nulls_last("hit"), F.desc_nulls_last("mean_z"), what)
+    first = table.withColumn("rank", F.row_number().over(w)).where("rank = 1").select(*within, by, F.col(what).alias("winner"))
+    same = first.groupBy(*within).agg((F.count_distinct("winner") == 1).alias("stable"))
+    return first.join(same, list(within)) if within else first.crossJoin(F.broadcast(same))  # one row
 
 
 def auc(rows: DataFrame, keys: Sequence[str] = ("measure", "sample"), weight: str | None = None, least: int = 3) -> DataFrame:
@@ -47,23 +48,41 @@ def draw(seed: int, *parts, below):
     return x % below
 
 
-def auc_interval(rows: DataFrame, keys: Sequence[str] = ("measure", "sample"), draws: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
+def auc_by_years(dated: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, y1, y2, u: the Mann-Whitney count of the events of one year against the controls of another (ties: a half)."""
+    per = dated.groupBy(*keys, "year", "value").agg(F.count_if("is_event").alias("e"), F.count_if(~F.col("is_event")).alias("c"))
+    years = dated.select(*keys, F.col("year").alias("y2")).distinct()
+    asked = per.where("e > 0").join(years, list(keys)).select(*keys, "y2", "value", F.col("year").alias("y1"), "e", F.lit(0).cast("long").alias("c"))
+    held = per.where("c > 0").select(*keys, F.col("year").alias("y2"), "value", F.lit(None).cast("int").alias("y1"), F.lit(0).cast("long").alias("e"), "c")
+    w = Window.partitionBy(*keys, "y2").orderBy("value")
+    same, upto = F.sum("c").over(Window.partitionBy(*keys, "y2", "value")), F.sum("c").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return asked.unionByName(held).withColumn("under", upto - same / 2).where("y1 is not null").groupBy(*keys, "y1", "y2").agg(F.sum(F.col("e") * F.col("under")).alias("u"))
+
+
+def auc_interval(rows: DataFrame, keys: Sequence[str] = ("measure", "sample"), draws: int = 2000, seed: int = 1, level: float = 0.95, least: int = 3) -> DataFrame:
     """keys, lo, hi: percentile interval of the AUC when calendar years are drawn with replacement.
 
-    A draw is a multiplicity for each year, so every bootstrap sample is a weighted AUC; rows aren't copied per year drawn.
+    A draw is a multiplicity for each year, and its AUC a quadratic form of these over the counts of `auc_by_years`; so rows are
+    read once, however many draws there are.
     """
+    keys = list(keys)
     dated = rows.withColumn("year", F.year("date"))
     years = dated.select(*keys, "year").distinct().withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("year")) - 1)
     years = years.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    known = dated.where("value is not null")
+    sides = known.groupBy(*keys, "year").agg(F.count_if("is_event").alias("e"), F.count_if(~F.col("is_event")).alias("c"))
     picks = years.select(*keys, "n", F.col("nth").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
     picks = picks.withColumn("nth", draw(seed, F.col("b"), F.col("k"), below=F.col("n"))).groupBy(*keys, "b", "nth").agg(F.count("*").alias("weight"))
-    weighted = dated.join(years.drop("n"), [*keys, "year"]).join(picks, [*keys, "nth"])
-    each = auc(weighted, [*keys, "b"], "weight")
+    picks = picks.join(years.drop("n"), [*keys, "nth"]).drop("nth")
+    total = picks.join(sides, [*keys, "year"]).groupBy(*keys, "b").agg(F.sum(F.col("weight") * F.col("e")).alias("e"), F.sum(F.col("weight") * F.col("c")).alias("c"))
+    first, second = (picks.select(*keys, "b", F.col("year").alias(y), F.col("weight").alias(w)) for y, w in (("y1", "w1"), ("y2", "w2")))
+    both = auc_by_years(known, keys).join(first, [*keys, "y1"]).join(second, [*keys, "b", "y2"]).groupBy(*keys, "b").agg(F.sum(F.col("w1") * F.col("w2") * F.col("u")).alias("u"))
+    each = total.join(both, [*keys, "b"], "left").select(*keys, F.when((F.col("e") >= least) & (F.col("c") >= least), F.coalesce("u", F.lit(0.0)) / (F.col("e") * F.col("c"))).alias("auc"))
     a = (1 - level) / 2
     return each.groupBy(*keys).agg(F.percentile("auc", F.lit(a)).alias("lo"), F.percentile("auc", F.lit(1 - a)).alias("hi"), F.count("auc").alias("n_draws"))
 
 
-def rank_by(table: DataFrame, value: str, by: str = "sample", what: str = "measure") -> DataFrame:
+def rank_by(table: DataFrame, value: str, by: str | Sequence[str] = "sample", what: str = "measure") -> DataFrame:
     """table with rank: largest value first, nulls last, ties by name."""
     return table.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc_nulls_last(value), what)))
 

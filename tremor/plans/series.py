@@ -103,24 +103,24 @@ def a10_event_scan(spark, sf):
 
 
 def _store(spark: SparkSession, sf: str) -> DataFrame:
-    i = B.index(spark, sf).where(F.col("series_id").isin(*PRIORITIES[:3]))
+    i = B.index(spark, sf)
     day = F.col("date")
     return i.select("series_id", "date", "value", F.lit("D").alias("freq"), F.lit("orders").alias("source"), transforms.available_at("daily", day).alias("available_at"), F.lit("v1").alias("data_version"))
 
 
-SEEN = "select series_id, date, value, cast(date as timestamp) + interval 36 hour as available_at from idx where series_id < '4'"
+SEEN = "select series_id, date, value, cast(date as timestamp) + interval 36 hour as available_at from idx"
 
 
-@query(sql("idx", "select date, " + ", ".join(f"round(max(case when series_id = '{p}' then value end), 4) as \"{p}\"" for p in PRIORITIES[:2]) + " from s where available_at <= timestamp '1998-07-01 12:00:00' and series_id < '3' group by date", s=SEEN))
+@query(sql("idx", "select date, " + ", ".join(f"round(max(case when series_id = '{p}' then value end), 4) as \"{p}\"" for p in PRIORITIES) + " from s where available_at <= timestamp '1998-07-01 12:00:00' group by date", s=SEEN))
 def a11_as_of_read(spark, sf):
-    rows = store.as_of(_store(spark, sf), PRIORITIES[:2], "1998-07-01 12:00:00", "D", "v1")
-    return rounded(store.wide(rows, PRIORITIES[:2], check=False), *PRIORITIES[:2])
+    rows = store.as_of(_store(spark, sf), PRIORITIES, "1998-07-01 12:00:00", "D", "v1")
+    return rounded(store.wide(rows, PRIORITIES, check=False), *PRIORITIES)
 
 
-@query(sql("idx", f"select series_id, date, round({DL} - lag({DL}) {OVER}, 4) as value from s where available_at <= timestamp '1998-07-01 12:00:00' and series_id < '3'", s=SEEN))
+@query(sql("idx", f"select series_id, date, round({DL} - lag({DL}) {OVER}, 4) as value from s where available_at <= timestamp '1998-07-01 12:00:00'", s=SEEN))
 def a12_as_of_transformed(spark, sf):
-    rows = store.as_of(_store(spark, sf), PRIORITIES[:2], "1998-07-01 12:00:00").select("series_id", "date", "value")
-    return rounded(transforms.apply_policy(rows, transforms.kinds(spark, dict.fromkeys(PRIORITIES[:2], "price"))), "value")
+    rows = store.as_of(_store(spark, sf), PRIORITIES, "1998-07-01 12:00:00").select("series_id", "date", "value")
+    return rounded(transforms.apply_policy(rows, transforms.kinds(spark, dict.fromkeys(PRIORITIES, "price"))), "value")
 
 
 @query(

@@ -111,45 +111,47 @@ def w09_episodes(spark, sf):
     return rounded(W.episodes(W.exceedances(B.index(spark, sf))).select("series_id", "date", "value", "first", "episode"), "value")
 
 
-DETECT = """select 'LEVEL' as measure, date, ln(1 + value) as value from idx where series_id = '1-URGENT'
-union all select 'DIFF', date, value - lag(value) over (order by date) from idx where series_id = '1-URGENT'"""
+DETECT = """select series_id, 'LEVEL' as measure, date, ln(1 + value) as value from idx
+union all select series_id, 'DIFF', date, value - lag(value) over (partition by series_id order by date) from idx"""
+SCORED = ("series_id", "measure", "sample")
 
 
 def measures(spark: SparkSession, sf: str) -> DataFrame:
-    """(measure, date, value) of one series: its log level and its difference."""
-    i = B.index(spark, sf).where("series_id = '1-URGENT'")
-    level = i.select(F.lit("LEVEL").alias("measure"), "date", F.log1p("value").alias("value"))
-    return level.unionByName(i.select(F.lit("DIFF").alias("measure"), "date", transforms.diff(F.col("value")).alias("value")))
+    """(series_id, measure, date, value): each series' log level and its difference."""
+    i = B.index(spark, sf)
+    level = i.select("series_id", F.lit("LEVEL").alias("measure"), "date", F.log1p("value").alias("value"))
+    return level.unionByName(i.select("series_id", F.lit("DIFF").alias("measure"), "date", transforms.diff(F.col("value")).alias("value")))
 
 
 TAGGED = "select * from m join s on (first is null or date >= first) and (last is null or date <= last)"
-SALIENT = "select t.measure, t.sample, round(avg(value / sd), 4) as mean_z, round(avg(case when value / sd > 2 then 1 else 0 end), 4) as hit, count(*) as n from t join (select measure, sample, stddev_samp(value) as sd from t group by 1, 2) using (measure, sample) join ev on date = event_date where value is not null group by 1, 2"
+SALIENT = "select t.series_id, t.measure, t.sample, round(avg(value / sd), 4) as mean_z, round(avg(case when value / sd > 2 then 1 else 0 end), 4) as hit, count(*) as n from t join (select series_id, measure, sample, stddev_samp(value) as sd from t group by 1, 2, 3) using (series_id, measure, sample) join ev on date = event_date where value is not null group by 1, 2, 3"
 
 
 @query(sql("idx ev", SALIENT, m=DETECT, s=SAMPLES, t=TAGGED))
 def d09_salience(spark, sf):
     tagged = transforms.tag_samples(measures(spark, sf), samples(spark))
-    return rounded(detect.salience(tagged, B.events(spark, sf)), "mean_z", "hit")
+    return rounded(detect.salience(tagged, B.events(spark, sf), SCORED), "mean_z", "hit")
 
 
 @query(
     sql(
         "idx ev",
-        "select sample, measure as winner, (select count(distinct measure) = 1 from r where n = 1) as stable from r where n = 1",
+        "select series_id, sample, measure as winner, count(*) over (partition by series_id, measure) = count(*) over (partition by series_id) as stable from r where n = 1",
         m=DETECT,
         s=SAMPLES,
         t=TAGGED,
         sal=SALIENT,
-        r="select sample, measure, row_number() over (partition by sample order by hit desc nulls last, mean_z desc nulls last, measure) as n from sal",
+        r="select series_id, sample, measure, row_number() over (partition by series_id, sample order by hit desc nulls last, mean_z desc nulls last, measure) as n from sal",
     )
 )
 def d10_salience_verdict(spark, sf):
     tagged = transforms.tag_samples(measures(spark, sf), samples(spark))
-    return detect.verdict(rounded(detect.salience(tagged, B.events(spark, sf)), "mean_z", "hit"))
+    return detect.verdict(rounded(detect.salience(tagged, B.events(spark, sf), SCORED), "mean_z", "hit"), within=["series_id"])
 
 
-MARKED = """select t.measure, t.sample, t.date, t.value, true as is_event from t where exists (select 1 from ev where abs(t.date - event_date) <= 3)
-union all select t.measure, t.sample, t.date, t.value, false from t where not exists (select 1 from ev where abs(t.date - event_date) <= 10)"""
+YEAR_DRAWS = 2000
+MARKED = """select t.series_id, t.measure, t.sample, t.date, t.value, true as is_event from t where exists (select 1 from ev where abs(t.date - event_date) <= 3)
+union all select t.series_id, t.measure, t.sample, t.date, t.value, false from t where not exists (select 1 from ev where abs(t.date - event_date) <= 10)"""
 
 
 def marked(spark: SparkSession, sf: str, tag: bool = True) -> DataFrame:
@@ -161,35 +163,35 @@ def marked(spark: SparkSession, sf: str, tag: bool = True) -> DataFrame:
     return near.unionByName(timealign.control_days(rows, ev, 10).withColumn("is_event", F.lit(False)))
 
 
-AUC = """select measure, sample, case when e >= 3 and c >= 3 then round((r - e * (e + 1) / 2.0) / (e * c), 4) end as auc, e as n_event, c as n_control from
-(select measure, sample, sum(case when is_event then rk else 0 end) as r, count(*) filter (where is_event) as e, count(*) filter (where not is_event) as c from
-(select *, rank() over (partition by measure, sample order by value) + (count(*) over (partition by measure, sample, value) - 1) / 2.0 as rk from k where value is not null) group by 1, 2)"""
+AUC = """select series_id, measure, sample, case when e >= 3 and c >= 3 then round((r - e * (e + 1) / 2.0) / (e * c), 4) end as auc, e as n_event, c as n_control from
+(select series_id, measure, sample, sum(case when is_event then rk else 0 end) as r, count(*) filter (where is_event) as e, count(*) filter (where not is_event) as c from
+(select *, rank() over (partition by series_id, measure, sample order by value) + (count(*) over (partition by series_id, measure, sample, value) - 1) / 2.0 as rk from k where value is not null) group by 1, 2, 3)"""
 
 
 @query(sql("idx ev", AUC, m=DETECT, s=SAMPLES, t=TAGGED, k=MARKED))
 def d11_auc(spark, sf):
     """Also D12: by measure and sub-sample."""
-    return rounded(detect.auc(marked(spark, sf)), "auc")
+    return rounded(detect.auc(marked(spark, sf), SCORED), "auc")
 
 
-@query(sql("idx ev", "select *, row_number() over (partition by sample order by auc desc nulls last, measure) as rank from a", m=DETECT, s=SAMPLES, t=TAGGED, k=MARKED, a=AUC))
+@query(sql("idx ev", "select *, row_number() over (partition by series_id, sample order by auc desc nulls last, measure) as rank from a", m=DETECT, s=SAMPLES, t=TAGGED, k=MARKED, a=AUC))
 def w11_ranking(spark, sf):
-    return detect.rank_by(rounded(detect.auc(marked(spark, sf)), "auc"), "auc")
+    return detect.rank_by(rounded(detect.auc(marked(spark, sf), SCORED), "auc"), "auc", ["series_id", "sample"])
 
 
 @query(
     sql(
         "idx",
-        "select date, measure, round(value, 4) as value from (select date, unnest(['INNOVATION', 'JUMP', 'LEVEL_PLUS_JUMP', 'LEVEL']) as measure, unnest([value - persistent, jump, value + jump, value]) as value from a join (select series_id, date, jump from j) using (series_id, date) where series_id = '1-URGENT' and persistent is not null and jump is not null)",
+        "select series_id, date, measure, round(value, 4) as value from (select series_id, date, unnest(['INNOVATION', 'JUMP', 'LEVEL_PLUS_JUMP', 'LEVEL']) as measure, unnest([value - persistent, jump, value + jump, value]) as value from a join (select series_id, date, jump from j) using (series_id, date) where persistent is not null and jump is not null)",
         lev="select series_id, date, ln(1 + value) as value from idx",
         a=AR1,
         j=JUMPED.format(src="lev"),
     )
 )
 def w10_detection_measures(spark, sf):
-    wide = W.shock_suite(B.index(spark, sf).where("series_id = '1-URGENT'"), order=1).groupBy("date").pivot("measure", ["INNOV", "JUMP", "LEVEL_PLUS_JUMP", "LEVEL"]).agg(F.first("value"))
+    wide = W.shock_suite(B.index(spark, sf), order=1).groupBy("series_id", "date").pivot("measure", ["INNOV", "JUMP", "LEVEL_PLUS_JUMP", "LEVEL"]).agg(F.first("value"))
     wide = wide.dropna().withColumnRenamed("INNOV", "INNOVATION")
-    return rounded(wide.unpivot(["date"], ["INNOVATION", "JUMP", "LEVEL_PLUS_JUMP", "LEVEL"], "measure", "value"), "value")
+    return rounded(wide.unpivot(["series_id", "date"], ["INNOVATION", "JUMP", "LEVEL_PLUS_JUMP", "LEVEL"], "measure", "value"), "value")
 
 
 @query(sql("idx", "select series_id, date, round(avg(case when b <= a then 1.0 else 0 end), 4) as pct_rank from (select x.series_id, x.date, x.value as a, y.value as b from idx x join idx y on y.series_id = x.series_id and y.date between x.date - 365 and x.date) group by 1, 2"))
@@ -200,22 +202,22 @@ def w12_percent_rank(spark, sf):
 @query(
     sql(
         "idx ev",
-        "select measure, round(quantile_cont(auc, 0.025), 4) as lo, round(quantile_cont(auc, 0.975), 4) as hi, count(auc) as n_draws from a group by 1",
+        "select series_id, measure, round(quantile_cont(auc, 0.025), 4) as lo, round(quantile_cont(auc, 0.975), 4) as hi, count(auc) as n_draws from a group by 1, 2",
         m=DETECT,
         t="select *, 'full' as sample from m",
         k=MARKED,
-        y="select measure, year, row_number() over (partition by measure order by year) - 1 as nth, count(*) over (partition by measure) as n from (select distinct measure, year(date) as year from k)",
-        p0="select measure, n, nth as k, b, (1 * 7919 + b * 104729 + 12345) % 1000003 as x from y cross join range(60) r(b)",
+        y="select series_id, measure, year, row_number() over (partition by series_id, measure order by year) - 1 as nth, count(*) over (partition by series_id, measure) as n from (select distinct series_id, measure, year(date) as year from k)",
+        p0=f"select series_id, measure, n, nth as k, b, (1 * 7919 + b * 104729 + 12345) % 1000003 as x from y cross join range({YEAR_DRAWS}) r(b)",
         p1="select *, (x * x + x * 31 + 7) % 1000003 as x1 from p0",
         p2="select *, (x1 * 7919 + k * 104729 + 12345) % 1000003 as x2 from p1",
-        p="select measure, b, ((x2 * x2 + x2 * 31 + 7) % 1000003) % n as nth, count(*) as weight from p2 group by 1, 2, 3",
-        v="select k.measure, p.b, k.value, sum(case when is_event then weight else 0 end) as e, sum(case when not is_event then weight else 0 end) as c from k join y on y.measure = k.measure and y.year = year(k.date) join p on p.measure = y.measure and p.nth = y.nth where k.value is not null group by 1, 2, 3",
-        u="select measure, b, e, c, coalesce(sum(c) over (partition by measure, b order by value rows between unbounded preceding and 1 preceding), 0) as below from v",
-        a="select measure, b, case when sum(e) >= 3 and sum(c) >= 3 then sum(e * (below + c / 2.0)) / (sum(e) * sum(c)) end as auc from u group by 1, 2",
+        p="select series_id, measure, b, ((x2 * x2 + x2 * 31 + 7) % 1000003) % n as nth, count(*) as weight from p2 group by 1, 2, 3, 4",
+        v="select k.series_id, k.measure, p.b, k.value, sum(case when is_event then weight else 0 end) as e, sum(case when not is_event then weight else 0 end) as c from k join y on y.series_id = k.series_id and y.measure = k.measure and y.year = year(k.date) join p on p.series_id = y.series_id and p.measure = y.measure and p.nth = y.nth where k.value is not null group by 1, 2, 3, 4",
+        u="select series_id, measure, b, e, c, coalesce(sum(c) over (partition by series_id, measure, b order by value rows between unbounded preceding and 1 preceding), 0) as below from v",
+        a="select series_id, measure, b, case when sum(e) >= 3 and sum(c) >= 3 then sum(e * (below + c / 2.0)) / (sum(e) * sum(c)) end as auc from u group by 1, 2, 3",
     )
 )
 def c08_auc_interval(spark, sf):
-    return rounded(detect.auc_interval(marked(spark, sf, tag=False), ("measure",), draws=60), "lo", "hi")
+    return rounded(detect.auc_interval(marked(spark, sf, tag=False), ("series_id", "measure"), draws=YEAR_DRAWS), "lo", "hi")
 
 
 @query(sql("idx", "select series_id, date, state, cast(date - min(date) over (partition by series_id, run) + 1 as int) as days_in_state from (select *, sum(new) over (partition by series_id order by date) as run from (select *, case when state = lag(state) over (partition by series_id order by date) then 0 else 1 end as new from (select series_id, date, case when value > 150 then 'high' else 'calm' end as state from idx)))"))
