@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremor.operators import indices, transforms
+from tremor.operators import clusters, indices, transforms
 from tremor.streaming import live
 
 from . import base as B
@@ -57,6 +57,38 @@ def p05_keyword_filter(spark, sf):
     return rounded(out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "hit", "score"), "score")
 
 
+_PRINT = " + ".join(f"case when 2 * sum((p >> {k}) & 1) > count(*) then cast({1 << k} as ubigint) else cast(0 as ubigint) end" for k in range(64))
+CLUSTERS = {
+    "tok": r"select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents",
+    "hw": "select doc_id, list_transform(w, lambda x: md5_number_lower(x)) as h from tok where len(w) > 0",
+    "pr": "select distinct doc_id, unnest(case when len(h) = 1 then h else list_transform(range(1, len(h)), lambda i: cast((cast(h[i] as uhugeint) * 31 + h[i + 1]) % 18446744073709551616 as ubigint)) end) as p from hw",
+    "fp": f"select doc_id, {_PRINT} as f from pr group by doc_id",
+    "ds": "select distinct f from fp",
+    "ln": f"select a.f as a, b.f as b from ds a, ds b where bit_count(xor(a.f, b.f)) <= {clusters.DISTANCE}",
+    "re": "select a, b from ln union select re.a, ln.b from re join ln on ln.a = re.b",
+    "rt": "select a as f, min(b) as root from re group by a",
+    "cl": "select doc_id, min(doc_id) over (partition by root) as cluster_id, count(*) over (partition by root) as cluster_size from fp join rt using (f) union all select doc_id, doc_id, 1 from tok where len(w) = 0",
+}
+
+
+def _clusters_sql(body: str) -> str:
+    return "with recursive " + ", ".join(f"{k} as ({v})" for k, v in CLUSTERS.items()) + " " + body
+
+
+@query(_clusters_sql("select doc_id, cluster_id, cluster_size from cl"))
+def p06_event_clusters(spark, sf):
+    """Clusters of near-equal articles among all documents."""
+    return clusters.event_clusters(B.table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query(_clusters_sql("select lang, cast(sum(n) as bigint) as n_articles, count(*) as n_events, round(sum(total) / sum(n), 4) as attention, round(avg(severity), 4) as event_risk, round(sum(n) * 1.0 / count(*), 4) as amplification from (select lang, cluster_id, max(toxic) as severity, sum(toxic) as total, count(*) as n from documents join cl using (doc_id) join labels using (doc_id) group by 1, 2) group by 1"))
+def p06_event_votes(spark, sf):
+    """One vote per cluster beside the articles' mean, by language."""
+    found = clusters.event_clusters(B.table(spark, sf, "documents")).select(F.col("id").alias("doc_id"), "cluster_id")
+    scored = articles(spark, sf).drop("text").join(found, "doc_id")
+    return rounded(clusters.votes(scored, ["lang"]), "attention", "event_risk", "amplification")
+
+
 @query("select user_id as actor, cast(ts as date) as date, round(sum(greatest(value - 50, 0)), 4) as escalation, round(sum(greatest(50 - value, 0)), 4) as conciliation, round(sum(value - 50), 4) as net, round(max(value - 50), 4) as loudest from events group by 1, 2")
 def p07_signed_index(spark, sf):
     e = B.table(spark, sf, "events").select(F.col("user_id").alias("actor"), B.day("ts"), (F.col("value") - 50).alias("score"), F.lit(1.0).alias("weight"))

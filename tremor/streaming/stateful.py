@@ -7,7 +7,6 @@ few values, a ring of the last `window` ones, and the rows that still wait.
 
 from __future__ import annotations
 
-import uuid
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator, Sequence
 
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from tremor.sources.shared import new_place
+
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MS = 1000  # microseconds
@@ -236,19 +237,13 @@ def stateful(rows: DataFrame, key: str, time: str, value: str, job: Ordered, kin
     return out.withColumn("at", F.timestamp_micros("at"))
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root or spark.conf.get('spark.sql.warehouse.dir').rstrip('/') + '/_shared'}/{name}-{uuid.uuid4().hex}"
-
-
 def arriving(spark: SparkSession, rows: DataFrame, time: str, name: str, job: Callable[[DataFrame], DataFrame], arrivals: int = 3, sink: Callable[[str], Callable[[DataFrame, int], None]] | None = None) -> tuple[DataFrame | None, str]:
     """What an append-mode stream over `rows` has put out after they arrived in `arrivals` parts by time, and its folder.
 
     The query is started anew for each part and goes on from its checkpoint, as after a failure. `job` makes the output of the
     stream; with a `sink`, what sink(folder) returns takes each batch with its number, and there is no table of the output.
     """
-    at = shared(spark, name)
+    at = new_place(spark, name)
     t = F.unix_micros(F.col(time).cast("timestamp"))
     ends = rows.agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))  # one row
     part = F.least(F.floor((t - F.col("_lo")) * arrivals / (F.col("_hi") - F.col("_lo") + 1)), F.lit(arrivals - 1)).cast("int")
