@@ -116,15 +116,6 @@ def test_stouffer_takes_each_coefficients_own_sign(spark):
         assert got[g].share == pytest.approx(sum(p < 0.05 and (c < 0) == down for c, p in mine) / len(mine))
 
 
-def test_quantile_fit_recovers_the_median_line(spark):
-    draw = random.Random(2)
-    rows = [("m", float(k), 2.0 + 0.5 * k + (draw.expovariate(1) * 40 if k % 5 == 0 else draw.gauss(0, 0.5))) for k in range(200)]
-    (r,) = inference.quantile_fit(spark.createDataFrame(rows, "model string, x double, y double"), ["model"], "y", ["x"], 0.4).collect()
-    assert r.beta[0] == pytest.approx(0.5, abs=0.02)
-    with pytest.raises(ValueError):
-        inference.quantile_fit(spark.createDataFrame(rows, "model string, x double, y double"), ["model"], "y", ["x"], 1.0)
-
-
 def test_convolution_equals_a_double_loop(spark):
     draw = random.Random(31)
     channels, steps, last = ["c1", "c2", "c3"], 5, 6
@@ -159,6 +150,36 @@ def test_auc(spark):
     assert one(df.where("not is_event").union(df.where("is_event").limit(2))) is None
 
 
+def test_auc_interval_equals_resampled_years(spark):
+    draw = random.Random(9)
+    rows = [(s, f"{y}-0{1 + k % 9}-01", float(draw.randint(0, 6)) if draw.random() < 0.9 else None, draw.random() < 0.3) for s in "ab" for y in (2001, 2002, 2003, 2004) for k in range(25)]
+    rows += [("few", "2001-01-01", 1.0, True), ("few", "2002-01-01", 2.0, False)]
+    df = spark.createDataFrame(rows, "measure string, day string, value double, is_event boolean").withColumn("date", F.to_date("day"))
+    got = {r.measure: r for r in detect.auc_interval(df, ["measure"], draws=150, seed=4).collect()}
+    picks = lambda b, n: [detect_draw(4, b, k) % n for k in range(n)]
+    for s in "ab":
+        years, values = [2001, 2002, 2003, 2004], []
+        for b in range(150):
+            e, c = [], []
+            for y in (years[i] for i in picks(b, 4)):
+                for m, d, v, x in rows:
+                    if m == s and v is not None and d.startswith(str(y)):
+                        (e if x else c).append(v)
+            if min(len(e), len(c)) >= 3:
+                values.append(sum((p > q) + 0.5 * (p == q) for p in e for q in c) / len(e) / len(c))
+        assert got[s].n_draws == len(values)
+        assert (got[s].lo, got[s].hi) == (pytest.approx(np.percentile(values, 2.5)), pytest.approx(np.percentile(values, 97.5)))
+    assert got["few"].n_draws == 0 and got["few"].lo is None
+
+
+def detect_draw(seed, *parts):
+    x = seed % 1000003
+    for p in parts:
+        x = (x * 7919 + p * 104729 + 12345) % 1000003
+        x = (x * x + x * 31 + 7) % 1000003
+    return x
+
+
 def test_block_bootstrap(spark):
     with pytest.raises(ValueError):
         speccurve.block_indices(spark, 10, 11, 2)
@@ -170,21 +191,6 @@ def test_block_bootstrap(spark):
     assert len({by[b, 0] for b in range(30)}) > 8
 
 
-def test_specification_curve_finds_an_effect(spark):
-    draw = np.random.default_rng(3)
-    x = draw.standard_normal(150)
-    for effect, low in ((0.6, True), (0.0, False)):
-        y = effect * x + draw.standard_normal(150)
-        rows = [(s, k, float(y[k]), float(x[k] + 0.1 * i * draw.standard_normal())) for i, s in enumerate("ab") for k in range(150)]
-        (r,) = speccurve.curve(spark.createDataFrame(rows, "spec_id string, pos long, y double, x double"), 150, 10, 40).collect()
-        assert (r.p_median <= 0.05) == low and r.draws == 40
-
-
-def test_grid_needs_a_jump_for_a_threshold(spark):
-    got = {(r.shock, r.threshold) for r in speccurve.grid(spark, {"shock": ["LEVEL", "JUMP"], "threshold": ["none", "q95"]}).collect()}
-    assert got == {("LEVEL", "none"), ("JUMP", "none"), ("JUMP", "q95")}
-
-
 def test_neighbours_equal_brute_force(spark):
     draw = np.random.default_rng(1)
     m = draw.standard_normal((120, 8))

@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.functions.dist import ppf, t_p
+from tremor.sources.shared import written
 
+ON_PLANE = 1e-9  # residuals of so many standard deviations of y are those of rows on the plane, and not positive
 BAND = 4000  # rows of one group that a task solves at once, about, at first
 EXACT_QUARTILES = 1_000_000  # up to so many rows a group, quartiles of residuals are exact
 
@@ -27,7 +29,7 @@ def exact(x: np.ndarray, y: np.ndarray, tau: float, pull: np.ndarray | None = No
 
     Starts at the vertex next to a reweighted least-squares fit and moves along edges: the steepest one, as far as the loss
     falls. Columns that depend on others get 0. `pull` is the sum of tau x over rows that surely lie above and of
-    (tau - 1) x over rows that surely lie below.
+    (tau - 1) x over rows that surely lie below; NaN where these sums pull the plane beyond all given rows.
     """
     size = np.maximum(np.abs(x).max(axis=0), 1e-300)
     x, pull = x / size, np.zeros(x.shape[1]) if pull is None else pull / size
@@ -75,7 +77,7 @@ def exact(x: np.ndarray, y: np.ndarray, tau: float, pull: np.ndarray | None = No
         order = meets[np.argsort(r[meets] / a[meets], kind="stable")]
         far = np.searchsorted(np.cumsum(np.abs(a[order])), falls[j])
         if far >= len(order):
-            break
+            return np.full(x.shape[1], np.nan)
         basis[j] = int(order[far])
     return b / size
 
@@ -97,7 +99,7 @@ def sandwich(x: np.ndarray, y: np.ndarray, b: np.ndarray, tau: float) -> np.ndar
         return np.full(len(b), np.nan)
     near = np.abs(e / h)
     kernel = np.where(near <= 1, 0.75 * (1 - near**2), 0).sum()
-    meat = x.T @ (x * np.where(e > 0, tau**2, (1 - tau) ** 2)[:, None])
+    meat = x.T @ (x * np.where(e > ON_PLANE * y.std(), tau**2, (1 - tau) ** 2)[:, None])
     return _errors(x.T @ x, meat, kernel, len(y) * h)
 
 
@@ -119,7 +121,8 @@ def _solved(rows: DataFrame, keys: Sequence[str], k: int, tau: float) -> DataFra
             out = []
             for cells, pull in zip(part["cells"], part["pull"], strict=True):
                 data = np.array([np.asarray(c, float) for c in cells])
-                out.append(exact(data[:, :k], data[:, k], tau, None if pull is None else np.asarray(pull, float)))
+                coef = exact(data[:, :k], data[:, k], tau, None if pull is None else np.asarray(pull, float))
+                out.append(None if np.isnan(coef).any() else coef)
             yield part[list(keys)].assign(coef=out)
 
     return rows.select(*keys, "cells", "pull").mapInPandas(solve, _typed(rows, keys, "coef array<double>"))
@@ -144,22 +147,20 @@ def quantile_fit(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str],
     none = F.lit(None).cast("array<double>")
     coef = _solved(first.groupBy(*keys).agg(F.collect_list("cells").alias("cells"), none.alias("pull")), keys, k, tau)
     off = lambda name: F.get("cells", F.lit(k)) - reduce(lambda a, b: a + b, (F.get("cells", F.lit(i)) * F.get(name, F.lit(i)) for i in range(k)))
-    wide = band
-    while sizes.where(F.col("n") > band).limit(1).count():
-        big = rows.where(F.col("n") > band).join(coef, keys).withColumn("off", off("coef"))
-        edge = _edges(big, keys, wide)
-        near = F.abs("off") <= F.col("edge")
-        split = big.join(edge, keys)
-        side = F.when(F.col("off") < 0, tau - 1).otherwise(tau)
-        pulls = F.array(*(F.sum(F.when(near, 0.0).otherwise(side * F.get("cells", F.lit(i)))) for i in range(k)))
-        groups = split.groupBy(*keys).agg(F.collect_list(F.when(near, F.col("cells"))).alias("cells"), pulls.alias("pull"))
-        better = _solved(groups, keys, k, tau).withColumnRenamed("coef", "new")
-        moved = split.where(~near).join(better, keys).where((F.col("off") < 0) != (off("new") < 0))
-        wrong = moved.limit(1).count()
-        coef = coef.join(better, keys, "left").select(*keys, F.coalesce("new", "coef").alias("coef"))
-        if not wrong:
-            break
-        wide *= 2
+    if not sizes.where(F.col("n") > band).isEmpty():
+        rows, coef = written(rows, "rows"), written(coef, "planes")
+        big, wide, wrong = rows.where(F.col("n") > band), band, True
+        while wrong:
+            far = big.join(coef, keys).withColumn("off", off("coef"))
+            split = far.join(_edges(far, keys, wide), keys)
+            near, side = F.abs("off") <= F.col("edge"), F.when(F.col("off") < 0, tau - 1).otherwise(tau)
+            pulls = F.array(*(F.sum(F.when(near, 0.0).otherwise(side * F.get("cells", F.lit(i)))) for i in range(k)))
+            groups = split.groupBy(*keys).agg(F.collect_list(F.when(near, F.col("cells"))).alias("cells"), pulls.alias("pull"))
+            better = written(_solved(groups, keys, k, tau).withColumnRenamed("coef", "new"), "planes")
+            moved = split.where(~near).join(better, keys).where((F.col("off") < 0) != (off("new") < 0))
+            wrong = not moved.isEmpty() or not better.where("new is null").isEmpty()
+            coef = written(coef.join(better, keys, "left").select(*keys, F.coalesce("new", "coef").alias("coef")), "planes")
+            wide *= 2
     return _with_errors(rows, coef, keys, k, tau, off)
 
 
@@ -182,13 +183,13 @@ def _with_errors(rows: DataFrame, coef: DataFrame, keys: list[str], k: int, tau:
 
     def widths(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.assign(h=[bandwidth(n, tau, min(sd, (q[1] - q[0]) / 1.34)) for n, q, sd in zip(part["n"], part["q"], part["sd"], strict=True)])[[*keys, "n", "coef", "h"]]
+            yield part.assign(h=[bandwidth(n, tau, min(sd, (q[1] - q[0]) / 1.34)) for n, q, sd in zip(part["n"], part["q"], part["sd"], strict=True)])[[*keys, "n", "coef", "sd", "h"]]
 
-    wide = spread.mapInPandas(widths, _typed(rows, keys, "n long, coef array<double>, h double"))
+    wide = spread.mapInPandas(widths, _typed(rows, keys, "n long, coef array<double>, sd double, h double"))
     both = fitted.select(*keys, "cells", "off").join(wide, keys)
     at = lambda i: F.get("cells", F.lit(i))
     pairs = [(i, j) for i in range(k) for j in range(i + 1)]
-    u, weight = F.try_divide("off", "h"), F.when(F.col("off") > 0, tau**2).otherwise((1 - tau) ** 2)
+    u, weight = F.try_divide("off", "h"), F.when(F.col("off") > ON_PLANE * F.col("sd"), tau**2).otherwise((1 - tau) ** 2)
     kernel = F.sum(F.when(F.abs(u) <= 1, 0.75 * (1 - u * u)).otherwise(0.0))
     sums = both.groupBy(*keys).agg(F.first("n").alias("n"), F.first("coef").alias("coef"), F.first("h").alias("h"), kernel.alias("kernel"), F.array(*(F.sum(at(i) * at(j)) for i, j in pairs)).alias("bread"), F.array(*(F.sum(weight * at(i) * at(j)) for i, j in pairs)).alias("meat"))
 
