@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 # Bytes of text that one step of a vectorised operator holds at a time inside a task (one longer text is one step).
 SLICE_BYTES = 4 << 20
-
+BATCH_BYTES = 8 << 20
 
 _LEARNT: dict[Hashable, Any] = {}
 
@@ -28,8 +31,18 @@ def learnt(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def forget() -> None:
-    """Lets go of what this Python process has learnt: for tasks that hold much of their own."""
+    """Lets go of what this Python process has learnt and hands freed memory back: for tasks that hold much of their own, at
+    their start and, as an idle worker keeps what it has, at their end."""
     _LEARNT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of BATCH_BYTES rather than of 10,000 rows, whatever their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -372,6 +372,8 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
                 known.update(zip(new, model.margins(new).tolist(), strict=True))
                 out = [model.score(max(map(known.__getitem__, bag), default=model.bias)) for bag in bags]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64()), part.column(1)], ["doc_id", "score", "rest"])
+        known.clear()
+        forget()
 
     scored = rows.mapInArrow(run, f"doc_id long, score double, rest {rows.schema['rest'].dataType.simpleString()}")
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "rest")
