@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from tremor.llm import decontaminate, minhash, packing, substrings, toxicity
 from tremor.llm.registry import tokenizer
-from tremor.llm.shared import table, with_text, written
+from tremor.llm.shared import lean, table, with_text, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the rejection threshold. The classifier learns from labelled rows of docs. Every row is
     judged by its own text: rows with equal ids, repeated rows and rows without an id too."""
+    lean(spark)
     scored = toxicity.scores(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
     return scored.where("predicted = 0").select("rest.*")
 
@@ -25,6 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each near-duplicate group, that with the smallest id: five-word shingles, similarity 0.8 or more.
     Rows with equal ids and different texts are documents of their own; rows that repeat id and text stay or go together;
     rows without an id stay."""
+    lean(spark)
     found = minhash.near_duplicates(docs, percent=80)
     rejected = found.where("not kept").select("doc_id", "text_hash").distinct()
     rows = docs.select("doc_id", minhash.text_hash("text").alias("text_hash"), F.struct("*").alias("row"))
@@ -34,6 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages of 13 words and more that a document with a smaller id has. Texts that
     lose nothing stay as they are. Each row is cut for itself, whatever its id."""
+    lean(spark)
     cut = substrings.remove_repeats(docs, keep=[c for c in docs.columns if c != "text"])
     lost = F.col("n_removed") > 0
     columns = {"text": F.when(lost, F.col("text")).otherwise(F.col("whole")), "n_chars": F.when(lost, F.length("text").cast("int")).otherwise(F.col("rest.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
@@ -47,6 +50,7 @@ def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens, with their ids."""
+    lean(spark)
     return packing.pack_documents(with_text(docs), tokenizer("byte_bpe_50k.json"), 2)
 
 
