@@ -111,6 +111,39 @@ def pinball(actual: Column, quantile: Column, tau: float) -> Column:
     return F.when(actual >= quantile, tau * (actual - quantile)).otherwise((1 - tau) * (quantile - actual))
 
 
+def forecast_scores(df: DataFrame, chance: str, happened: str, actual: str, quantiles: dict[float, str], keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """keys, n, brier, crps: the mean squared error of a forecast chance against what happened, and the continuous ranked
+    probability score as twice the mean pinball loss over the forecast quantiles (tau: column). Rows without a forecast or an
+    outcome are left out."""
+    whole = df.dropna(subset=[chance, happened, actual, *quantiles.values()])
+    loss = sum((pinball(F.col(actual), F.col(c), tau) for tau, c in quantiles.items()), F.lit(0.0)) * 2 / len(quantiles)
+    off = F.col(chance) - F.col(happened).cast("double")
+    return whole.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(off * off).alias("brier"), F.avg(loss).alias("crps"))
+
+
+def correlation(a: str, b: str) -> Column:
+    """An aggregate: Pearson's correlation, NULL where one side doesn't vary."""
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
+def ordinal_agreement(ratings: DataFrame) -> DataFrame:
+    """One row alpha: Krippendorff's alpha for ordinal ratings (unit, rating: a number), from the margins of the coincidences.
+
+    The distance of two ratings is the square of the ratings' share between them, half of both ends' included, so it is a
+    difference of running sums, and within a unit only ratings that occur there meet.
+    """
+    per = ratings.where("rating is not null").groupBy("unit", "rating").agg(F.count("*").alias("c"))
+    per = per.withColumn("m", F.sum("c").over(Window.partitionBy("unit"))).where("m > 1")
+    margin = per.groupBy("rating").agg(F.sum("c").cast("double").alias("k"))
+    place = margin.withColumn("at", F.sum("k").over(Window.orderBy("rating")) - F.col("k") / 2)  # one row a rating
+    rated = per.join(F.broadcast(place.select("rating", "at")), "rating")
+    # Sum of squared differences over all pairs of a group: 2 (n sum x^2 - (sum x)^2).
+    unit = rated.groupBy("unit").agg((2 * (F.sum("c") * F.sum(F.col("c") * F.col("at") * F.col("at")) - F.pow(F.sum(F.col("c") * F.col("at")), F.lit(2.0))) / (F.first("m") - 1)).alias("d"))
+    seen = unit.agg(F.sum("d").alias("seen"))
+    total = place.agg((2 * (F.sum("k") * F.sum(F.col("k") * F.col("at") * F.col("at")) - F.pow(F.sum(F.col("k") * F.col("at")), F.lit(2.0))) / (F.sum("k") - 1)).alias("chance"))
+    return seen.crossJoin(total).select((1 - F.try_divide("seen", "chance")).alias("alpha"))  # one row each
+
+
 def agreement(ratings: DataFrame) -> DataFrame:
     """One row alpha: Krippendorff's alpha for nominal ratings (unit, rating), from coincidence counts."""
     per = ratings.groupBy("unit", "rating").agg(F.count("*").alias("c"))
@@ -124,8 +157,9 @@ def agreement(ratings: DataFrame) -> DataFrame:
 BLOCK, CHUNK = 8192, 2048  # vectors and queries of one task's matrix product, about
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int, exclude: Column | None = None, blocks: int = 64) -> DataFrame:
-    """(query_id, vec_id, cosine, rank): the k nearest vectors of every query by cosine, exactly.
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 64) -> DataFrame:
+    """(query_id, vec_id, cosine, rank): the k nearest vectors of every query by cosine, exactly. Neighbours with
+    conditions, such as a distance in time, are those of `analogues.nearest`.
 
     The stated query set meets all rows in blocks, `blocks` of them or as many as keep a block near BLOCK rows, and in chunks
     of about CHUNK queries: each chunk is copied to each block, a block keeps its own best k per query by matrix product, and
@@ -153,7 +187,5 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, exclude: Column |
         return pd.concat(out)
 
     near = v.groupBy("block", "chunk").cogroup(q.groupBy("block", "chunk")).applyInPandas(best, "query_id long, vec_id long, cosine double").where("cosine > -2")
-    if exclude is not None:
-        near = near.where(exclude)
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -146,11 +148,41 @@ def shock_suite(df: DataFrame, order: int = 1, least: int = 60, window: int = 25
     ).unpivot(["series_id", "date"], ["LEVEL", "PERSISTENT", "INNOV", "JUMP", "LEVEL_PLUS_JUMP"], "measure", "value")
 
 
-def percent_rank_year(df: DataFrame) -> DataFrame:
-    """df with pct_rank: share of the values of the last year (this one included) that aren't larger."""
-    year = Window.partitionBy("series_id").orderBy(F.col("date").cast("timestamp").cast("long")).rangeBetween(-365 * 86400, 0)
-    seen = F.collect_list("value").over(year)
-    return df.withColumn("_seen", seen).withColumn("pct_rank", F.expr("size(filter(_seen, x -> x <= value)) / size(_seen)")).drop("_seen")
+def percent_rank_year(df: DataFrame, days: int = 365) -> DataFrame:
+    """df with pct_rank: share of the non-null values of the last `days` days (this one included) that aren't larger; NULL for a
+    null value.
+
+    Each calendar year of a series is one sorted pass with the rows of the year before as its beginning, so a task never holds
+    more than two years of a series; the values in the window are kept sorted, and a row is a binary search.
+    """
+    if not 0 < days <= 365:
+        raise ValueError("the window is a year at most")
+    year = F.year("date")
+    rows = df.withColumns({"_year": F.explode(F.array(year, year + 1)), "_day": F.datediff("date", F.lit("1970-01-01"))}).withColumn("_own", F.col("_year") == year)
+    dealt = rows.repartition("series_id", "_year").sortWithinPartitions("series_id", "_year", "_day")
+    names, kinds = df.columns, df.dtypes
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, known, waiting, rank = None, [], deque(), []
+
+        for part in parts:
+            held, rank = part, []
+            for s, y, d, v, own in zip(part["series_id"], part["_year"], part["_day"], part["value"], part["_own"], strict=True):
+                if group != (s, y):
+                    group, known, waiting = (s, y), [], deque()
+                while waiting and waiting[0][0] < d - days:
+                    del known[bisect_left(known, waiting.popleft()[1])]
+                if v is not None and v == v:
+                    insort(known, v)
+                    waiting.append((d, v))
+                    rank.append(bisect_right(known, v) / len(known) if own else None)
+                else:
+                    rank.append(None)
+            out = held[held["_own"]]
+            yield out[names].assign(pct_rank=[r for r, own in zip(rank, part["_own"], strict=True) if own])
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in kinds), "pct_rank double"])
+    return dealt.mapInPandas(run, schema)
 
 
 def state_runs(df: DataFrame, state: str = "state") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremor.operators import detect, timealign, transforms
 from tremor.operators import windows as W
 from tremor.sources import store
+from tremor.sources.shared import new_place
 
 from . import base as B
 from .base import Query, R, rounded, sql
@@ -144,7 +146,26 @@ def a14_key_check(spark, sf):
     return store.repeated_keys(i.unionByName(i.where("date = '1996-03-01'")), ["series_id", "date"])
 
 
-@query(None)
+@query(sql("idx", "select series_id, date, round(value, 4) as value, 'v1_ar5-2' as version from idx"))
+def a15_versioned_sink(spark, sf):
+    """A15 and A18: the index saved under a version that names the model orders, and read again; a second save is refused."""
+    at, tag = new_place(spark, "versions"), store.version_tag("v1", [5, 2])
+    store.save_version(B.index(spark, sf), at, tag)
+    try:
+        store.save_version(B.index(spark, sf), at, tag)
+    except AnalysisException:
+        return rounded(spark.read.parquet(at).select("series_id", "date", "value", F.col("version").cast("string").alias("version")), "value")
+    raise AssertionError("a version was overwritten")
+
+
+@query(sql("idx", "select series_id, date, round(value, 4) as value from idx"))
+def a16_csv_sink(spark, sf):
+    at = new_place(spark, "csv")
+    store.save_csv(B.index(spark, sf), at)
+    return rounded(spark.read.option("header", True).schema("series_id string, date date, value double").csv(at), "value")
+
+
+@query(sql("idx", "select count(*) as n, printf('%012x', cast(sum(cast('0x' || substr(sha256(series_id || '|' || strftime(date, '%Y-%m-%d') || '|' || cast(cast(value as decimal(38, 6)) as varchar)), 1, 12) as ubigint)) % 281474976710656 as ubigint)) as mark from idx"))
 def a17_fingerprint(spark, sf):
     return store.fingerprint(B.index(spark, sf))
 
@@ -430,21 +451,28 @@ def d13_ranges(spark, sf):
 
 
 @query(
-    r"""with t as (select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\d{4}-\d{2}-\d{2}', ' ', 'g'), '\b[0-9a-f]{8,}\b', ' ', 'g'), '\b[A-Za-z]+\d+\b', ' ', 'g') as text from conversations),
-s as (select distinct conv_id, unnest(regexp_extract_all(text, '\d+(?:\.\d+)?')) as number from t),
+    r"""with t as (select doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\d{4}-\d{2}-\d{2}', ' ', 'g'), '\b[0-9a-f]{8,}\b', ' ', 'g'), '\b[A-Za-z]+\d+\b', ' ', 'g') as text from documents),
+s as (select distinct doc_id, unnest(regexp_extract_all(text, '\d+(?:\.\d+)?')) as number from t),
 p as (select l_quantity as value from lineitem group by 1),
 h as (select distinct unnest([round(value, 4), round(value * 100, 4), round(value * 100, 0)]) as key from p)
-select conv_id, number from s where number not in ('0', '1', '100') and round(cast(number as double), 4) not in (select key from h)"""
+select doc_id, number from s where number not in ('0', '1', '100') and round(cast(number as double), 4) not in (select key from h)"""
 )
 def d18_claim_audit(spark, sf):
-    c = B.table(spark, sf, "conversations").select("conv_id", F.coalesce("text", F.lit("")).alias("text"))
+    """Numbers said in documents that no quantity accounts for."""
     held = B.table(spark, sf, "lineitem").select(F.col("l_quantity").alias("value")).distinct()
-    return detect.claimed_numbers(c, held, id_col="conv_id").distinct()
+    return detect.claimed_numbers(B.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), held).distinct()
 
 
 # --- sorts, sets --------------------------------------------------------------------------------------------------
 
 
+@query(sql("idx", "select series_id, date, row_number() over (partition by series_id order by value desc, date) as place from idx"))
+def s01_sort(spark, sf):
+    """Each series in order of its values, largest first, ties by date; places make the order visible."""
+    i = B.index(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("value"), "date")).cast("long"))
+    return i.select("series_id", "date", "place").orderBy("series_id", "place")
+
+
 @query(sql("idx", "select series_id, date, round(value, 4) as value from (select *, row_number() over (partition by series_id order by value desc, date) as n from idx) where n <= 5"))
 def s02_top_k(spark, sf):
     w = Window.partitionBy("series_id").orderBy(F.desc("value"), "date")

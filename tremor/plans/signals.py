@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremor.operators import clusters, indices, transforms
+from tremor.operators import analogues, clusters, indices, transforms, windows
+from tremor.sources.shared import written
 from tremor.streaming import live
 
 from . import base as B
@@ -202,6 +203,70 @@ def p18_analogues(spark, sf):
     return near.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("with k as (select user_id as unit, cast(floor(value / 50) as int) as rating, count(*) as c from events group by 1, 2), g as (select *, sum(c) over (partition by unit) as m from k), u as (select * from g where m > 1), t as (select rating, sum(c) as n from u group by 1), d as (select a.rating as x, b.rating as y, power((select sum(n) from t where rating between least(a.rating, b.rating) and greatest(a.rating, b.rating)) - (a.n + b.n) / 2.0, 2) as d, a.n * b.n as nn from t a, t b) select round(1 - (select sum(a.c * b.c * d / (a.m - 1.0)) from u a join u b on a.unit = b.unit join d on x = a.rating and y = b.rating) / ((select sum(nn * d) from d) / ((select sum(n) from t) - 1.0)), 4) as alpha")
+def p20_ordinal_agreement(spark, sf):
+    """Ordinal agreement of the events' value bands by user."""
+    e = B.table(spark, sf, "events").select(F.col("user_id").alias("unit"), F.floor(F.col("value") / 50).cast("int").alias("rating"))
+    return rounded(indices.ordinal_agreement(e), "alpha")
+
+
+@query("select lang, round(covar_pop(toxic, size) / nullif(stddev_pop(toxic) * stddev_pop(size), 0), 4) as correlation, count(*) as n from (select lang, toxic, ln(1 + length(text)) as size from documents join labels using (doc_id) where text is not null) group by 1")
+def p20_human_machine(spark, sf):
+    """How a human label goes with a measure of the text, by language."""
+    a = articles(spark, sf).where("text is not null").withColumn("size", F.log1p(F.length("text")))
+    return a.groupBy("lang").agg(R(indices.correlation("score", "size")).alias("correlation"), F.count("*").alias("n"))
+
+
+TAUS = (0.1, 0.5, 0.9)
+RECENT = "(partition by series_id order by date rows between 60 preceding and 1 preceding)"
+
+
+@query(
+    sql(
+        "idx",
+        "select series_id, count(*) as n, round(avg(power(chance - case when value > 150 then 1 else 0 end, 2)), 6) as brier, round(avg(2.0 / 3 * (" + " + ".join(f"case when value >= q{int(t * 100)} then {t} * (value - q{int(t * 100)}) else (1 - {t}) * (q{int(t * 100)} - value) end" for t in TAUS) + ")), 4) as crps from f where n >= 20 group by 1",
+        f=f"select *, count(*) over p as n, avg(case when value > 150 then 1.0 else 0 end) over p as chance, " + ", ".join(f"quantile_cont(value, {t}) over p as q{int(t * 100)}" for t in TAUS) + f" from idx window p as {RECENT}",
+    )
+)
+def p19_forecast_scores(spark, sf):
+    """Climatology of the last 60 values as forecast: its chance of a high day and its quantiles."""
+    i, x = B.index(spark, sf), F.col("value")
+    high = (x > 150).cast("int")
+    made = i.withColumns({"chance": windows.over_past(F.avg, high, 60, 20), "high": high, **{f"q{int(t * 100)}": windows.over_past(windows.quantile(t), x, 60, 20) for t in TAUS}})
+    out = indices.forecast_scores(made, "chance", "high", "value", {t: f"q{int(t * 100)}" for t in TAUS})
+    return rounded(rounded(out, "brier", digits=6), "crps")
+
+
+EPISODE = ("shock", "step", "y", "ctrl")
+Z = ", ".join(f"coalesce(({c} - avg({c}) over ()) / nullif(stddev_samp({c}) over (), 0), 0)" for c in EPISODE)
+
+
+def episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each day's descriptor: the index, its change, the market and the control."""
+    w = Window.partitionBy("panel_id").orderBy("t")
+    p = B.panel(spark, sf).select("panel_id", F.col("t").cast("long").alias("id"), F.datediff("date", F.lit("1970-01-01")).cast("long").alias("at"), "shock", (F.col("shock") - F.lag("shock").over(w)).alias("step"), "y", "ctrl", "t")
+    return analogues.standardised(p, EPISODE).select("id", "at", "vector")
+
+
+@query(
+    sql(
+        "panel",
+        "select q as query_id, horizon, n, case when n >= 5 then round(mid, 6) end as median, case when n >= 5 then round(lo, 6) end as low, case when n >= 5 then round(hi, 6) end as high, case when n >= 5 then round(case when mid > 0 then up when mid < 0 then down else 1 - up - down end, 6) end as same_sign, case when n < 5 then 'silent' when lo * hi < 0 then 'dispersed' else 'clear' end as verdict from (select q, horizon, count(*) as n, quantile_cont(v, 0.25) as lo, quantile_cont(v, 0.5) as mid, quantile_cont(v, 0.75) as hi, avg(case when v > 0 then 1 else 0 end) as up, avg(case when v < 0 then 1 else 0 end) as down from r join o using (id) where v is not null group by 1, 2)",
+        d="select t as id, date, shock, shock - lag(shock) over (order by t) as step, y, ctrl from panel",
+        z=f"select id, date, [{Z}] as vec from d where step is not null",
+        r="select q, id from (select a.id as q, b.id, row_number() over (partition by a.id order by list_cosine_similarity(a.vec, b.vec) desc, b.id) as k from z a join z b on b.date < a.date - 30 where a.id % 20 = 0) where k <= 12",
+        o="select t as id, unnest([5, 20]) as horizon, unnest([lead(y, 5) over (order by t) - y, lead(y, 20) over (order by t) - y]) as v from panel",
+    )
+)
+def p18_paths(spark, sf):
+    """What followed the twelve most similar earlier days, those of the last 30 days left out, for every twentieth day."""
+    rows = written(episodes(spark, sf), "episodes")
+    found = analogues.nearest(rows, rows.where("id % 20 = 0"), 12, apart=30, past=True)
+    w = Window.partitionBy("panel_id").orderBy("t")
+    outcomes = B.panel(spark, sf).select(F.col("t").cast("long").alias("id"), F.array(*(F.struct(F.lit(h).alias("horizon"), (F.lead("y", h).over(w) - F.col("y")).alias("value")) for h in (5, 20))).alias("e")).select("id", F.explode("e").alias("e")).select("id", "e.*")
+    return rounded(analogues.paths(found, outcomes), "median", "low", "high", "same_sign", digits=6)
+
+
 @query("select event_type as series_id, cast(date_trunc('day', ts) as timestamp) as start, count(*) as n, round(avg(value) * 1000 / 997, 4) as mean from events group by 1, 2")
 def st01_windowed_index(spark, sf):
     out = live.replay(spark, live.source(spark, sf), live.windowed_index, "st01")

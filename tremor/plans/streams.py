@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tremor.operators import transforms
 from tremor.sources import store
-from tremor.streaming import stateful
+from tremor.streaming import live, stateful
 from tremor.streaming.revisions import StoreSink
 
 from . import base as B
@@ -47,6 +47,25 @@ def st03_online_shocks(spark, sf):
     return rounded(out.select("series_id", F.col("at").cast("date").alias("date"), "persistent", "innovation", "z", "jump"), "persistent", "innovation", "z", "jump")
 
 
+SINCE, BINS = "2024-01-20", 60  # the history holds the windows that end by then; bins are 1 wide
+WEEKS = """wm as (select date_trunc('milliseconds', max(ts)) - interval 1 day as wm from events),
+s as (select unnest(generate_series(date_trunc('day', min(ts)) - interval 6 days, max(ts), interval 1 day)) as start from events),
+w as (select event_type as series_id, start, count(*) as n, avg(value) as mean from events join s on ts >= start and ts < start + interval 7 days group by 1, 2)"""
+
+
+@query(
+    f"""with {WEEKS}, h as (select series_id, least(greatest(floor(mean), 0), {BINS - 1}) as bin, count(*) as m from w where start + interval 7 days <= timestamp '{SINCE}' group by 1, 2)
+select series_id, start, n, round(mean * 1000 / 997, 4) as mean, round((select 100.0 * sum(case when bin <= least(greatest(floor(mean), 0), {BINS - 1}) then m else 0 end) / sum(m) from h where h.series_id = w.series_id), 4) as percentile from w, wm where start + interval 7 days <= wm"""
+)
+def st01_sliding_index(spark, sf):
+    """The seven-day index of each type, day by day, and its percentile in the history, in append mode."""
+    e = B.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    past = e.groupBy(F.window("ts", "7 days", "1 day"), F.col("event_type").alias("series_id")).agg(F.avg("value").alias("mean")).where(F.col("window.end") <= F.lit(SINCE).cast("timestamp"))
+    history = live.histogram(past, "series_id", "mean", 1.0, BINS)
+    out, _ = stateful.arriving(spark, e, "ts", "st01w", lambda s: live.percentile_since(live.sliding_index(s), history, "series_id", "mean", 1.0))
+    return out.select("series_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round(F.col("mean") * 1000 / B.UNIT, 4).alias("mean"), F.round("percentile", 4).alias("percentile"))
+
+
 LIMIT, HUSH_DAYS = 100, 2
 RECENT = "(partition by user_id order by ts rows between 50 preceding and 1 preceding)"
 

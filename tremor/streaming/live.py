@@ -26,6 +26,35 @@ def windowed_index(events: DataFrame) -> DataFrame:
     return out.select(F.col("event_type").alias("series_id"), F.col("window.start").alias("start"), "n", "mean")
 
 
+def sliding_index(events: DataFrame, size: str = "7 days", slide: str = "1 day") -> DataFrame:
+    """(series_id, start, n, mean) of each type in every sliding window, for append mode: a window comes out once, when the
+    watermark has passed its end, and leaves the state."""
+    out = events.withWatermark("ts", LATE).groupBy(F.window("ts", size, slide), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return out.select(F.col("event_type").alias("series_id"), F.col("window.start").alias("start"), "n", "mean")
+
+
+def histogram(values: DataFrame, key: str, value: str, width: float, bins: int) -> DataFrame:
+    """(key, counts): how many values fall into each of `bins` bins of `width` from 0 on (the last one is open). Histograms of parts
+    of the values add up to that of all."""
+    place = F.least(F.greatest(F.floor(F.col(value) / width), F.lit(0)), F.lit(bins - 1))
+    per = values.where(F.col(value).isNotNull()).groupBy(key, place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return merged_histograms(per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m")).select(key, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0))).alias("counts")), key, bins)
+
+
+def merged_histograms(parts: DataFrame, key: str, bins: int) -> DataFrame:
+    """The sum of each key's histograms."""
+    return parts.groupBy(key).agg(F.array(*(F.sum(F.get("counts", F.lit(b))) for b in range(bins))).alias("counts"))
+
+
+def percentile_since(windows: DataFrame, history: DataFrame, key: str, value: str, width: float) -> DataFrame:
+    """windows with percentile: the share (in percent) of the key's history in bins up to that of the value; NULL without one. A
+    stream joins the static history."""
+    place = F.least(F.greatest(F.floor(F.col(value) / width), F.lit(0)), F.size("counts") - 1).cast("int")
+    upto = F.aggregate(F.slice("counts", F.lit(1), place + 1), F.lit(0).cast("long"), lambda s, n: s + n)
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, n: s + n)
+    return windows.join(history, key, "left").withColumn("percentile", F.try_divide(100.0 * upto, total)).drop("counts")
+
+
 def first_of_day(events: DataFrame) -> DataFrame:
     """The first event of each user, type and day."""
     day = F.window("ts", "1 day")
