@@ -202,3 +202,27 @@ def test_shock_transform_chooses_and_refuses(spark):
     assert column(W.shock_transform(df).select("value", "date"), "date") == [None, None, None]
     with pytest.raises(ValueError, match="cubed"):
         W.shock_transform(df, "cubed")
+
+
+def test_percent_rank_equals_a_search(spark):
+    draw = random.Random(8)
+    rows = [(s, dt.date(1999, 1, 1) + dt.timedelta(days=draw.randint(0, 1100)), None if draw.random() < 0.1 else float(draw.randint(0, 9))) for s in "ab" for _ in range(400)]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "series_id string, date date, value double, _n int").repartition(3)
+    for days in (365, 40):
+        want = []
+        for s, d, v in rows:
+            seen = [w for t, e, w in rows if t == s and w is not None and dt.timedelta(0) <= d - e <= dt.timedelta(days=days)]
+            want.append((s, d, v, None if v is None else round(sum(w <= v for w in seen) / len(seen), 9)))
+        got = [(r.series_id, r.date, r.value, r.pct_rank if r.pct_rank is None else round(r.pct_rank, 9)) for r in W.percent_rank_year(df, days).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    with pytest.raises(ValueError):
+        W.percent_rank_year(df, 366)
+
+
+def test_fingerprint_tells_content_not_order(spark):
+    rows = [(k, None if k % 5 == 0 else k / 7, "x" * (k % 3)) for k in range(50)]
+    make = lambda r: store.fingerprint(spark.createDataFrame(r, "a long, v double, t string").repartition(3)).first()
+    one = make(rows)
+    assert one == make(rows[::-1]) and len(one.mark) == 12 and one.n == 50
+    assert one.mark != make(rows[:-1]).mark and one.mark != make([*rows[:-1], (49, 7.5, "x")]).mark and one.mark != make(rows + rows[:1]).mark
+    assert make([]).mark == "0" * 12

@@ -163,23 +163,43 @@ def percent_rank_year(df: DataFrame, days: int = 365) -> DataFrame:
     names, kinds = df.columns, df.dtypes
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, known, waiting, rank = None, [], deque(), []
-
-        for part in parts:
-            held, rank = part, []
-            for s, y, d, v, own in zip(part["series_id"], part["_year"], part["_day"], part["value"], part["_own"], strict=True):
+        group, known, inside = None, [], deque()
+
+        def ranked(part: pd.DataFrame) -> pd.DataFrame:
+            """Whole days of rows: a day's values all come into the window before its ranks are taken."""
+            nonlocal group, known, inside
+            keys = list(zip(part["series_id"], part["_year"], part["_day"], strict=True))
+            values, own = part["value"].tolist(), part["_own"].tolist()
+            ranks, k = [], 0
+            while k < len(keys):
+                end = k
+                while end < len(keys) and keys[end] == keys[k]:
+                    end += 1
+                s, y, d = keys[k]
                 if group != (s, y):
-                    group, known, waiting = (s, y), [], deque()
-                while waiting and waiting[0][0] < d - days:
-                    del known[bisect_left(known, waiting.popleft()[1])]
-                if v is not None and v == v:
-                    insort(known, v)
-                    waiting.append((d, v))
-                    rank.append(bisect_right(known, v) / len(known) if own else None)
-                else:
-                    rank.append(None)
-            out = held[held["_own"]]
-            yield out[names].assign(pct_rank=[r for r, own in zip(rank, part["_own"], strict=True) if own])
+                    group, known, inside = (s, y), [], deque()
+                while inside and inside[0][0] < d - days:
+                    del known[bisect_left(known, inside.popleft()[1])]
+                there = [v is not None and v == v for v in values[k:end]]
+                for v, ok in zip(values[k:end], there, strict=True):
+                    if ok:
+                        insort(known, v)
+                        inside.append((d, v))
+                ranks += [bisect_right(known, v) / len(known) if ok and mine else None for v, ok, mine in zip(values[k:end], there, own[k:end], strict=True)]
+                k = end
+            return part[names].assign(pct_rank=ranks)[part["_own"]]
+
+        left = None
+        for part in parts:
+            part = part if left is None else pd.concat([left, part], ignore_index=True)
+            last = part.iloc[-1] if len(part) else None
+            open_day = (part["series_id"] == last["series_id"]) & (part["_year"] == last["_year"]) & (part["_day"] == last["_day"]) if len(part) else None
+            if open_day is None:
+                continue
+            left = part[open_day]
+            yield ranked(part[~open_day])
+        if left is not None:
+            yield ranked(left)
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in kinds), "pct_rank double"])
     return dealt.mapInPandas(run, schema)
