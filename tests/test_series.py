@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +227,37 @@ def test_fingerprint_tells_content_not_order(spark):
     assert one == make(rows[::-1]) and len(one.mark) == 12 and one.n == 50
     assert one.mark != make(rows[:-1]).mark and one.mark != make([*rows[:-1], (49, 7.5, "x")]).mark and one.mark != make(rows + rows[:1]).mark
     assert make([]).mark == "0" * 12
+
+
+def test_surprises_equal_refits(spark):
+    """Each row's forecast is a least-squares fit on the rows before it, refitted by numpy."""
+    draw = np.random.default_rng(12)
+    n, k = 150, 2
+    acts, threats, words = (np.cumsum(draw.standard_normal(n)) for _ in range(3))
+    rows = [("s", i, float(acts[i]), float(threats[i]), float(words[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "series_id string, date int, acts double, threats double, words double")
+
+    def refits(x, first, least):
+        out = {}
+        for t in range(first, n):
+            past = np.arange(first, t)
+            if len(past) >= least:
+                b = np.linalg.lstsq(np.c_[np.ones(len(past)), x[past]], acts[past], rcond=None)[0]
+                out[t] = acts[t] - b[0] - x[t] @ b[1:]
+        return out
+
+    lagged = np.full((n, 2 * k), np.nan)
+    for j in range(1, k + 1):
+        lagged[j:, j - 1], lagged[j:, k + j - 1] = acts[:-j], threats[:-j]
+    want = refits(lagged, k, 40)
+    got = {r.date: r.surprise for r in W.surprise(df, k=k, least=40).collect() if r.surprise is not None}
+    assert got.keys() == want.keys() and all(got[t] == pytest.approx(want[t], abs=1e-7) for t in want)
+    dated = df.withColumn("date", F.date_add(F.lit("2000-01-01").cast("date"), F.col("date")))
+    step = {(r.date - dt.date(2000, 1, 1)).days: float(r.state[1]) for r in W.ladder(dated, "words", "threats", "acts").collect()}
+    lagged = np.full((n, 2 * k + 1), np.nan)
+    for j in range(1, k + 1):
+        lagged[j:, j - 1], lagged[j:, k + j - 1] = threats[:-j], words[:-j]
+    lagged[1:, -1] = [step[t] for t in range(n - 1)]
+    want = refits(lagged, k, 40)
+    got = {(r.date - dt.date(2000, 1, 1)).days: r.surprise for r in W.full_surprise(dated, "acts", "threats", "words", k, 40).collect() if r.surprise is not None}
+    assert got.keys() == want.keys() and all(got[t] == pytest.approx(want[t], abs=1e-6) for t in want)

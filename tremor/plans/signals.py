@@ -269,18 +269,20 @@ def p18_paths(spark, sf):
 
 @query("select event_type as series_id, cast(date_trunc('day', ts) as timestamp) as start, count(*) as n, round(avg(value) * 1000 / 997, 4) as mean from events group by 1, 2")
 def st01_windowed_index(spark, sf):
-    out = live.replay(spark, live.source(spark, sf), live.windowed_index, "st01")
+    out = live.replay(spark, live.source(spark, sf), live.windowed_index, "st01", ["series_id", "start"])
     return out.withColumn("mean", R(F.col("mean") * 1000 / B.UNIT))
 
 
 @query("select user_id, event_type, min(ts) as ts from events group by user_id, event_type, cast(ts as date)")
 def st02_dedup(spark, sf):
-    return live.replay(spark, live.source(spark, sf), live.first_of_day, "st02")
+    out = live.replay(spark, live.source(spark, sf), live.first_of_day, "st02", ["user_id", "event_type", "day"])
+    return out.drop("day")
 
 
-@query("select user_id, min(ts) as start, max(ts) as last, count(*) as n from (select *, sum(new) over (partition by user_id order by ts) as s from (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 12 hour then 0 else 1 end as new from events)) group by user_id, s")
+@query("select user_id, min(ts) as start, max(ts) as last, count(*) as n from (select *, sum(new) over (partition by user_id order by ts) as s from (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 12 hour then 0 else 1 end as new from events)) group by user_id, s having max(ts) + interval 12 hour + interval 1 microsecond <= (select date_trunc('milliseconds', max(ts)) - interval 1 day from events)")
 def st04_sessions(spark, sf):
-    return live.replay(spark, live.source(spark, sf), live.sessions, "st04")
+    """Sessions that the watermark has closed, in append mode."""
+    return live.appended(spark, live.sessions(live.source(spark, sf)), "st04")
 
 
 @query("select event_id from (select event_id, row_number() over (partition by user_id, event_type, value order by ts) as n from events) where n = 1")

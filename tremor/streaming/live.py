@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremor.sources.shared import new_place
+
 LATE = "1 day"
 
 
@@ -58,8 +59,8 @@ def percentile_since(windows: DataFrame, history: DataFrame, key: str, value: st
 def first_of_day(events: DataFrame) -> DataFrame:
     """The first event of each user, type and day."""
     day = F.window("ts", "1 day")
-    out = events.withWatermark("ts", LATE).groupBy(day, "user_id", "event_type").agg(F.min("ts").alias("ts"))
-    return out.select("user_id", "event_type", "ts")
+    out = events.withWatermark("ts", LATE).groupBy(day.alias("window"), "user_id", "event_type").agg(F.min("ts").alias("ts"))
+    return out.select("user_id", "event_type", "ts", F.col("window.start").alias("day"))
 
 
 def sessions(events: DataFrame, gap: str = "12 hours 1 microsecond") -> DataFrame:
@@ -69,21 +70,22 @@ def sessions(events: DataFrame, gap: str = "12 hours 1 microsecond") -> DataFram
     return out.select("user_id", "start", "last", "n")
 
 
-def replay(spark: SparkSession, stream: DataFrame, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """Runs a stream over all that is there, in complete mode, and returns what it holds at the end.
+def replay(spark: SparkSession, stream: DataFrame, job: Callable[[DataFrame], DataFrame], name: str, keys: Sequence[str]) -> DataFrame:
+    """Runs an update-mode stream over all that is there and returns the newest row of each of its keys.
 
-    Each batch replaces the result table in the shared folder, so an executor or a batch may be lost and repeated.
+    A batch puts out only what it changed, under its own number, so it may be lost and run again; state leaves with the
+    watermark.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    at = f"{root}/{name}-{uuid.uuid4().hex}"
-    out = job(stream)
+    at, out = new_place(spark, name), job(stream)
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    q = out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q = out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{at}/out")
+    told = spark.read.parquet(f"{at}/out")
+    newest = F.max_by(F.struct(*out.columns), "batch").alias("row")
+    return told.groupBy(*keys).agg(newest).select("row.*")
 
 
 def deduplicated(events: DataFrame) -> DataFrame:
@@ -103,8 +105,7 @@ def unanswered(spikes: DataFrame, moves: DataFrame, within: str = "3 days") -> D
 
 def appended(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
     """Runs an append-mode stream over all that is there and returns what it has put out."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    at = f"{root}/{name}-{uuid.uuid4().hex}"
+    at = new_place(spark, name)
     q = out.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")

@@ -20,6 +20,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from tremor.sources.shared import new_place
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MS = 1000  # microseconds
 
@@ -249,8 +250,11 @@ def arriving(spark: SparkSession, rows: DataFrame, time: str, name: str, job: Ca
     part = F.least(F.floor((t - F.col("_lo")) * arrivals / (F.col("_hi") - F.col("_lo") + 1)), F.lit(arrivals - 1)).cast("int")
     rows.crossJoin(F.broadcast(ends)).withColumn("_part", part).drop("_lo", "_hi").write.partitionBy("_part").parquet(f"{at}/rows")
     waiting = spark.read.schema(StructType([*rows.schema, StructField("_part", IntegerType())])).parquet(f"{at}/rows")
-    before = spark.conf.get(PROVIDER, None)
+    # A state store for each shuffle partition lives through all batches: no more of them than two a core.
+    most = min(int(spark.conf.get(PARTITIONS)), 2 * spark.sparkContext.defaultParallelism)
+    before = {name: spark.conf.get(name, None) for name in (PROVIDER, PARTITIONS)}
     spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set(PARTITIONS, most)
     try:
         for k in range(arrivals):
             waiting.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(f"{at}/landed")
@@ -259,8 +263,9 @@ def arriving(spark: SparkSession, rows: DataFrame, time: str, name: str, job: Ca
             q = q.foreachBatch(sink(at)) if sink else q.format("parquet").option("path", f"{at}/out")
             q.start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return None if sink else spark.read.schema(out.schema).parquet(f"{at}/out"), at
