@@ -4,6 +4,7 @@ import random
 import struct
 
 import numpy as np
+import pytest
 
 from tremor.llm import jpeg
 
@@ -91,3 +92,13 @@ def test_foreign_tables_and_runs():
     want[0], want[6], want[33] = 5, -1, 3
     assert coded.tolist() == [want] == plain_decode(file) and n.tolist() == [1]
     assert jpeg.thumbnail(head, coded[:, 0]).tolist() == [[138]]
+
+
+def test_longer_restart_intervals_are_refused():
+    """A scan whose intervals hold several blocks would be cut at the wrong places: it isn't read as if it were one block."""
+    (file,) = jpeg.encode(np.arange(256, dtype=np.uint8), np.array([4]))
+    at = file.index(b"\xff\xdd\0\4")
+    for other in (file[: at + 4] + b"\0\2" + file[at + 6 :], file[:at] + file[at + 6 :]):
+        with pytest.raises(ValueError, match="restart"):
+            jpeg.coefficients([other])
+    assert jpeg.payloads(*jpeg.coefficients([file])[1:]) == [bytes(range(256))]

@@ -174,6 +174,8 @@ class Parsed:
             elif mark == 0xDD:
                 (self.restart,) = struct.unpack(">H", body)
             elif mark == 0xDA:
+                if self.restart != 1 and (self.height > 8 or self.width > 8):
+                    raise ValueError(f"restart intervals of {self.restart} blocks, not of one")
                 self.dc, self.ac, self.scan = self.huffman[body[2] >> 4], self.huffman[0x10 | body[2] & 15], at
                 return
             elif mark in (0xC1, 0xC2, 0xC3, 0xC9, 0xCA):
