@@ -268,7 +268,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
     bins = written(binned(texts.join(wide.select("doc_id").distinct(), "doc_id", "left_semi"), shingle), "bins").join(reps.select("doc_id", "n"), "doc_id")
     best = 1
     while True:
+        # Written, as five plans below read it: a row for each band of a document in a bucket of three and more.
         placed = wide.join(roots.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("key", "doc_id", "m", F.coalesce("root", "doc_id").alias("comp"))
+        placed = written(placed, "placed")
         sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("m").alias("m"))
         main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.max("m").alias("m")).where("main.c < m")
         main = main.select("key", F.col("main.comp").alias("main"), F.expr(f"ceil((m - main.c) / {CELL})").alias("ns"), F.expr(f"ceil(m / {CELL})").alias("nm"))
