@@ -91,3 +91,17 @@ def test_bins_use_everything_once():
     total = sum(k * n for k, n in counts.items())
     assert sum(t for _, t in found) <= total / 1024 * 1.01 + 1
     assert packing.bins({}) == []
+
+
+def test_a_capitalised_word_beside_itself_with_a_comma():
+    """Both new at once: the word is learnt as the other's stem and must not be numbered again, or later words take its number."""
+    encoder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("Hello there Hello, World World. cat", "zebra Hello World dogs monkeys quartz", "Hello World"):
+        assert encoder.ids(text).tolist() == encoder.units.encode(text)
+
+
+@pytest.mark.parametrize("letter", ["क़", "য়", "ଢ଼", "יִ"])
+def test_letters_whose_composed_form_ends_in_a_mark(letter):
+    encoder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for text in (f"{letter},", f"a{letter}. b", f"A{letter}, {letter}"):
+        assert encoder.ids(text).tolist() == encoder.units.encode(text)

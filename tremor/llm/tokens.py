@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -135,6 +136,12 @@ def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def ends_in_letter(c: str) -> bool:
+    """Whether a letter is still one when it is normalised and made small: a small İ and some letters' composed forms end in a
+    mark, which the tokenizer joins with a following sign."""
+    return c.isalpha() and (c.isascii() or (len(c.lower()) == 1 and unicodedata.is_normalized("NFC", c)))
+
+
 class Known:
     """What a worker knows of units: each key has a number, by which arrays hold how many ids it has and which.
 
@@ -174,13 +181,14 @@ class Known:
             big = {x: x.lower() for x in new if x.isascii() and x.isalpha() and not x.islower()}
             if big:
                 self._learn(list({x: 0 for x in chain((x for x in new if x not in big), big.values()) if x not in self.number}))
+                big = {x: small for x, small in big.items() if x not in self.number}  # some have just been learnt as stems
                 of = np.fromiter((self.number[x] for x in big.values()), np.int64, len(big))
                 n = self.n[of]
                 self._add(list(big), self.ids[:0] if self.lengths_only else self.ids[ranges(self.start[of], n)], n)
                 return
         stems: dict[str, str] = {}
         if self.units.kind != "whole":
-            stems = {x: x[:-1] for x in new if x[-1] in ",." and len(x) > 1 and x[-2].isalpha() and len(x[-2].lower()) == 1}  # a small İ ends in a mark
+            stems = {x: x[:-1] for x in new if x[-1] in ",." and len(x) > 1 and ends_in_letter(x[-2])}
         signs = {x: "\x01" + x if self.units.kind == "bytes" else x for x in ",."}
         alone = [x for x in dict.fromkeys(chain((x for x in new if x not in stems), stems.values(), signs.values() if stems else ())) if x not in self.number]
         for part in self.units.encode_all(alone):
