@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremor.operators import windows
+from tremor.plans import signals
 from tremor.streaming import stateful
 from tremor.streaming.revisions import StoreSink
 
@@ -148,3 +149,22 @@ def test_revisions_keep_their_time_and_batches_can_be_repeated(spark, sink):
 
 def test_an_empty_sink_reads_as_nothing(spark, sink):
     assert sink.read(spark) is None and sink.routes(spark) is None
+
+
+@pytest.fixture
+def events(spark, tmp_path):
+    """An events table of several files, written in the given order: (event_id, hour, user_id, event_type, value)."""
+
+    def write(rows):
+        made = [(e, datetime(2020, 1, 1) + timedelta(hours=h), u, k, v) for e, h, u, k, v in rows]
+        df = spark.createDataFrame(made, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+        df.repartition(3, "event_id").write.parquet(f"file://{tmp_path}/events.parquet")
+        return f"file://{tmp_path}"
+
+    return write
+
+
+def test_sessions_that_are_open_at_the_end_come_out_too(spark, events):
+    at = events([(1, 0, 1, "click", 1.0), (2, 11, 1, "click", 1.0), (3, 60, 1, "click", 1.0), (4, 59, 2, "view", 1.0), (5, 60, None, "view", 1.0)])
+    got = {(r.user_id, (r.start - stamp(0)) // timedelta(hours=1), (r["last"] - r.start) // timedelta(hours=1), r.n) for r in signals.st04_sessions(spark, at).collect()}
+    assert got == {(1, 0, 11, 2), (1, 60, 0, 1), (2, 59, 0, 1), (None, 60, 0, 1)}

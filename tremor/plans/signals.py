@@ -279,10 +279,10 @@ def st02_dedup(spark, sf):
     return out.drop("day")
 
 
-@query("select user_id, min(ts) as start, max(ts) as last, count(*) as n from (select *, sum(new) over (partition by user_id order by ts) as s from (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 12 hour then 0 else 1 end as new from events)) group by user_id, s having max(ts) + interval 12 hour + interval 1 microsecond <= (select date_trunc('milliseconds', max(ts)) - interval 1 day from events)")
+@query("select user_id, min(ts) as start, max(ts) as last, count(*) as n from (select *, sum(new) over (partition by user_id order by ts) as s from (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 12 hour then 0 else 1 end as new from events)) group by user_id, s")
 def st04_sessions(spark, sf):
-    """Sessions that the watermark has closed, in append mode."""
-    return live.appended(spark, live.sessions(live.source(spark, sf)), "st04")
+    """All sessions, in append mode; those open at the last event are closed by a mark behind it."""
+    return live.appended_to_end(spark, sf, live.sessions, "st04", "start")
 
 
 @query("select event_id from (select event_id, row_number() over (partition by user_id, event_type, value order by ts) as n from events) where n = 1")

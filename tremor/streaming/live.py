@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tremor.sources.shared import new_place
 
+from .stateful import bounded_state
+
 LATE = "1 day"
+AFTER = "3 days"  # more than LATE and the longest window or gap that a job over the whole table keeps open
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,3 +112,15 @@ def appended(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
     q = out.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+def appended_to_end(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFrame], name: str, time: str) -> DataFrame:
+    """What an append-mode stream over the events table has put out once all is closed, windows that were open at the last event
+    included: a mark AFTER the last event, with a time only, moves the watermark past them. `time` is the output's column by
+    which the mark's own window is told and left out."""
+    at, last = new_place(spark, f"{name}-mark"), F.max(F.col("ts").cast("timestamp"))
+    spark.read.parquet(f"{sf_dir}/events.parquet").agg(last.alias("_last"), (last + F.expr(f"interval {AFTER}")).alias("ts")).write.parquet(at)
+    mark = spark.readStream.schema("ts timestamp").parquet(at)
+    with bounded_state(spark):
+        told = appended(spark, job(source(spark, sf_dir).unionByName(mark, allowMissingColumns=True)), name)
+    return told.join(F.broadcast(spark.read.parquet(at).select("_last")), F.col(time) <= F.col("_last")).drop("_last")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -238,6 +239,24 @@ def stateful(rows: DataFrame, key: str, time: str, value: str, job: Ordered, kin
     return out.withColumn("at", F.timestamp_micros("at"))
 
 
+@contextmanager
+def bounded_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within keep their state in RocksDB rather than on the heap, in at most two partitions a core: a state
+    store for each shuffle partition lives through all batches."""
+    most = min(int(spark.conf.get(PARTITIONS)), 2 * spark.sparkContext.defaultParallelism)
+    before = {name: spark.conf.get(name, None) for name in (PROVIDER, PARTITIONS)}
+    spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set(PARTITIONS, most)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def arriving(spark: SparkSession, rows: DataFrame, time: str, name: str, job: Callable[[DataFrame], DataFrame], arrivals: int = 3, sink: Callable[[str], Callable[[DataFrame, int], None]] | None = None) -> tuple[DataFrame | None, str]:
     """What an append-mode stream over `rows` has put out after they arrived in `arrivals` parts by time, and its folder.
 
@@ -250,22 +269,11 @@ def arriving(spark: SparkSession, rows: DataFrame, time: str, name: str, job: Ca
     part = F.least(F.floor((t - F.col("_lo")) * arrivals / (F.col("_hi") - F.col("_lo") + 1)), F.lit(arrivals - 1)).cast("int")
     rows.crossJoin(F.broadcast(ends)).withColumn("_part", part).drop("_lo", "_hi").write.partitionBy("_part").parquet(f"{at}/rows")
     waiting = spark.read.schema(StructType([*rows.schema, StructField("_part", IntegerType())])).parquet(f"{at}/rows")
-    # A state store for each shuffle partition lives through all batches: no more of them than two a core.
-    most = min(int(spark.conf.get(PARTITIONS)), 2 * spark.sparkContext.defaultParallelism)
-    before = {name: spark.conf.get(name, None) for name in (PROVIDER, PARTITIONS)}
-    spark.conf.set(PROVIDER, ROCKSDB)
-    spark.conf.set(PARTITIONS, most)
-    try:
+    with bounded_state(spark):
         for k in range(arrivals):
             waiting.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(f"{at}/landed")
             out = job(spark.readStream.schema(rows.schema).parquet(f"{at}/landed"))
             q = out.writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
             q = q.foreachBatch(sink(at)) if sink else q.format("parquet").option("path", f"{at}/out")
             q.start().awaitTermination()
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
     return None if sink else spark.read.schema(out.schema).parquet(f"{at}/out"), at
