@@ -168,3 +168,9 @@ def test_sessions_that_are_open_at_the_end_come_out_too(spark, events):
     at = events([(1, 0, 1, "click", 1.0), (2, 11, 1, "click", 1.0), (3, 60, 1, "click", 1.0), (4, 59, 2, "view", 1.0), (5, 60, None, "view", 1.0)])
     got = {(r.user_id, (r.start - stamp(0)) // timedelta(hours=1), (r["last"] - r.start) // timedelta(hours=1), r.n) for r in signals.st04_sessions(spark, at).collect()}
     assert got == {(1, 0, 11, 2), (1, 60, 0, 1), (2, 59, 0, 1), (None, 60, 0, 1)}
+
+
+def test_the_earliest_of_equal_content_is_kept_whatever_comes_first(spark, events):
+    rows = [(k, 300 - k, 1, "click", 5.0) for k in range(60)] + [(100, 300, 1, "view", 5.0), (101, 2, None, "view", None), (102, 200, None, "view", None)]
+    got = {r.event_id for r in signals.st02_content_dedup(spark, events(rows)).collect()}
+    assert got == {59, 100, 101}

@@ -287,8 +287,9 @@ def st04_sessions(spark, sf):
 
 @query("select event_id from (select event_id, row_number() over (partition by user_id, event_type, value order by ts) as n from events) where n = 1")
 def st02_content_dedup(spark, sf):
-    """ST2 within its watermark; the table's repeats of content are further apart or none, so SQL keeps the first of each."""
-    return live.appended(spark, live.deduplicated(live.source(spark, sf)), "st02c").select("event_id")
+    """ST2 by content: each day's first in append mode, then the first of the days."""
+    told = live.appended_to_end(spark, sf, live.first_of_content, "st02c", "day")
+    return told.groupBy("user_id", "event_type", "value").agg(F.min("first").alias("first")).select("first.event_id")
 
 
 @query(

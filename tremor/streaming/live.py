@@ -91,10 +91,12 @@ def replay(spark: SparkSession, stream: DataFrame, job: Callable[[DataFrame], Da
     return told.groupBy(*keys).agg(newest).select("row.*")
 
 
-def deduplicated(events: DataFrame) -> DataFrame:
-    """Events without repeats of the same content within the watermark, for append mode."""
-    mark = events.withColumn("content_hash", F.xxhash64("user_id", "event_type", "value"))
-    return mark.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["content_hash"])
+def first_of_content(events: DataFrame) -> DataFrame:
+    """The first event of each content (user, type and value) and day, whatever the order of arrival: (user_id, event_type, value,
+    day, first: its time and id). A day leaves the state with the watermark; the earliest of the days is the content's first."""
+    day = F.window("ts", "1 day")
+    out = events.withWatermark("ts", LATE).groupBy(day.alias("window"), "user_id", "event_type", "value").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    return out.select("user_id", "event_type", "value", F.col("window.start").alias("day"), "first")
 
 
 def unanswered(spikes: DataFrame, moves: DataFrame, within: str = "3 days") -> DataFrame:
