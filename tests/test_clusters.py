@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tremor.operators import clusters
@@ -68,3 +70,21 @@ def test_one_vote_a_cluster(spark):
     got = {r.lang: r for r in clusters.votes(spark.createDataFrame(rows, "lang string, cluster_id long, score double"), ["lang"]).collect()}
     assert (got["a"].n_articles, got["a"].n_events, got["a"].attention, got["a"].event_risk, got["a"].amplification) == (4, 2, 0.5, 0.5, 2.0)
     assert got["b"].event_risk == 1.0
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_forests_of_many_buckets_whatever_the_batches(size):
+    """Buckets of 1 to 150 prints, cut anywhere by batches: the components of brute force, one link for each other print."""
+    draw, rows = random.Random(size), []
+    for key, many in enumerate([1, 2, 2, 5, 40, clusters.FEW, clusters.FEW + 1, 150]):
+        seeds = [draw.getrandbits(60) for _ in range(max(1, many // 6))]
+        prints = sorted({draw.choice(seeds) ^ sum(1 << draw.randrange(60) for _ in range(draw.randrange(3))) for _ in range(many)})
+        rows += [(p, 1, 0, key) for p in prints]
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*rows[k : k + size], strict=True)], ["print", "t", "part", "key"]) for k in range(0, len(rows), size)]
+    got = [(r["a"], r["b"]) for b in clusters._forests(iter(batches)) for r in b.to_pylist()]
+    want = []
+    for key in range(8):
+        mine = [r[0] for r in rows if r[3] == key]
+        near = [(i, j) for i, j in combinations(range(len(mine)), 2) if (mine[i] ^ mine[j]).bit_count() <= clusters.DISTANCE]
+        want += [(mine[a], p) for a, p in zip(union(len(mine), near), mine, strict=True) if mine[a] != p]
+    assert sorted(got) == sorted(want) and len(want) > 20

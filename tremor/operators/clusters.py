@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +23,7 @@ from tremor.sources.shared import written
 DISTANCE = 3
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # first bit and length; with three differences, three agree
 LARGE = 8192  # fingerprints of a bucket that is dealt out once more
+FEW = 64  # prints of a bucket that is taken together with others
 SALTS = 64
 _REMEMBERED = 1 << 20  # word hashes that a task keeps
 
@@ -65,27 +65,71 @@ def _bits(first: int, many: int) -> Column:
     return F.shiftrightunsigned("print", first).bitwiseAND(F.lit((1 << many) - 1).cast("long"))
 
 
-def _forest(group: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b), a the smallest print of its component, between the prints of one bucket that are near each other."""
-    prints = np.sort(group["print"].to_numpy(np.int64))
-    code, label = prints.view(np.uint64), np.arange(len(prints))
-    for k in range(len(prints)):
-        near = np.flatnonzero(np.bitwise_count(code[k + 1 :] ^ code[k]) <= DISTANCE) + k + 1
-        if len(near):
-            old = np.unique(label[np.r_[k, near]])
-            if len(old) > 1:
-                label[np.isin(label, old)] = old[0]
-    other = label != np.arange(len(prints))
-    return pd.DataFrame({"a": prints[label[other]], "b": prints[other]})
+def _labels(prints: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """For each print, sorted within its bucket, the place of the smallest print of its component of near prints there."""
+    n, code, label = len(prints), prints.view(np.uint64), np.arange(len(prints))
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if n else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, n])
+    for start, many in zip(first[size > FEW], size[size > FEW], strict=True):
+        mine, of = code[start : start + many], np.arange(many)
+        for k in range(many):
+            near = np.flatnonzero(np.bitwise_count(mine[k + 1 :] ^ mine[k]) <= DISTANCE) + k + 1
+            if len(near):
+                old = np.unique(of[np.r_[k, near]])
+                if len(old) > 1:
+                    of[np.isin(of, old)] = old[0]
+        label[start : start + many] = of + start
+    # All pairs of all other buckets at once: print i and the one `apart` places behind it.
+    left = np.repeat(np.where(size > FEW, 0, first + size), size) - np.arange(n)  # prints from here to the bucket's end
+    near, here = [], np.flatnonzero(left > 1)
+    for apart in range(1, FEW):
+        here = here[left[here] > apart]
+        if not len(here):
+            break
+        i = here[np.bitwise_count(code[here + apart] ^ code[here]) <= DISTANCE]
+        near.append((i, i + apart))
+    i, j = (np.concatenate(x) for x in zip(*near, strict=True)) if near else (label[:0], label[:0])
+    while True:
+        low = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b), a the smallest print of its component, between the prints of each bucket that are near each other. Rows come
+    by bucket and print; many buckets are taken at a time, and the last one waits for the next batch."""
+
+    def links(prints: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+        label = _labels(prints, bucket)
+        other = label != np.arange(len(prints))
+        return pa.RecordBatch.from_arrays([pa.array(prints[label[other]]), pa.array(prints[other])], ["a", "b"])
+
+    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+    for batch in batches:
+        rows = [np.concatenate([r, batch.column(c).to_numpy().astype(np.int64)]) for r, c in zip(rest, ("print", "t", "part", "key"), strict=True)]
+        if not len(rows[0]):
+            continue
+        bucket = np.cumsum(np.r_[0, (np.diff(np.stack(rows[1:])) != 0).any(axis=0)])
+        done = int(np.searchsorted(bucket, bucket[-1]))
+        if done:
+            yield links(rows[0][:done], bucket[:done])
+        rest = [r[done:] for r in rows]
+    if len(rest[0]):
+        yield links(rest[0], np.zeros(len(rest[0]), np.int64))
 
 
 def near_links(prints: DataFrame) -> DataFrame:
     """(a, b) between distinct prints at most DISTANCE bits apart: enough of them to join all that are linked."""
     keys = [F.struct(F.lit(t).alias("t"), F.lit(0).cast("long").alias("part"), sum((_bits(*BLOCKS[k]) * F.lit(1 << 11 * n).cast("long") for n, k in enumerate(c)), F.lit(0).cast("long")).alias("key")) for t, c in enumerate(combinations(range(6), 3))]
-    rows = written(prints.select("print").distinct().select("print", F.explode(F.array(*keys)).alias("k")).select("print", "k.*"), "tables")
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    large = sizes.where(F.col("n") > LARGE).select("t", "key")
-    small = rows.join(sizes.where(F.col("n") <= LARGE).select("t", "key"), ["t", "key"], "left_semi")
+    rows = prints.select("print").distinct().select("print", F.explode(F.array(*keys)).alias("k")).select("print", "k.*")
+    large = written(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("t", "key"), "large")
+    if large.isEmpty():
+        return _linked(rows)
+    small = rows.join(large, ["t", "key"], "left_anti")
     # Within a bucket the differences lie in the three other blocks: a quarter of those bits has none.
     others = F.element_at(F.array(*(F.array(*(F.lit(BLOCKS[k][0] + i) for k in range(6) if k not in c for i in range(BLOCKS[k][1]))) for c in combinations(range(6), 3))), F.col("t") + 1)
     quarter = lambda q: F.aggregate(F.slice("others", 8 * q + 1, 8 if q < 3 else 16), F.lit(0).cast("long"), lambda acc, at: acc * 2 + F.call_function("bit_get", F.col("print"), at))
@@ -93,7 +137,13 @@ def near_links(prints: DataFrame) -> DataFrame:
     parts = F.explode(F.array(*(F.struct(F.lit(q + 1).cast("long").alias("part"), quarter(q).alias("sub")) for q in range(4)))).alias("p")
     dealt = again.select("print", "t", "key", parts).select("print", "t", (F.col("key") * (1 << 16) + F.col("p.sub")).alias("key"), F.col("p.part").alias("part"))
     every = small.select("print", "t", "key", "part").unionByName(dealt.select("print", "t", "key", "part"))
-    return every.groupBy("t", "part", "key").applyInPandas(_forest, "a long, b long").distinct()
+    return _linked(every)
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """The links of all buckets (t, part, key) of prints."""
+    dealt = rows.repartition("t", "part", "key").sortWithinPartitions("t", "part", "key", "print")
+    return dealt.select("print", "t", "part", "key").mapInArrow(_forests, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
