@@ -25,7 +25,8 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # first bi
 LARGE = 8192  # fingerprints of a bucket that is dealt out once more
 FEW = 64  # prints of a bucket that is taken together with others
 SALTS = 64
-_REMEMBERED = 1 << 20  # word hashes that a task keeps
+_REMEMBERED = 1 << 17  # word hashes that a task keeps
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20  # texts that a Python worker is handed at a time
 
 
 def word_hash(word: str) -> int:
@@ -40,8 +41,8 @@ def fingerprints(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text
         known: dict[str, int] = {}
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
-                words = re.findall(r"[^\W_]+", (text or "").lower())
+            for text in batch.column(1):
+                words = re.findall(r"[^\W_]+", (text.as_py() or "").lower())
                 if len(known) > _REMEMBERED:
                     known.clear()
                 for w in set(words):
@@ -175,7 +176,13 @@ def event_clusters(articles: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows of equal ids are articles of their own. A text without words is near nothing: it is a cluster by itself, of size 1. A
     null id takes part but doesn't name a cluster; a cluster of such rows only has a null name.
     """
-    prints = written(fingerprints(articles, id_col, text_col), "prints")
+    spark = articles.sparkSession
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, BATCH_BYTES)
+    try:
+        prints = written(fingerprints(articles, id_col, text_col), "prints")
+    finally:
+        spark.conf.set(BATCH, before)
     with_words = prints.where("print is not null")
     distinct = written(with_words.groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct")
     roots = components(near_links(distinct))
