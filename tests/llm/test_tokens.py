@@ -89,3 +89,13 @@ def test_scores_are_the_same_whatever_is_kept(spark, kept):
     assert {k: r.score for k, r in got.items()} == plain and plain[2] == plain[3] and plain[None] == plain[5]
     if kept:
         assert got[2].rest.text is None and got[1].rest.text == "you utter scum" and got[5].rest.lang == "fr"
+
+
+@pytest.mark.parametrize("table", [{}, {"the": 1}])
+def test_counts_do_not_depend_on_the_broadcast_table(docs, table, monkeypatch):
+    """Which units were drawn for it changes no count: with none or one of them the counts are the library's."""
+    shared.forget()
+    monkeypatch.setattr(tokens, "frequent_units", lambda *_: table)
+    library = Tokenizer.from_file(BYTES)
+    want = sorted(len(library.encode(r.text, add_special_tokens=False).ids) for r in with_text(docs).collect())
+    assert sorted(r.n_tokens for r in tokens.token_counts(with_text(docs), BYTES, 50).collect()) == want
